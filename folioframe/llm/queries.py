@@ -2,8 +2,32 @@
 
 from __future__ import annotations
 
+import public_tokenizers
+
 from ..sources.tables import table
-from . import sharding
+from . import bpe, decontaminate, licenses, rules, sharding
+
+TOKENIZER = "byte_bpe_50k.json"
+
+
+def op2_decontamination(spark, sf_dir):
+    """All documents against all benchmark items."""
+    return decontaminate.digest(decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
+def op4_bpe(spark, sf_dir):
+    """All documents encoded and decoded."""
+    return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+
+
+def op5_quality_rules(spark, sf_dir):
+    """All documents through the rule cascade."""
+    return rules.judge(table(spark, sf_dir, "documents"))
+
+
+def op7_license_scan(spark, sf_dir):
+    """All lines of all documents against all licence templates."""
+    return licenses.scan(table(spark, sf_dir, "documents"))
 
 
 def op8_sharding(spark, sf_dir):
@@ -11,5 +35,5 @@ def op8_sharding(spark, sf_dir):
     return sharding.shard(table(spark, sf_dir, "documents"), n_shards=16)
 
 
-QUERIES = {"op8_sharding": op8_sharding}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op2_decontamination, op4_bpe, op5_quality_rules, op7_license_scan, op8_sharding)}
+ORACLES: dict[str, str] = {"op7_license_scan": licenses.oracle_sql()}
