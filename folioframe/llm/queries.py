@@ -5,11 +5,16 @@ from __future__ import annotations
 import public_tokenizers
 
 from ..sources.tables import table
-from . import bpe, decontaminate, licenses, rules, sharding
+from . import bpe, decontaminate, jaccard_join, licenses, rules, sharding, suffix_dedup
 
 TOKENIZER = "byte_bpe_50k.json"
 
 
+def op1_suffix_dedup(spark, sf_dir):
+    """All documents without their repeated 100-byte windows."""
+    return suffix_dedup.digests(table(spark, sf_dir, "documents"))
+
+
 def op2_decontamination(spark, sf_dir):
     """All documents against all benchmark items."""
     return decontaminate.digest(decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
@@ -35,5 +40,10 @@ def op8_sharding(spark, sf_dir):
     return sharding.shard(table(spark, sf_dir, "documents"), n_shards=16)
 
 
-QUERIES = {f.__name__: f for f in (op2_decontamination, op4_bpe, op5_quality_rules, op7_license_scan, op8_sharding)}
+def op10_jaccard_join(spark, sf_dir):
+    """All documents linked with each other."""
+    return jaccard_join.join(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_decontamination, op4_bpe, op5_quality_rules, op7_license_scan, op8_sharding, op10_jaccard_join)}
 ORACLES: dict[str, str] = {"op7_license_scan": licenses.oracle_sql()}
