@@ -104,9 +104,9 @@ def base_failed() -> Column:
     return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
-def ordered_rules(figures: DataFrame, sample_rows: int = SAMPLE_ROWS) -> list[str]:
-    """Rule names by rejections per second on the first ``sample_rows`` rows, best first."""
-    sample = materialize(figures.limit(sample_rows), "rule-sample")
+def ordered_rules(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> list[str]:
+    """Rule names by rejections per second on ``sample_rows`` documents, best first."""
+    sample = materialize(_figures(docs.limit(sample_rows)), "rule-sample")
     rated = []
     for name, rule in RULES.items():
         began = time.perf_counter()
@@ -118,7 +118,7 @@ def ordered_rules(figures: DataFrame, sample_rows: int = SAMPLE_ROWS) -> list[st
 def judge(docs: DataFrame, order: list[str] | None = None) -> DataFrame:
     """Base figures, base_failed, kept, and rejected_by: the first rule that rejected, if any."""
     figures = _figures(docs)
-    order = order or ordered_rules(figures)
+    order = order or ordered_rules(docs)
     cascade = F.when(base_failed(), F.lit("base"))
     for name in order:
         cascade = cascade.when(RULES[name](), F.lit(name))
