@@ -25,7 +25,7 @@ from ..plans.runtime import materialize
 from . import _bytes as B
 
 NAMES = (
-    "log_words", "log_chars_per_word", "word_spread", "upper", "symbols", "exclaims", "digits", "stops",
+    "log_words", "log_chars_per_word", "word_spread", "upper", "symbols", "exclaims", "stops",
     "other", "lines", "distinct", "repeats", "runs", "plain_ends",
 )
 #: Shares of the pooled and the unit matrix in a class covariance; how far log density differences count.
@@ -79,24 +79,27 @@ def statistics(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     gram_row = row[2:][inner] if len(h) > 2 else row[:0]
     n_grams = np.bincount(gram_row, minlength=n).astype(float)
     same = (h[1:] == h[:-1]) & (row[1:] == row[:-1]) if len(h) > 1 else np.zeros(0, bool)
-    plain = _LETTER[data[e - 1]] if len(e) else np.zeros(0, bool)
-    share = lambda part, whole, prior: np.log((part + prior) / (whole + 20 * prior))
+    plain = (_LETTER | _DIGIT)[data[e - 1]] if len(e) else np.zeros(0, bool)
+
+    def share(part: np.ndarray, whole: np.ndarray, usual: float, weight: float = 20) -> np.ndarray:
+        """Log of a share, drawn to its usual value in short texts."""
+        return np.log((part + weight * usual) / (whole + weight))
+
     letters = per_row(_LETTER[data])
     out = [
         np.log1p(words),
-        np.log1p(mean),
-        np.log1p(spread),
-        share(per_row(_UPPER[data] | high), letters, 1),
-        share(per_row(_SYMBOL[data]), chars, 1),
-        share(per_row(_EXCLAIM[data]), chars, 1),
-        share(per_row(_DIGIT[data]), chars, 1),
-        share(per_row(_STOP[data]), words, 1),
-        share(chars - letters, chars, 1),
-        share(per_row(data == 10), words, 1),
-        share(different(h, row), words, 1),
-        share(n_grams - different(grams, gram_row), n_grams, 1),
-        share(np.bincount(row[1:][same], minlength=n).astype(float), words, 1) if len(h) > 1 else share(0 * words, words, 1),
-        share(np.bincount(row, plain, n), words, 1),
+        np.log((chars + 100) / (words + 20)),
+        np.log((spread * words + 60) / (words + 20)),
+        share(per_row(_UPPER[data] | high), letters, 0.03, 100),
+        share(per_row(_SYMBOL[data]), chars, 0.002, 100),
+        share(per_row(_EXCLAIM[data]), chars, 0.002, 100),
+        share(per_row(_STOP[data]), words, 0.1),
+        share(chars - letters - per_row(_DIGIT[data]), chars, 0.03, 100),
+        share(per_row(data == 10), words, 0.03),
+        share(different(h, row), words, 0.8),
+        share(n_grams - different(grams, gram_row), n_grams, 0.01),
+        share(np.bincount(row[1:][same], minlength=n).astype(float), words, 0.01) if len(h) > 1 else share(0 * words, words, 0.01),
+        share(np.bincount(row, plain, n), words, 0.85),
     ]
     return np.stack(out, 1)
 

@@ -90,7 +90,7 @@ def _figures(docs: DataFrame) -> DataFrame:
 RULES: dict[str, Callable[[], Column]] = {
     "symbols": lambda: F.col("n_symbols") * 10 > F.col("n_words"),
     "word_length": lambda: (F.col("word_chars") < 2 * F.col("n_words")) | (F.col("word_chars") > 15 * F.col("n_words")),
-    "dup_lines": lambda: F.col("n_dup_lines") * 10 > 3 * F.col("n_lines"),
+    "dup_lines": lambda: F.col("n_dup_lines") * 2 > F.col("n_lines"),
     "repeats": lambda: F.col("n_repeat_words") * 10 > 3 * F.col("n_words"),
     "shouting": lambda: F.length(F.regexp_replace("bare", "[^A-ZÀ-ÖØ-Þ]+", "")) * 2 > F.col("word_chars"),
     "letters": lambda: F.length(F.regexp_replace("bare", "\\p{L}+", "")) * 10 > 4 * F.col("word_chars"),
