@@ -1,8 +1,7 @@
 """Operator 9: toxicity by weak supervision.
 
 1. Voters. Lexicon voters for kinds of abuse, a lexicon mined from a bounded sample of
-   labelled rows outside the held-out fold (words with many different left neighbours in
-   toxic texts and hardly any in others, so that copies of one text prove nothing), pattern
+   labelled rows outside the held-out fold (see ``mined_words``), pattern
    voters (address, density, repetition, shouting) and two voters for harmlessness. Each
    votes toxic, harmless or not at all.
 2. Label model. Vote patterns are counted over all documents. A generative model with a
@@ -19,6 +18,7 @@ an empty result. Extra columns are ignored.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,9 +29,14 @@ from pyspark.sql import functions as F
 from ..plans.runtime import materialize
 from . import _bytes as B
 from .quality import held_out
+from .rules import let
 
 #: Bounds of what is learnt from: labelled rows of each class, rows for the linear classifier, mined words.
-FIT_ROWS, SAMPLE_ROWS, MINED = 6000, 20_000, 64
+FIT_ROWS, SAMPLE_ROWS, MINED = 4000, 20_000, 256
+#: Lengths of beginnings of words that are tried.
+STEMS = (4, 5, 6, 7)
+#: How many words of a text must begin so for the mark ``beginning*times``.
+TIMES = (1, 2, 3)
 #: Words of abuse by kind, and words of address.
 LEXICON = {
     "intelligence": "idiot idiots idiotic stupid moron morons moronic imbecile dumb dumbass cretin halfwit dimwit brainless".split(),
@@ -72,10 +77,15 @@ def evidence(data: np.ndarray, bounds: np.ndarray, mined: list[str]) -> tuple[np
     low = B.LOWER[data]
     s, e, row = B.words(low, bounds, B.ALNUM)
     h = B.word_hashes(low, s, e)
-    known = {w for g in LEXICON.values() for w in g}
-    kind = _Words([*LEXICON.values(), [w for w in mined if w not in known]]).of(h)
-    also = _Words([[w for w in mined if w in known]]).of(h) > 0
     k = len(LEXICON)
+    kind = _Words([*LEXICON.values()]).of(h)
+    is_mined = _Words([[w for w in mined if "*" not in w]]).of(h) > 0
+    pre = B.prefix(low.astype(B.U64) + B.U64(1))
+    for stem, times in (w.split("*") for w in mined if "*" in w):
+        size = len(stem.encode())
+        own = (_Words([[stem]]).of(B.span_hash(pre, s, np.minimum(s + size, e))) > 0) & (e - s > size)
+        is_mined |= own & (np.bincount(row[own], minlength=n)[row] >= int(times))
+    kind = np.where(is_mined & (kind == 0), k + 1, kind)
     address = _Words([ADDRESS]).of(h) > 0
     words = np.bincount(row, minlength=n)
     count = lambda flag: np.bincount(row[flag], minlength=n)
@@ -90,7 +100,7 @@ def evidence(data: np.ndarray, bounds: np.ndarray, mined: list[str]) -> tuple[np
         after = data[np.minimum(e, len(data) - 1)]
         upper = abuse & (((first >= 65) & (first <= 90) & (last >= 65) & (last <= 90)) | ((after == 33) & (e < bounds[row + 1])))
     per_kind = [count(kind == i + 1) for i in range(k)]
-    n_mined, n_abuse, n_near, n_loud = count((kind == k + 1) | also), count(abuse), count(near), count(upper)
+    n_mined, n_abuse, n_near, n_loud = count(is_mined), count(abuse), count(near), count(upper)
     kinds = sum((c > 0).astype(int) for c in per_kind)
     rate = n_abuse / np.maximum(words, 1)
     votes = [*((c > 0).astype(int) for c in per_kind), (n_mined > 1).astype(int), (n_near > 0).astype(int), (rate > 0.004).astype(int), (n_abuse > 2).astype(int), (n_loud > 0).astype(int)]
@@ -121,18 +131,42 @@ def labelled(labels: DataFrame, rows: int = FIT_ROWS) -> DataFrame:
 
 
 def mined_words(docs: DataFrame, picked: DataFrame) -> list[str]:
-    """Words whose different left neighbours are many in toxic texts and rare in others; at most MINED."""
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(picked), "doc_id")  # at most 2 * FIT_ROWS ids
-    words = F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), "[^0-9\\p{L}]+"), lambda w: w != "")
-    pairs = F.array_distinct(F.transform("w", lambda x, i: F.struct(x.alias("w"), F.coalesce(F.when(i > 0, F.get("w", i - 1)), F.lit("")).alias("before"))))
-    seen = own.select("y", words.alias("w")).select("y", F.explode(pairs).alias("p")).select("y", "p.w", "p.before").distinct()
-    counts = seen.groupBy("w").agg(F.count_if(F.col("y") == 1).alias("bad"), F.count_if(F.col("y") == 0).alias("good"))
-    sizes = {r.y: r.n for r in picked.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    """At most MINED words, and beginnings of words (with a star and how often), that mark toxic texts.
+
+    Candidates are frequent in toxic texts and rare in others; texts of the sample that are
+    equal count once. Of these, one after the other is taken that explains most toxic texts
+    without an earlier one, as long as it is mostly right on them: what merely goes along
+    with abuse is not taken.
+    """
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(picked), "doc_id")  # at most 2 * FIT_ROWS ids
+    words = F.filter(F.split(F.lower("text"), "[^0-9\\p{L}]+"), lambda w: w != "")
+    stems = lambda w: F.array_compact(F.array(*(F.when(F.length(w) > k, F.concat(F.substring(w, 1, k), F.lit("*"))) for k in STEMS)))
+    often = lambda a, k: F.transform(F.filter(a, lambda x, i: (i >= k - 1) & (F.get(a, F.greatest(i - k + 1, F.lit(0))) == x)), lambda x: F.concat(x, F.lit(str(k))))
+    ordered = own.dropDuplicates(["y", "text"]).select("y", words.alias("w")).select("y", "w", F.array_sort(F.flatten(F.transform("w", stems))).alias("s"))
+    marks = let(F.col("s"), lambda a: F.array_distinct(F.concat(F.col("w"), *(often(a, k) for k in TIMES))))
+    split = materialize(ordered.select("y", marks.alias("w")), "toxic-words")
+    sizes = {r.y: r.n for r in split.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(sizes) < 2:
         return []
-    odds = (F.col("bad") / sizes[1]) / ((F.col("good") + 1) / sizes[0])
-    found = counts.where((F.col("bad") >= max(8, sizes[1] * 0.02)) & (odds >= 15)).orderBy(F.desc("bad"), "w").limit(MINED)
-    return [r.w for r in found.collect()]
+    counts = split.select("y", F.explode("w").alias("w")).groupBy("w").agg(F.count_if(F.col("y") == 1).alias("bad"), F.count_if(F.col("y") == 0).alias("good"))
+    gain = F.col("bad") - F.col("good") * (3 * sizes[1] / sizes[0])
+    found = [r.w for r in counts.where((F.col("bad") >= max(4, sizes[1] * 0.005)) & (gain > 0)).orderBy(F.desc(gain), "w").limit(MINED).collect()]
+    if not found:
+        return []
+    # at most 2 * FIT_ROWS rows of at most MINED marks
+    have = [(r.y, set(r.w)) for r in split.select("y", F.array_intersect("w", F.lit(found)).alias("w")).where(F.size("w") > 0).collect()]
+    out: list[str] = []
+    while True:
+        tally = {1: Counter(), 0: Counter()}
+        for y, w in have:
+            tally[y].update(w)
+        if not tally[1]:
+            return out
+        best = max(found, key=lambda w: (tally[1][w] - 3 * tally[0][w], len(w), w))
+        if tally[1][best] < max(4, sizes[1] * 0.005) or tally[1][best] < 4 * tally[0][best] * max(1, sizes[1] / sizes[0]):
+            return out
+        out.append(best)
+        have = [(y, w) for y, w in have if best not in w]
 
 
 class LabelModel:
