@@ -280,3 +280,37 @@ def contamination(docs: DataFrame, benchmark: DataFrame, block_items: int = BLOC
 
 def digest(found: DataFrame) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated")
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, block_items: int = BLOCK_ITEMS) -> DataFrame:
+    """The documents, with all columns, that aren't contaminated."""
+    blocks = _blocks(benchmark, block_items)
+    first = next(blocks, [])
+    if next(blocks, None) is not None:
+        bad = contamination(docs.select("doc_id", "text"), benchmark, block_items).where("contaminated").select(F.col("doc_id").alias("bad_id"))
+        return docs.join(bad, F.col("doc_id").cast("long") == F.col("bad_id"), "left_anti")
+    phrases = Phrases(first)
+
+    def judged(shard: _Shard, held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = shard.hits()
+        hit = [sum(b - a for a, b in merged(found[i][0])) if i in found else 0 for i in range(len(shard.ids))]
+        keep = [not (h and 20 * h >= n) for h, n in zip(hit, shard.n_words, strict=True)]
+        at = 0
+        for part in held:
+            yield part.filter(pa.array(keep[at : at + len(part)], pa.bool_()))
+            at += len(part)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, held = _Shard(phrases), []
+        for batch in batches:
+            offsets, data = B.columns(batch)
+            for i, j in B.chunks(offsets, SHARD_BYTES):
+                shard.add([None] * (j - i), offsets[i : j + 1], data)
+                held.append(batch.slice(i, j - i))
+                if shard.bytes >= SHARD_BYTES:
+                    yield from judged(shard, held)
+                    shard, held = _Shard(phrases), []
+        if held:
+            yield from judged(shard, held)
+
+    return docs.mapInArrow(run, docs.schema)

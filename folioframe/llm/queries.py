@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 
 from ..sources.tables import table
-from . import bpe, decontaminate, jaccard_join, licenses, rules, sharding, suffix_dedup
+from . import bpe, decontaminate, html_text, jaccard_join, licenses, quality, rules, sharding, suffix_dedup, toxicity
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -20,6 +20,11 @@ def op2_decontamination(spark, sf_dir):
     return decontaminate.digest(decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op3_quality(spark, sf_dir):
+    """All documents scored for quality."""
+    return quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_bpe(spark, sf_dir):
     """All documents encoded and decoded."""
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
@@ -30,6 +35,11 @@ def op5_quality_rules(spark, sf_dir):
     return rules.judge(table(spark, sf_dir, "documents"))
 
 
+def op6_html_text(spark, sf_dir):
+    """The main text of all pages."""
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op7_license_scan(spark, sf_dir):
     """All lines of all documents against all licence templates."""
     return licenses.scan(table(spark, sf_dir, "documents"))
@@ -40,10 +50,29 @@ def op8_sharding(spark, sf_dir):
     return sharding.shard(table(spark, sf_dir, "documents"), n_shards=16)
 
 
+def op9_toxicity(spark, sf_dir):
+    """All documents scored for toxicity."""
+    return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_jaccard_join(spark, sf_dir):
     """All documents linked with each other."""
     return jaccard_join.join(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_decontamination, op4_bpe, op5_quality_rules, op7_license_scan, op8_sharding, op10_jaccard_join)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_suffix_dedup,
+        op2_decontamination,
+        op3_quality,
+        op4_bpe,
+        op5_quality_rules,
+        op6_html_text,
+        op7_license_scan,
+        op8_sharding,
+        op9_toxicity,
+        op10_jaccard_join,
+    )
+}
 ORACLES: dict[str, str] = {"op7_license_scan": licenses.oracle_sql()}

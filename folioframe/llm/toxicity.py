@@ -33,6 +33,7 @@ from .rules import let
 
 #: Bounds of what is learnt from: labelled rows of each class, rows for the linear classifier, mined words.
 FIT_ROWS, SAMPLE_ROWS, MINED = 4000, 20_000, 256
+THRESHOLD = 0.3
 #: Lengths of beginnings of words that are tried.
 STEMS = (4, 5, 6, 7)
 #: How many words of a text must begin so for the mark ``beginning*times``.
@@ -239,34 +240,66 @@ def _linear(x: np.ndarray, w: np.ndarray) -> np.ndarray:
     return np.clip(x @ w[:-1] + w[-1], -30, 30)
 
 
-def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score, predicted."""
+class Scorer:
+    """Mined marks, linear weights and calibration; small enough to go with each task."""
+
+    def __init__(self, mined: list[str], weights: np.ndarray, slope: float, shift: float):
+        self.mined, self.weights, self.slope, self.shift = mined, weights, slope, shift
+
+    def scores(self, x: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.slope * _linear(x, self.weights) + self.shift, -30, 30)))
+
+
+def fit(docs: DataFrame, labels: DataFrame) -> tuple[Scorer, DataFrame]:
+    """The scorer, and the vote patterns and features of all documents."""
     picked = materialize(labelled(labels), "toxic-labels")
     mined = mined_words(docs, picked)
     rows = materialize(docs.select("doc_id", "text").mapInArrow(_task(mined), "doc_id long, pattern long, x array<float>"), "toxic-votes")
-    counts = rows.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).collect()  # at most 3 ** voters, a few hundred in fact
-    votes = np.array([[r.pattern // 3**j % 3 - 1 for j in range(len(VOTERS))] for r in counts]).reshape(-1, len(VOTERS))
-    model = LabelModel(votes, np.array([float(r.n) for r in counts])) if counts else None
-    belief = dict(zip((r.pattern for r in counts), model.posterior(votes).tolist(), strict=True)) if model else {}
-    w, a, b = np.zeros(FEATURES + 1), 1.0, 0.0
-    if belief:
-        total = sum(r.n for r in counts)
-        part = min(1.0, SAMPLE_ROWS / total)
-        draw = F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(1 << 20)) < int(part * (1 << 20)) + 1
-        sample = rows.where(draw).limit(2 * SAMPLE_ROWS).select("pattern", "x").collect()
-        w = _logistic(np.array([r.x for r in sample]).reshape(-1, FEATURES), np.array([belief[r.pattern] for r in sample]), 1.0)
-        known = rows.join(F.broadcast(picked), "doc_id").select("y", "x").collect()  # at most 2 * FIT_ROWS rows
-        y = np.array([float(r.y) for r in known])
-        if 0 < y.sum() < len(y):
-            z = _linear(np.array([r.x for r in known]).reshape(-1, FEATURES), w)[:, None]
-            a, b = _logistic(z, y, 1e-3)
-            share = {r.y: r.n for r in labels.where(~held_out(F.col("doc_id"))).groupBy(F.col("toxic").alias("y")).agg(F.count(F.lit(1)).alias("n")).collect()}
-            b += np.log(max(1, share.get(1, 1)) / max(1, share.get(0, 1))) - np.log(y.sum() / (len(y) - y.sum()))  # classes were sampled apart
+    counts = rows.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).collect()  # voters answer together: a few hundred patterns
+    if not counts:
+        return Scorer(mined, np.zeros(FEATURES + 1), 1.0, 0.0), rows
+    votes = np.array([[r.pattern // 3**j % 3 - 1 for j in range(len(VOTERS))] for r in counts])
+    model = LabelModel(votes, np.array([float(r.n) for r in counts]))
+    belief = dict(zip((r.pattern for r in counts), model.posterior(votes).tolist(), strict=True))
+    part = min(1.0, SAMPLE_ROWS / sum(r.n for r in counts))
+    draw = F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(1 << 20)) < int(part * (1 << 20)) + 1
+    sample = rows.where(draw).select("pattern", "x").take(2 * SAMPLE_ROWS)
+    out = Scorer(mined, np.zeros(FEATURES + 1), 1.0, 0.0)
+    if sample:
+        out.weights = _logistic(np.array([r.x for r in sample]).reshape(-1, FEATURES), np.array([belief[r.pattern] for r in sample]), 1.0)
+    known = rows.join(F.broadcast(picked), "doc_id").select("y", "x").collect()  # at most 2 * FIT_ROWS rows
+    y = np.array([float(r.y) for r in known])
+    if 0 < y.sum() < len(y):
+        z = _linear(np.array([r.x for r in known]).reshape(-1, FEATURES), out.weights)[:, None]
+        out.slope, out.shift = _logistic(z, y, 1e-3)
+        learnt = labels.where(F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id")))
+        share = {r.y: r.n for r in learnt.groupBy(F.col("toxic").alias("y")).agg(F.count(F.lit(1)).alias("n")).collect()}
+        out.shift += np.log(share[1] / share[0]) - np.log(y.sum() / (len(y) - y.sum()))  # classes were sampled apart
+    return out, rows
+
+
+def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, held_out, score, predicted."""
+    scorer, rows = fit(docs, labels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = batch.column(2).flatten().to_numpy().astype(float).reshape(-1, FEATURES)
-            yield pa.record_batch([batch.column(0), pa.array(1 / (1 + np.exp(-np.clip(a * _linear(x, w) + b, -30, 30))))], ["doc_id", "score"])
+            yield pa.record_batch([batch.column(0), pa.array(scorer.scores(x))], ["doc_id", "score"])
 
     out = rows.mapInArrow(run, "doc_id long, score double")
-    return out.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+    return out.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
+def harmless(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The documents, with all columns, whose score is below the threshold."""
+    scorer, _ = fit(docs.select("doc_id", "text"), labels)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            offsets, data = B.columns(batch)
+            for i, j in B.chunks(offsets):
+                _, x = evidence(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], scorer.mined)
+                yield batch.slice(i, j - i).filter(pa.array(scorer.scores(x) < THRESHOLD))
+
+    return docs.mapInArrow(run, docs.schema)
