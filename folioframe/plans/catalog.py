@@ -1,6 +1,430 @@
-"""Registry of the engine's own queries and the SQL that each must agree with."""
+"""Registry of the engine's own queries, each over the given tables, and the SQL that must agree.
+
+The tables have no geometry, so lines of a document stand in for placed lines: the place
+of a line is its number among the lines, and a page is a chunk of PAGE_LINES lines.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import legacy, text
+from ..operators import assembly, fidelity, operations, structure, triage
+from ..sources.tables import table
+from ..streaming import jobs
+
+PAGE_LINES = 5
+LINE_MARGIN = 150  # grid height of a line at the top or bottom of such a page
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a query under its function's name, with its SQL."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.split(F.coalesce("text", F.lit("")), "\n").alias("parts"))
+    return docs.select("doc_id", F.size("parts").alias("n_lines"), F.posexplode("parts").alias("line_no", "text")).withColumn("page", F.floor(F.col("line_no") / PAGE_LINES) + 1)
+
+
+_LINES = f"""WITH parts AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS p FROM documents),
+lines AS (SELECT doc_id, len(p) AS n_lines, unnest(p) AS text, generate_subscripts(p, 1) - 1 AS line_no FROM parts),
+l AS (SELECT *, CAST(floor(line_no / {PAGE_LINES}.0) AS BIGINT) + 1 AS page FROM lines)"""
+_LETTERS = "[" + text.VIETNAMESE + "]"
+_COLLAPSED = "trim(regexp_replace({0}, '[\\s\\x{{85}}\\x{{A0}}\\x{{2028}}\\x{{2029}}\\x{{202F}}\\x{{3000}}\\x{{2000}}-\\x{{200A}}]+', ' ', 'g'))"
+_FOLDED = "replace(lower(" + _COLLAPSED + "), 'ß', 'ss')"
+
+
+def _sql_share(x: str) -> str:
+    return f"(CASE WHEN len(regexp_extract_all({x}, '\\p{{L}}')) = 0 THEN 0.0 ELSE len(regexp_extract_all(lower({x}), '{_LETTERS}')) / CAST(len(regexp_extract_all({x}, '\\p{{L}}')) AS DOUBLE) END)"
+
+
+def _sql_replaced(x: str, pairs: dict[str, str]) -> str:
+    for a, b in pairs.items():
+        x = f"replace({x}, '{a}', '{b}')"
+    return x
+
+
+def _sql_decoding(code: legacy.Code) -> tuple[str, str, str, str]:
+    """SQL over column t: marked, decoded from m, coded test, encoded from d."""
+    marks = [chr(0xE000 + i) for i in range(len(code.pairs))]
+    marked = _sql_replaced("t", dict(zip(code.pairs, marks, strict=True)))
+    decoded = f"translate(m, '{''.join(marks)}{''.join(code.single)}', '{''.join(code.pairs.values())}{''.join(code.single.values())}')"
+    coded = f"regexp_matches(t, '[{''.join(code.single)}]|{'|'.join(code.pairs)}')"
+    back = {v: k for k, v in code.single.items()} | {v: k for k, v in code.pairs.items()}
+    two, one = ({v: k for v, k in back.items() if len(k) == n} for n in (2, 1))
+    encoded = f"translate(translate(d, '{''.join(two)}', '{''.join(marks[: len(two)])}'), '{''.join(one)}', '{''.join(one.values())}')"
+    return marked, decoded, coded, _sql_replaced(encoded, dict(zip(marks, two.values(), strict=False)))
+
+
+def _sql_triage() -> str:
+    """Only documents that could decode are decoded, as the rest can't change their class."""
+    steps = ""
+    for name, code in (("a", legacy.TCVN3), ("b", legacy.VNI)):
+        marked, decoded, coded, encoded = _sql_decoding(code)
+        steps += f"""
+m{name} AS (SELECT doc_id, t, {marked} AS m, {coded} AS coded FROM src),
+d{name} AS (SELECT doc_id, t, coded, {decoded} AS d FROM m{name}),
+{name} AS (SELECT doc_id, coded AND {_sql_share("d")} >= {legacy.HEALTHY} AND {_sql_share("d")} >= {_sql_share("t")} + {legacy.GAIN} AND {encoded} = t AS ok FROM d{name}),"""
+    start = f"substr(t, 1, {text.SAMPLE_CHARS})"
+    letters = f"len(regexp_extract_all({start}, '\\p{{L}}'))"
+    bad = f"({letters} < {text.LEAST_LETTERS} OR {_sql_share(start)} < {text.LEAST_DIACRITICS} OR length({start}) - length(replace({start}, '�', '')) > {text.MOST_REPLACED} * length({start}))"
+    return f"""WITH src AS (SELECT doc_id, lang, regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g') AS t FROM documents),{steps}
+c AS (SELECT src.lang, CASE WHEN t = '' THEN 'SCANNED' WHEN {bad} THEN CASE WHEN a.ok OR b.ok THEN 'LEGACY_TEXT' ELSE 'SCANNED' END
+ WHEN a.ok OR b.ok THEN 'LEGACY_TEXT' ELSE 'DIGITAL_TEXT' END AS page_class FROM src JOIN a USING (doc_id) JOIN b USING (doc_id))
+SELECT lang, page_class, count(*) AS n FROM c GROUP BY lang, page_class"""
+
+
+@query(_sql_triage())
+def page_triage(spark, sf_dir):
+    """Page classes per language, decode branch included; the documents have no pictures or tables."""
+    docs = table(spark, sf_dir, "documents")
+    return docs.groupBy("lang", triage.page_class(F.col("text"), F.lit(0.0), F.lit(0)).alias("page_class")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"SELECT doc_id, CAST(length({_COLLAPSED.format('text')}) AS BIGINT) AS n_collapsed, CAST(length({_FOLDED.format('text')}) AS BIGINT) AS n_folded FROM documents")
+def normalized_length(spark, sf_dir):
+    t = F.col("text")
+    return table(spark, sf_dir, "documents").select("doc_id", F.length(text.collapse(t)).cast("long").alias("n_collapsed"), F.length(text.folded(t)).cast("long").alias("n_folded"))
+
+
+def _pairs(spark, sf_dir):
+    """Each document as extracted text, the next one of its source as what was written."""
+    w = Window.partitionBy("source").orderBy("doc_id")
+    docs = table(spark, sf_dir, "documents")
+    return docs.select(F.col("doc_id").alias("pair_id"), F.col("text").alias("extracted"), F.lead("text").over(w).alias("docx")).where("docx IS NOT NULL")
+
+
+_PAIRS = f"""WITH p AS (SELECT doc_id AS pair_id, text AS extracted, lead(text) OVER (PARTITION BY source ORDER BY doc_id) AS docx FROM documents),
+q AS (SELECT pair_id, {_FOLDED.format("coalesce(extracted, '')")} AS e, {_FOLDED.format("docx")} AS d FROM p WHERE docx IS NOT NULL)"""
+
+
+def _sql_bags(split: str) -> str:
+    side = "SELECT pair_id, token, count(*) AS n, min(pos) AS first_pos FROM (SELECT pair_id, unnest(string_split({0}, '{1}')) AS token, generate_subscripts(string_split({0}, '{1}'), 1) AS pos FROM q) WHERE token <> '' GROUP BY pair_id, token"
+    return f"""{_PAIRS}, a AS ({side.format("e", split)}), b AS ({side.format("d", split)}),
+g AS (SELECT pair_id, token, greatest(coalesce(a.n, 0) - coalesce(b.n, 0), 0) AS missing, greatest(coalesce(b.n, 0) - coalesce(a.n, 0), 0) AS extra, a.first_pos AS first_in, b.first_pos AS first_out FROM a FULL JOIN b USING (pair_id, token))"""
+
+
+@query(
+    _sql_bags("")
+    + """, s AS (SELECT pair_id, sum(missing) AS missing, sum(extra) AS extra FROM g GROUP BY pair_id)
+SELECT pair_id, CAST(length(e) AS BIGINT) AS extracted_chars, CAST(length(d) AS BIGINT) AS docx_chars, CAST(coalesce(missing, 0) AS BIGINT) AS missing, CAST(coalesce(extra, 0) AS BIGINT) AS extra,
+ round((coalesce(missing, 0) + coalesce(extra, 0)) / CAST(greatest(length(e), length(d), 1) AS DOUBLE), 6) AS cer,
+ round(greatest(0.0, 1 - (coalesce(missing, 0) + coalesce(extra, 0)) / CAST(greatest(length(e), length(d), 1) AS DOUBLE)), 6) AS fidelity FROM q LEFT JOIN s USING (pair_id)"""
+)
+def char_bag_ledger(spark, sf_dir):
+    return fidelity.ledger(_pairs(spark, sf_dir)).withColumns({c: F.round(c, 6) for c in ("cer", "fidelity")})
+
+
+@query(
+    _sql_bags(" ")
+    + """, s AS (SELECT pair_id, token, 'missing' AS kind, missing AS n, first_in AS first_pos FROM g WHERE missing > 0 UNION ALL SELECT pair_id, token, 'extra', extra, first_out FROM g WHERE extra > 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY kind DESC, n DESC, first_pos) AS place FROM s)
+SELECT pair_id, token, kind, CAST(n AS BIGINT) AS n, CAST(place AS INTEGER) AS place FROM r WHERE place <= 10"""
+)
+def word_divergence_topk(spark, sf_dir):
+    return fidelity.divergence(_pairs(spark, sf_dir)).select("pair_id", "token", "kind", F.col("n").cast("long").alias("n"), "place")
+
+
+_GRAMS = "list_distinct([w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FOR i IN range(1, len(w) - 1)])"
+
+
+@query(
+    f"""WITH p AS (SELECT item_id AS pair_id, b.text AS output, d.text AS source FROM benchmark b JOIN documents d ON d.doc_id = b.item_id),
+w1 AS (SELECT pair_id, source, list_filter(regexp_split_to_array(output, '\\s+'), lambda x: x <> '') AS w FROM p),
+g AS (SELECT pair_id, source, {_GRAMS} AS g FROM w1),
+e AS (SELECT pair_id, source, unnest(g) AS x FROM g)
+SELECT pair_id, CAST(count(*) AS INTEGER) AS n_grams, CAST(count(*) FILTER (WHERE NOT contains(source, x) AND NOT contains(' ' || regexp_replace(source, '\\s+', ' ', 'g') || ' ', ' ' || x || ' ')) AS INTEGER) AS n_new,
+ round(count(*) FILTER (WHERE NOT contains(source, x) AND NOT contains(' ' || regexp_replace(source, '\\s+', ' ', 'g') || ' ', ' ' || x || ' ')) / CAST(count(*) AS DOUBLE), 6) AS rate FROM e GROUP BY pair_id"""
+)
+def ngram_novelty(spark, sf_dir):
+    """Each benchmark item against the document of its number."""
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("pair_id"), F.col("text").alias("output"))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("pair_id"), F.col("text").alias("source"))
+    return fidelity.novelty(items.join(docs, "pair_id")).withColumn("rate", F.round("rate", 6)).where("n_grams > 0")
+
+
+_ASCII = "regexp_full_match({0}, '[\\x00-\\x7F]*')"
+
+
+@query(
+    f"""WITH t AS (SELECT conv_id, turn, trim(text) AS hyp, trim(lag(text) OVER (PARTITION BY conv_id ORDER BY turn)) AS ref FROM conversations)
+SELECT conv_id, turn, round(CASE WHEN ref = '' THEN CASE WHEN hyp = '' THEN 0.0 ELSE 1.0 END ELSE levenshtein(ref, hyp) / CAST(length(ref) AS DOUBLE) END, 6) AS cer
+FROM t WHERE ref IS NOT NULL AND {_ASCII.format("ref")} AND {_ASCII.format("hyp")} AND length(ref) < 400 AND length(hyp) < 400"""
+)
+def cer_pairs(spark, sf_dir):
+    """Neighbouring turns of a conversation, plain ASCII ones under 400 characters: a report on short turns."""
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    t = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.trim("text").alias("hyp"), F.trim(F.lag("text").over(w)).alias("ref"))
+    plain = lambda c: F.col(c).rlike("^[\\x00-\\x7F]*$") & (F.length(c) < 400)
+    return t.where(F.col("ref").isNotNull() & plain("ref") & plain("hyp")).select("conv_id", "turn", F.round(text.error_rate(F.col("ref"), F.col("hyp")), 6).alias("cer"))
+
+
+def _blocks(spark, sf_dir):
+    """Lines as paragraphs; the first and the last line of a chunk lie in the margins."""
+    at = F.col("line_no") % PAGE_LINES
+    last = (at == PAGE_LINES - 1) | (F.col("line_no") == F.col("n_lines") - 1)
+    box = F.when(at == 0, F.array(F.lit(0), F.lit(0), F.lit(1000), F.lit(100))).when(last, F.array(F.lit(0), F.lit(900), F.lit(1000), F.lit(1000))).otherwise(F.array(F.lit(0), F.lit(300), F.lit(1000), F.lit(400)))
+    return _lines(spark, sf_dir).select("doc_id", F.col("page").cast("int").alias("page"), F.col("line_no").alias("seq"), F.lit("paragraph").alias("type"), "text", box.alias("bbox"), F.lit(0.8).alias("confidence"))
+
+
+_BANDED = f"""{_LINES}, b AS (SELECT doc_id, page, line_no, text, {_FOLDED.format("text")} AS k,
+ CASE WHEN line_no % {PAGE_LINES} = 0 THEN 'top' WHEN line_no % {PAGE_LINES} = {PAGE_LINES - 1} OR line_no = n_lines - 1 THEN 'bottom' END AS band FROM l),
+r AS (SELECT doc_id, k, band FROM b WHERE band IS NOT NULL AND k <> '' GROUP BY doc_id, k, band HAVING count(DISTINCT page) >= 2),
+kept AS (SELECT b.* FROM b LEFT JOIN r USING (doc_id, k, band) WHERE r.doc_id IS NULL AND NOT (band IS NOT NULL AND regexp_matches(trim(text), '^\\s*(?:trang|Trang)?\\s*\\d{{1,3}}\\s*$')))"""
+
+
+@query(f"{_BANDED} SELECT doc_id, count(*) AS n_kept, CAST(sum(length(text)) AS BIGINT) AS chars_kept FROM kept GROUP BY doc_id")
+def running_header_strip(spark, sf_dir):
+    kept = assembly.strip_running(_blocks(spark, sf_dir))
+    return kept.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_kept"), F.sum(F.length("text")).cast("long").alias("chars_kept"))
+
+
+@query(
+    f"""{_BANDED}, i AS (SELECT doc_id, sum(length(text)) AS in_chars, count(*) AS n FROM b GROUP BY doc_id),
+o AS (SELECT doc_id, sum(length(text)) AS out_chars, count(*) AS n_blocks FROM kept GROUP BY doc_id),
+s AS (SELECT doc_id, coalesce(n_blocks, 0) AS n_blocks, coalesce(out_chars, 0) AS out_chars, CASE WHEN in_chars = 0 THEN CASE WHEN coalesce(out_chars, 0) > 0 THEN 1.0 ELSE 0.0 END ELSE least(1.0, coalesce(out_chars, 0) / CAST(in_chars AS DOUBLE)) END AS coverage FROM i LEFT JOIN o USING (doc_id))
+SELECT CASE WHEN n_blocks = 0 OR out_chars = 0 THEN 'failed' WHEN coverage < 0.6 OR round(least(0.8, coverage), 3) < 0.8 THEN 'completed_with_warnings' ELSE 'completed' END AS status, count(*) AS n FROM s GROUP BY 1"""
+)
+def coverage_status(spark, sf_dir):
+    """Statuses of documents whose output lacks the running headers."""
+    blocks = _blocks(spark, sf_dir)
+    size = lambda b, n: b.groupBy("doc_id").agg(F.sum(F.length("text")).alias(f"{n}_chars"), F.count(F.lit(1)).alias(f"{n}_blocks"))
+    both = size(blocks, "in").join(size(assembly.strip_running(blocks), "out"), "doc_id", "left").na.fill(0)
+    cover = triage.coverage(F.col("out_chars"), F.col("in_chars"))
+    zero = F.lit(0)
+    status = triage.conversion_status(zero, F.lit(None).cast("double"), F.col("out_blocks"), F.col("out_chars"), F.lit(0.8), cover, zero, F.lit(1), F.lit(False))
+    return both.groupBy(status["status"].alias("status")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _sql_kind() -> str:
+    return "CASE " + " ".join(f"WHEN regexp_matches(trim(text), '{p.replace(chr(92) * 2, chr(92))}') THEN '{k}'" for k, p in structure.PATTERNS.items()) + " ELSE 'none' END"
+
+
+@query(f"{_LINES} SELECT {_sql_kind()} AS kind, count(*) AS n FROM l GROUP BY 1")
+def line_pattern_classes(spark, sf_dir):
+    lines = structure.with_pattern(_lines(spark, sf_dir))
+    return lines.groupBy(F.coalesce("kind", F.lit("none")).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    """WITH a AS (SELECT *, CASE WHEN lag(role) OVER w = role THEN 0 ELSE 1 END AS new FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+b AS (SELECT *, sum(new) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS island FROM a)
+SELECT conv_id, CAST(island AS BIGINT) AS island, min(role) AS role, count(*) AS n_turns, min(turn) AS first_turn, CAST(sum(length(text)) AS BIGINT) AS n_chars FROM b GROUP BY conv_id, island"""
+)
+def point_islands(spark, sf_dir):
+    """Runs of turns of one role, found as runs of points are."""
+    runs = structure.islands(table(spark, sf_dir, "conversations"), ["conv_id"], ["turn"], F.col("role"))
+    return runs.groupBy("conv_id", "island").agg(F.min("role").alias("role"), F.count(F.lit(1)).alias("n_turns"), F.min("turn").alias("first_turn"), F.sum(F.length("text")).cast("long").alias("n_chars"))
+
+
+@query(
+    """WITH a AS (SELECT event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events)
+SELECT event_type, count(*) AS n_kept FROM a WHERE before IS NULL OR before <> event_type GROUP BY event_type"""
+)
+def section_consolidate(spark, sf_dir):
+    """A user's events as section breaks whose orientation is the event's type."""
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("doc_id"), F.row_number().over(w).alias("position"), F.lit("section_break").alias("type"), F.col("event_type").alias("orientation"))
+    return assembly.drop_repeated_breaks(e).groupBy(F.col("orientation").alias("event_type")).agg(F.count(F.lit(1)).alias("n_kept"))
+
+
+@query(f"{_LINES} SELECT doc_id, CASE WHEN line_no + 0.5 <= 0.25 * n_lines THEN 'header' WHEN line_no + 0.5 >= 0.75 * n_lines THEN 'signature' ELSE 'body' END AS zone, count(*) AS n FROM l GROUP BY 1, 2")
+def zone_partition(spark, sf_dir):
+    from ..functions.geometry import zone
+
+    return _lines(spark, sf_dir).groupBy("doc_id", zone(F.col("line_no") + 0.5, F.col("n_lines")).alias("zone")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    """WITH w AS (SELECT event_id, user_id, count(*) OVER o AS n, sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) OVER o AS bad FROM events WINDOW o AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 49 PRECEDING AND CURRENT ROW))
+SELECT event_id, user_id, CASE WHEN n >= 5 THEN round(bad / CAST(n AS DOUBLE), 6) END AS failure_rate, coalesce(CASE WHEN n >= 5 THEN bad / CAST(n AS DOUBLE) > 0.2 END, false) AS alert FROM w"""
+)
+def failure_alerts(spark, sf_dir):
+    out = operations.failure_alerts(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], F.col("event_type") == "error")
+    return out.select("event_id", "user_id", F.round("failure_rate", 6).alias("failure_rate"), "alert")
+
+
+@query(
+    """WITH l AS (SELECT event_type, list_sort(list(value)) AS v, round(avg(value), 6) AS mean FROM events GROUP BY event_type)
+SELECT event_type, CAST(len(v) AS BIGINT) AS n, mean, v[len(v) // 2 + 1] AS p50, v[CAST(floor(len(v) * 0.95) AS BIGINT) + 1] AS p95 FROM l"""
+)
+def duration_percentiles(spark, sf_dir):
+    return operations.rank_percentiles(table(spark, sf_dir, "events"), ["event_type"], "value").withColumn("mean", F.round("mean", 6))
+
+
+@query(
+    """WITH r AS (SELECT user_id, CAST(ts AS DATE) AS day, row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, event_id) AS n FROM events)
+SELECT user_id, strftime(day, '%Y%m%d') AS day, count(*) AS n_calls, count(*) FILTER (WHERE n <= 2) AS n_admitted FROM r GROUP BY 1, 2"""
+)
+def daily_quota(spark, sf_dir):
+    """Limit 2, as 50 never binds in these tables."""
+    calls = operations.daily_quota(table(spark, sf_dir, "events"), 2)
+    return calls.groupBy("user_id", text.day_key(F.col("ts")).alias("day")).agg(F.count(F.lit(1)).alias("n_calls"), F.count_if("admitted").alias("n_admitted"))
+
+
+@query("SELECT user_id, event_type, strftime(CAST(ts AS DATE), '%Y%m%d') AS day, arg_min(event_id, struct_pack(ts := ts, id := event_id)) AS event_id FROM events GROUP BY 1, 2, 3")
+def refund_once(spark, sf_dir):
+    """The first event of a user, type and day, as the refund that counts."""
+    e = table(spark, sf_dir, "events").withColumn("day", text.day_key(F.col("ts")))
+    return operations.first_of(e, ["user_id", "event_type", "day"], ["ts", "event_id"]).select("user_id", "event_type", "day", "event_id")
+
+
+@query()
+def fixed_rate_limit(spark, sf_dir):
+    """Two calls in twelve hours from a user's first one; folded, so without SQL."""
+    return operations.rate_limited(table(spark, sf_dir, "events"), 12 * 3600, 2)
+
+
+@query()
+def circuit_breaker(spark, sf_dir):
+    """States of a breaker per user: errors are failures, clicks are failures that don't count."""
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("service"), F.col("ts").cast("timestamp").alias("ts"), "event_id", (~F.col("event_type").isin("error", "click")).alias("ok"), (F.col("event_type") != "click").alias("countable"))
+    return operations.breaker_states(e, 2, 6 * 3600.0).select("service", "event_id", "state", "let_through")
+
+
+@query()
+def reset_tokens(spark, sf_dir):
+    """Each event asks for a token; a day's cool-down and life."""
+    e = table(spark, sf_dir, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"), "event_id")
+    return operations.token_requests(e, 86_400, 86_400).select("user_id", "event_id", "expires_at", "closed_at")
+
+
+@query(f"""{_LINES}, c AS (SELECT doc_id, page, CASE WHEN length(text) < 40 THEN 0.5 WHEN length(text) < 80 THEN 0.75 ELSE 1.0 END AS conf FROM l)
+SELECT doc_id, page, round(avg(conf), 3) AS confidence, count(*) AS n_blocks FROM c GROUP BY doc_id, page HAVING avg(conf) < 0.7""")
+def page_confidence_review(spark, sf_dir):
+    """Short lines as uncertain blocks."""
+    return fidelity.pages_to_review(_lines(spark, sf_dir).withColumn("confidence", _confidence()))
+
+
+def _confidence():
+    size = F.length("text")
+    return F.when(size < 40, F.lit(0.5)).when(size < 80, F.lit(0.75)).otherwise(F.lit(1.0))
+
+
+@query(f"{_LINES} SELECT doc_id, line_no, substr({_COLLAPSED.format('text')}, 1, 80) AS preview FROM l WHERE length(text) < 40")
+def flagged_preview(spark, sf_dir):
+    """Blocks of confidence under 0.6, with their number kept."""
+    flagged = _lines(spark, sf_dir).where(_confidence() < 0.6)
+    return flagged.select("doc_id", F.col("line_no").cast("long").alias("line_no"), text.preview(F.col("text")).alias("preview"))
+
+
+@query(
+    """WITH r AS (SELECT page_id, regexp_extract(url, '^[a-z]+://([^/]+)', 1) AS host FROM pages),
+b AS (SELECT host, page_id, CAST(floor((row_number() OVER (PARTITION BY host ORDER BY page_id) - 1) / 8.0) AS BIGINT) AS batch FROM r)
+SELECT host, batch, count(*) AS n_pages, min(page_id) AS first_page FROM b GROUP BY host, batch"""
+)
+def batch_pages(spark, sf_dir):
+    p = table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", "^[a-z]+://([^/]+)", 1).alias("host"))
+    return operations.pages_in_batches(p, ["host"], ["page_id"]).groupBy("host", "batch").agg(F.count(F.lit(1)).alias("n_pages"), F.min("page_id").alias("first_page"))
+
+
+@query("""WITH r AS (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) SELECT user_id, event_id, event_type FROM r WHERE n = 1""")
+def job_lifecycle(spark, sf_dir):
+    """The last state of each user."""
+    e = table(spark, sf_dir, "events")
+    last = F.max_by(F.struct("event_id", "event_type"), F.struct("ts", "event_id")).alias("l")
+    return e.groupBy("user_id").agg(last).select("user_id", "l.event_id", "l.event_type")
+
+
+@query("""SELECT 'events_total{type="' || event_type || '"}' AS metric, round(sum(value), 4) AS value FROM events GROUP BY event_type""")
+def metric_exposition(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    out = operations.exposition(e, F.lit("events_total"), F.create_map(F.lit("type"), F.col("event_type")), F.col("value"))
+    return out.withColumn("value", F.round("value", 4))
+
+
+@query("WITH r AS (SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS n FROM events) SELECT event_type, event_id FROM r WHERE n <= 200")
+def bounded_jobs(spark, sf_dir):
+    """The 200 latest entries of each type: the eviction rule of a bounded registry."""
+    return operations.recent(table(spark, sf_dir, "events"), ["event_type"], [F.desc("ts"), F.desc("event_id")], 200).select("event_type", "event_id")
+
+
+@query("SELECT o.o_orderkey, o.o_custkey FROM orders o WHERE EXISTS (SELECT 1 FROM customer c WHERE c.c_custkey = o.o_custkey AND c.c_mktsegment = 'BUILDING')")
+def owner_scope(spark, sf_dir):
+    """Orders whose owner passes a check: semi join with a residual condition."""
+    owners = table(spark, sf_dir, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("o_custkey"))
+    return table(spark, sf_dir, "orders").join(owners, "o_custkey", "left_semi").select("o_orderkey", "o_custkey")
+
+
+@query("SELECT l_orderkey, CAST(count(*) AS BIGINT) AS n, array_to_string(list(l_partkey ORDER BY l_linenumber, l_partkey), ',') AS parts FROM lineitem GROUP BY l_orderkey")
+def ordered_keys(spark, sf_dir):
+    """Ordered arrays per key, as the columns of an index are gathered."""
+    li = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))).alias("p"))
+    return li.select("l_orderkey", "n", F.array_join(F.transform("p", lambda x: x["l_partkey"].cast("string")), ",").alias("parts"))
+
+
+@query("SELECT d.source, count(*) AS n_unlabelled FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id) GROUP BY d.source")
+def unlabelled_documents(spark, sf_dir):
+    """What is required and missing: anti join."""
+    return table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left_anti").groupBy("source").agg(F.count(F.lit(1)).alias("n_unlabelled"))
+
+
+@query("SELECT d.doc_id, coalesce(l.quality, -1) AS quality, coalesce(l.toxic, -1) AS toxic FROM documents d LEFT JOIN labels l USING (doc_id)")
+def patched_status(spark, sf_dir):
+    """A list with patches merged in: left join and defaults."""
+    j = table(spark, sf_dir, "documents").select("doc_id").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    return j.select("doc_id", F.coalesce("quality", F.lit(-1)).alias("quality"), F.coalesce("toxic", F.lit(-1)).alias("toxic"))
+
+
+@query("SELECT source, count(*) AS n_files, max(strlen(text)) AS largest, CAST(sum(strlen(text)) AS BIGINT) AS total, count(*) <= 10 AND max(strlen(text)) <= 52428800 AND sum(strlen(text)) <= 524288000 AS accepted FROM documents GROUP BY source")
+def upload_batch_limits(spark, sf_dir):
+    """Ten files, 50 MiB each and 500 MiB together at most, per source."""
+    size = F.octet_length("text").cast("long")
+    d = table(spark, sf_dir, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("n_files"), F.max(size).alias("largest"), F.sum(size).alias("total"))
+    return d.withColumn("accepted", (F.col("n_files") <= 10) & (F.col("largest") <= 50 << 20) & (F.col("total") <= 500 << 20))
+
+
+@query(
+    """SELECT CASE WHEN strlen(html) > 20000 THEN 413 WHEN html NOT LIKE '<!DOCTYPE%' THEN 400 WHEN html NOT LIKE '%</html>%' THEN 422 ELSE 202 END AS status_code, count(*) AS n FROM pages GROUP BY 1"""
+)
+def upload_admission(spark, sf_dir):
+    """Pages as uploads: size, magic bytes and a complete end stand in for the checks of a file."""
+    p = table(spark, sf_dir, "pages")
+    a = triage.admission(F.lit("x.pdf"), F.octet_length("html"), F.startswith("html", F.lit("<!DOCTYPE")), ~F.contains("html", F.lit("</html>")), F.lit(False), F.lit(True), F.lit(True), 20_000)
+    return p.groupBy(a["status_code"].alias("status_code")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def cut_paragraphs(spark, sf_dir):
+    """Paragraphs left after joining those that a page break cuts."""
+    blocks = assembly.ordered(_blocks(spark, sf_dir).drop("bbox"))
+    return assembly.join_cut_paragraphs(blocks).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_blocks"), F.sum(F.length("text")).alias("chars"))
+
+
+@query()
+def hierarchy_numbering(spark, sf_dir):
+    """Kinds of lines after the numbering check, with the confidence they keep."""
+    lines = structure.with_pattern(_lines(spark, sf_dir)).withColumn("page", F.col("page").cast("int")).withColumn("kind", F.coalesce("kind", F.lit("paragraph")))
+    return structure.validated(lines).groupBy("final_kind", "demoted", "confidence").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def role_agreement(spark, sf_dir):
+    """Roles of a conversation's turns against user and assistant in turn."""
+    c = table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("doc_id")).agg(F.array_sort(F.collect_list(F.struct("turn", "role"))).alias("t"))
+    gold = F.transform("t", lambda x, i: F.when(i % 2 == 0, F.lit("user")).otherwise(F.lit("assistant")))
+    return fidelity.type_agreement(c.select("doc_id", F.transform("t", lambda x: x["role"]).alias("pred"), gold.alias("gold")))
+
+
+@query("SELECT user_id, event_type, min(ts) AS ts FROM events GROUP BY user_id, event_type")
+def stream_first_refund(spark, sf_dir):
+    """Structured Streaming: the first event of each user and type, kept in state."""
+    return jobs.first_seen(spark, f"{sf_dir}/events.parquet")
+
+
+@query()
+def stream_rate_limit(spark, sf_dir):
+    """Structured Streaming: calls per user in windows that open with a first call."""
+    return jobs.rate_limit(spark, f"{sf_dir}/events.parquet", 12 * 3600, 2)
