@@ -12,7 +12,7 @@ U64 = np.uint64
 BASE = U64(0x9E3779B97F4A7C15 | 1)
 INV = U64(pow(int(BASE), -1, 1 << 64))
 #: Bytes of text that are looked at together, so that temporary arrays stay small.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 _pow = {"n": 0, "up": np.ones(1, U64), "down": np.ones(1, U64)}
 

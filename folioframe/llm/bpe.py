@@ -151,7 +151,7 @@ def _task(path: str, kept: tuple[bool, bool]):
         c = codec(path)
         for batch in batches:
             ids, (offsets, data) = batch.column(0), B.columns(batch)
-            for i, j in B.chunks(offsets, 8 * B.CHUNK):
+            for i, j in B.chunks(offsets, 16 * B.CHUNK):
                 rows = []
                 for k in range(i, j):
                     own = data[offsets[k] : offsets[k + 1]]

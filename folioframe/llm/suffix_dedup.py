@@ -42,9 +42,9 @@ DEPTH = 100
 GRAM = 24
 WIDTH = DEPTH - GRAM + 1
 #: Longer texts are looked at in pieces of so many windows.
-PIECE = 1 << 20
+PIECE = 1 << 19
 #: Bytes of text whose records are combined before they are dealt out; records of an anchor from which on windows are dealt out singly.
-FLUSH = 24 << 20
+FLUSH = 16 << 20
 HOT = 2000
 _POS = B.U64((1 << 22) - 1)
 NO_ID = -(1 << 63)
