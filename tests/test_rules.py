@@ -245,3 +245,25 @@ def test_streams_agree_with_batch(spark, small):
     assert {r.event_id for r in jobs.drained(jobs.watch_quota(stream(), 2)).collect()} == kept
     once = jobs.drained(jobs.watch_refunds(stream(), ["user_id", "event_type"])).select("user_id", "event_type")
     assert once.count() == once.distinct().count() == events.select("user_id", "event_type").distinct().count()
+
+
+def test_service_rules(spark):
+    from folioframe.functions import service
+
+    calls = [("convert", "post"), ("convert", "GET"), ("convert/ab-1/report", "GET"), ("convert/a b", "GET"), ("admin", "GET"), ("settings/llm", "DELETE")]
+    assert values(spark, service.route_status(F.col("p"), F.col("m")), calls, "p string, m string") == [200, 405, 200, 404, 404, 200]
+    errors = [(401, ""), (500, "API key expired."), (500, "timeout"), (None, None)]
+    assert values(spark, service.rejects_key(F.col("c"), F.col("t")), errors, "c int, t string") == [True, True, False, False]
+    addresses = [("8.8.8.8",), ("10.1.2.3",), ("198.19.0.1",), ("256.1.1.1",), ("x",), (None,)]
+    assert values(spark, service.is_global_ipv4(F.col("a")), addresses, "a string") == [True, False, False, False, False, False]
+    payloads = [('{"provider":"gemini","model":"m","apiKey":"k"}',), ('{"provider":"gemini","model":3,"apiKey":"k"}',), ("[1]",), ("{",), (None,)]
+    assert [bool(v) for v in values(spark, service.vision_settings(F.col("t")), payloads, "t string")] == [True, False, False, False, False]
+    key = F.lit("0123456789abcdef0123456789abcdef").cast("binary")
+    assert values(spark, service.opened(service.sealed(F.col("a"), key), key), addresses[:2], "a string") == ["8.8.8.8", "10.1.2.3"]
+    cells = spark.createDataFrame([(1, r, c, "x" if r or c else " ") for r in range(2) for c in range(2)] + [(2, r, 0, "x") for r in range(3)], "table_id int, row int, col int, text string")
+    assert [r.table_id for r in triage.accepted_tables(cells).collect()] == [1]
+    sides = spark.createDataFrame([(1, "gold", "image", "seal"), (1, "gold", "image", "seal"), (1, "pred", "image", "seal"), (2, "pred", "list", None)], "doc_id int, side string, type string, kind string")
+    assert {r.doc_id: r.recall for r in fidelity.seal_recall(sides).collect()} == {1: 0.5, 2: 1.0}
+    admitted = triage.admission(F.col("n"), F.col("s"), F.lit(True), F.lit(False), F.col("scan"), F.lit(False), F.col("q"), 100)
+    uploads = [("a.PDF", 1, False, True), ("a.txt", 1, False, True), ("a.pdf", 101, False, True), ("a.pdf", 1, True, True), ("a.pdf", 1, False, False)]
+    assert [v.status_code for v in values(spark, admitted, uploads, "n string, s int, scan boolean, q boolean")] == [202, 400, 413, 422, 429]
