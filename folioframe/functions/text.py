@@ -20,6 +20,17 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def n_letters(text: Column) -> Column:
+    """Letters left once everything between them is cut out: far fewer matches than letters."""
+    return F.length(F.regexp_replace(text, "\\P{L}+", ""))
+
+
+def count_of(text: Column, characters: str) -> Column:
+    """How many of a text's characters are among some, none of them ASCII: runs of ASCII are cut out first."""
+    other = F.regexp_replace(text, "[\\x00-\\x7F]+", "")
+    return F.length(other) - F.length(F.translate(other, characters, ""))
+
+
 def collapse(text: Column) -> Column:
     """Runs of white space, of any kind, as one space; none at the ends."""
     return F.trim(F.regexp_replace(text, "(?U)\\s+", " "))
@@ -37,17 +48,17 @@ def clean_line(text: Column) -> Column:
 
 def diacritic_share(text: Column) -> Column:
     """Share of letters that carry a Vietnamese diacritic; 0 without letters."""
-    letters = F.regexp_count(text, F.lit("\\p{L}"))
-    marked = F.regexp_count(F.lower(text), F.lit(f"[{VIETNAMESE}]"))
+    letters = n_letters(text)
+    marked = count_of(F.lower(text), VIETNAMESE)
     return F.when(letters == 0, F.lit(0.0)).otherwise(marked / letters)
 
 
 def untrusted(text: Column) -> Column:
     """Too few letters, hardly any diacritics, or replacement characters, at the text's start."""
     start = F.substring(text, 1, SAMPLE_CHARS)
-    replaced = F.length(start) - F.length(F.replace(start, F.lit("�"), F.lit("")))
+    replaced = count_of(start, "�")
     return (
-        (F.regexp_count(start, F.lit("\\p{L}")) < LEAST_LETTERS)
+        (n_letters(start) < LEAST_LETTERS)
         | (diacritic_share(start) < LEAST_DIACRITICS)
         | (replaced > MOST_REPLACED * F.length(start))
     )

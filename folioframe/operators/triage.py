@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.legacy import best_decoding
-from ..functions.text import let, untrusted
+from ..functions.text import untrusted
 
 #: Page classes, and bounds for scans and tables.
 SCANNED, LEGACY, TABLES, DIGITAL = "SCANNED", "LEGACY_TEXT", "TABLE_HEAVY", "DIGITAL_TEXT"
@@ -16,12 +16,14 @@ FULL_PAGE, SLIVER, FILL, COLUMNS = 0.70, 150, 0.70, 2
 def page_class(text: Column, image_share: Column, n_tables: Column) -> Column:
     """First rule that holds; the text is taken without white space at its ends."""
     bare = F.regexp_replace(F.coalesce(text, F.lit("")), "(?U)^\\s+|\\s+$", "")
-    # decoding is costly: it comes last, and once
-    by_text = let(
-        best_decoding(bare).isNotNull(),
-        lambda can: F.when(untrusted(bare), F.when(can, F.lit(LEGACY)).otherwise(F.lit(SCANNED))).when(n_tables > 0, F.lit(TABLES)).when(can, F.lit(LEGACY)).otherwise(F.lit(DIGITAL)),
+    can_decode = best_decoding(bare)["encoding"].isNotNull()
+    return (
+        F.when((bare == "") | ((image_share >= FULL_PAGE) & (F.length(bare) < SLIVER)), F.lit(SCANNED))
+        .when(untrusted(bare), F.when(can_decode, F.lit(LEGACY)).otherwise(F.lit(SCANNED)))
+        .when(n_tables > 0, F.lit(TABLES))
+        .when(can_decode, F.lit(LEGACY))
+        .otherwise(F.lit(DIGITAL))
     )
-    return F.when((bare == "") | ((image_share >= FULL_PAGE) & (F.length(bare) < SLIVER)), F.lit(SCANNED)).otherwise(by_text)
 
 
 def image_share(images: Column, width: Column, height: Column) -> Column:
