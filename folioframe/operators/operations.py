@@ -112,7 +112,7 @@ def breaker_states(calls: DataFrame, threshold: int = 5, reset_seconds: float =
         states, passed = [], []
         rows = rows.sort_values(["ts", "event_id"], kind="stable")
         for ts, ok, countable in zip(rows["ts"], rows["ok"], rows["countable"], strict=True):
-            probing = state == "open" and (ts - last).total_seconds() >= reset_seconds
+            probing = state == "half-open" or (state == "open" and (ts - last).total_seconds() >= reset_seconds)
             through = state != "open" or probing
             if through:
                 if ok:
