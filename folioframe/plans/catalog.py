@@ -164,13 +164,26 @@ SELECT conv_id, turn, round(CASE WHEN ref = '' THEN CASE WHEN hyp = '' THEN 0.0
 FROM t WHERE ref IS NOT NULL AND {_ASCII.format("ref")} AND {_ASCII.format("hyp")} AND length(ref) < 400 AND length(hyp) < 400"""
 )
 def cer_pairs(spark, sf_dir):
-    """Neighbouring turns of a conversation, plain ASCII ones under 400 characters: a report on short turns."""
+    """Neighbouring turns of a conversation, plain ASCII ones under 400 characters: the part of cer_all_pairs that SQL can check."""
     w = Window.partitionBy("conv_id").orderBy("turn")
     t = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.trim("text").alias("hyp"), F.trim(F.lag("text").over(w)).alias("ref"))
     plain = lambda c: F.col(c).rlike("^[\\x00-\\x7F]*$") & (F.length(c) < 400)
     return t.where(F.col("ref").isNotNull() & plain("ref") & plain("hyp")).select("conv_id", "turn", F.round(text.error_rate(F.col("ref"), F.col("hyp")), 6).alias("cer"))
 
 
+def error_rates(turns: DataFrame) -> DataFrame:
+    """conv_id, turn, cer of every turn that follows another one, over whole texts; a null text is empty."""
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    t = turns.select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("hyp"), F.lag(F.coalesce("text", F.lit(""))).over(w).alias("ref"))
+    return t.where("ref IS NOT NULL").select("conv_id", "turn", F.round(text.error_rate(F.col("ref"), F.col("hyp")), 6).alias("cer"))
+
+
+@query()
+def cer_all_pairs(spark, sf_dir):
+    """All neighbouring turns of a conversation. No SQL: DuckDB's levenshtein counts bytes."""
+    return error_rates(table(spark, sf_dir, "conversations"))
+
+
 def _blocks(spark, sf_dir):
     """Lines as paragraphs; the first and the last line of a chunk lie in the margins."""
     at = F.col("line_no") % PAGE_LINES
