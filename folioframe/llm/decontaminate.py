@@ -20,13 +20,15 @@ ignored, whatever their names.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.runtime import materialize
 from . import _bytes as B
 
 WINDOW = 13
@@ -255,27 +257,48 @@ def _blocks(benchmark: DataFrame, size: int) -> Iterator[list[tuple[str, str | N
         yield block
 
 
+def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """The rows with a number each in a column of its own, written once so that the numbers stay."""
+    key = "row"
+    while key in map(str.lower, docs.columns):
+        key = f"_{key}"
+    return materialize(docs.withColumn(key, F.monotonically_increasing_id()), "decontamination-rows"), key
+
+
+def _over_blocks(read: DataFrame, blocks: Iterable[list[tuple[str, str | None]]]) -> DataFrame:
+    """Hits of rows (number, text) with all blocks, put together by the number, which stands as doc_id."""
+    both = None
+    for block in blocks:
+        part = read.mapInArrow(_task(Phrases(block)), SCHEMA)
+        both = part if both is None else both.unionByName(part)
+    whole = both.groupBy("doc_id").agg(
+        F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("s"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")
+    )
+
+    def add(a, x):
+        end = F.element_at(a, -1)
+        longer = F.struct(end["first"].alias("first"), F.greatest(end["last"], x["last"]).alias("last"))
+        return F.when((F.size(a) > 0) & (x["first"] <= F.try_element_at(a, F.lit(-1))["last"]), F.concat(F.slice(a, F.lit(1), F.size(a) - 1), F.array(longer))).otherwise(F.concat(a, F.array(x)))
+
+    spans = F.aggregate("s", F.array().cast("array<struct<first:bigint,last:bigint>>"), add)
+    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["last"] - x["first"])
+    return whole.select("doc_id", "n_words", spans.alias("spans"), "items").select("doc_id", "n_words", n_hit.alias("n_hit"), "spans", "items")
+
+
+def _contaminated(found: DataFrame) -> DataFrame:
+    return found.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, block_items: int = BLOCK_ITEMS) -> DataFrame:
     """doc_id, n_words, n_hit, spans (of word numbers, merged), items (sorted), contaminated."""
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    parts = [read.mapInArrow(_task(Phrases(block)), SCHEMA) for block in _blocks(benchmark, block_items)]
-    if len(parts) < 2:
-        out = parts[0] if parts else read.mapInArrow(_task(Phrases([])), SCHEMA)
-    else:
-        both = parts[0]
-        for p in parts[1:]:
-            both = both.unionByName(p)
-        whole = both.groupBy("doc_id").agg(
-            F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("s"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")
-        )
-        # sorted spans: each adds what lies beyond the furthest end so far
-        fold = F.aggregate(
-            "s",
-            F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("end")),
-            lambda a, x: F.struct((a["n"] + F.greatest(F.lit(0), x["last"] - F.greatest(x["first"], a["end"]))).alias("n"), F.greatest(a["end"], x["last"]).alias("end")),
-        )
-        out = whole.select("doc_id", "n_words", fold["n"].alias("n_hit"), F.col("s").alias("spans"), "items")
-    return out.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
+    blocks = _blocks(benchmark, block_items)
+    first, second = next(blocks, []), next(blocks, None)
+    if second is None:
+        return _contaminated(read.mapInArrow(_task(Phrases(first)), SCHEMA))
+    rows, key = _numbered(read)
+    found = _over_blocks(rows.select(key, "text"), chain([first, second], blocks)).withColumnRenamed("doc_id", key)
+    return _contaminated(found.join(rows.select(key, "doc_id"), key).select("doc_id", "n_words", "n_hit", "spans", "items"))
 
 
 def digest(found: DataFrame) -> DataFrame:
@@ -285,10 +308,11 @@ def digest(found: DataFrame) -> DataFrame:
 def clean(docs: DataFrame, benchmark: DataFrame, block_items: int = BLOCK_ITEMS) -> DataFrame:
     """The documents, with all columns, that aren't contaminated."""
     blocks = _blocks(benchmark, block_items)
-    first = next(blocks, [])
-    if next(blocks, None) is not None:
-        bad = contamination(docs.select("doc_id", "text"), benchmark, block_items).where("contaminated").select(F.col("doc_id").alias("bad_id"))
-        return docs.join(bad, F.col("doc_id").cast("long") == F.col("bad_id"), "left_anti")
+    first, second = next(blocks, []), next(blocks, None)
+    if second is not None:
+        rows, key = _numbered(docs)
+        bad = _contaminated(_over_blocks(rows.select(key, "text"), chain([first, second], blocks))).where("contaminated").select(F.col("doc_id").alias(key))
+        return rows.join(bad, key, "left_anti").select(*docs.columns)
     phrases = Phrases(first)
 
     def judged(shard: _Shard, held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
