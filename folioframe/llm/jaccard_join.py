@@ -11,12 +11,14 @@ copies (equal sets) are one class, with its smallest doc_id as representative.
    and those of B have at least m in common. m is 1 while a prefix has rare shingles only;
    a prefix that runs into frequent ones has a high candidate cost, is lengthened (up to
    m = 1 + MORE) and asks for as many common shingles. Records meet by shingle in buckets.
-3. Pairs from small groups are counted over all shingles; with enough of them, and with
-   parity signatures that allow it, the pair is verified on the texts. In groups above
-   GROUP members each document is compared with one other member a round, and only with
-   one from another component; what is left after ROUNDS is compared pair by pair across
-   components where signatures allow it. A group of n near copies costs about n comparisons.
-4. Components by minimum labels with pointer jumping, each round written to shared storage.
+3. Pairs from groups up to GROUP members are counted where they meet. Larger groups are cut
+   into blocks; two blocks meet in a task, which compares parity signatures of all pairs and
+   counts the common shingles of large groups of those that could be similar, in the first
+   group they share only. A pair with enough common shingles in all is verified on the
+   texts. Pairs of large groups are verified in tiles of two small blocks, so that a text
+   moves once a tile and not once a pair.
+4. Components by minimum labels with pointer jumping over a spanning part of the links of
+   each tile, each round written to shared storage.
 
 Cases: null and empty texts have no shingles and link with nothing; texts under five words
 are one shingle. Rows with one doc_id are one document if their texts are equal, and linked
@@ -42,7 +44,9 @@ PART, WHOLE = 80, 100
 #: Bytes of text whose sets are looked at together; how often a shingle is frequent in a task, and overall; bits of the map.
 FLUSH = 16 << 20
 OFTEN_IN_TASK, OFTEN, MAP_BITS = 2, 8, 23
-MORE, GROUP, ROUNDS, PER_HUB = 3, 12, 4, 400
+MORE, GROUP, PER_HUB = 3, 12, 400
+#: Members of a block of a large group whose signatures are compared, and of a block whose texts are.
+BLOCK, TILE = 2000, 150
 SIGNATURE = 512
 #: Groups from this size on whose shingle wasn't known to be frequent call for new prefixes; rows up to which a side is broadcast.
 UNSEEN, SMALL_SIDE = 1000, 50_000
@@ -171,7 +175,7 @@ def _prefixes(hot: np.ndarray, n_buckets: int):
     return run
 
 
-CANDIDATES = "a long, b long, common int, need int, token long, docs array<long>, sizes array<int>"
+CANDIDATES = "a long, b long, common int, need int, token long, weight int, docs array<long>, needs array<int>"
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,9 +205,12 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             pairs = pairs[at]
         else:
             common = np.zeros(0, np.int64)
-        large = [(r["doc"][e : e + c].tolist(), r["n"][e : e + c].tolist(), int(r["h"][e].astype(np.int64))) for e, c in zip(edge[count > GROUP], count[count > GROUP], strict=True)]
-        # groups of one bucket with the same members tell the same
-        large = list({tuple(x[0]): x for x in large}.values())
+        # groups of one bucket with the same members tell the same: one stands for them, with their number as weight
+        alike: dict[tuple, list] = {}
+        for e, c in zip(edge[count > GROUP], count[count > GROUP], strict=True):
+            docs = r["doc"][e : e + c].tolist()
+            alike.setdefault(tuple(docs), [docs, r["m"][e : e + c].tolist(), int(r["h"][e].astype(np.int64)), 0])[3] += 1
+        large = list(alike.values())
         none, k = [None] * len(large), len(pairs)
         return pa.record_batch(
             [
@@ -212,10 +219,11 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pa.array([*common.tolist(), *none], pa.int32()),
                 pa.array([*pairs[:, 2].tolist(), *none], pa.int32()),
                 pa.array([*[None] * k, *(x[2] for x in large)], pa.int64()),
+                pa.array([*[None] * k, *(x[3] for x in large)], pa.int32()),
                 pa.array([*[None] * k, *(x[0] for x in large)], pa.list_(pa.int64())),
                 pa.array([*[None] * k, *(x[1] for x in large)], pa.list_(pa.int32())),
             ],
-            ["a", "b", "common", "need", "token", "docs", "sizes"],
+            ["a", "b", "common", "need", "token", "weight", "docs", "needs"],
         )
 
     now, held = None, []
@@ -230,29 +238,120 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield met(held)
 
 
+def _crossed(g: int, c: int, doc: np.ndarray, block: np.ndarray, n: np.ndarray, m: np.ndarray, bits: np.ndarray, owner: np.ndarray, tokens: np.ndarray) -> Iterator[np.ndarray]:
+    """(a, b, common, need, tile) of the pairs of two blocks of group g, or of one, whose first common large group is g.
+
+    tokens are the large groups of the members, as often as they weigh, and owner their members.
+    """
+    order = np.argsort(n, kind="stable")
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    doc, block, n, m, bits, owner = doc[order], block[order], n[order], m[order], bits[order], place[owner]
+    crossing = block.min() != block.max()
+    ids, at = np.unique(tokens, return_inverse=True)
+    own, sub = None, (B.mix(doc.astype(B.U64)) % B.U64(c // TILE + 1)).astype(B.U64)
+    for i in range(0, len(doc), 64):
+        k = min(i + 64, len(doc))
+        end = int(np.searchsorted(n, n[k - 1] * WHOLE // PART, "right"))
+        apart = np.bitwise_count(bits[i:k, None, :] ^ bits[None, i:end, :]).sum(2, dtype=np.int64)
+        x, y = n[i:k, None], n[None, i:end]
+        fit = (apart * (WHOLE + PART) <= (x + y) * (WHOLE - PART)) & (x * WHOLE >= y * PART) & (np.arange(i, k)[:, None] < np.arange(i, end)[None, :])
+        fit &= doc[i:k, None] != doc[None, i:end]
+        if crossing:
+            fit &= block[i:k, None] != block[None, i:end]
+        p, q = np.nonzero(fit)
+        if not len(p):
+            continue
+        if own is None:  # members by the groups that some two of them share
+            count = np.zeros(len(ids), np.int64)
+            np.add.at(count, np.unique(owner * len(ids) + at) % len(ids), 1)
+            shared = np.flatnonzero(count > 1)
+            column = np.full(len(ids), -1)
+            column[shared] = np.arange(len(shared))
+            keep = column[at] >= 0
+            own = np.zeros((len(doc), len(shared)), np.float32)
+            np.add.at(own, (owner[keep], column[at[keep]]), 1)
+            has = (own > 0).astype(np.float32)
+            before = int(np.searchsorted(ids[shared], g))
+        first = (has[i:k, :before] @ has[i:end, :before].T)[p, q] == 0
+        common = np.rint((has[i:k] @ own[i:end].T)[p, q]).astype(np.int64)[first]
+        p, q = p[first] + i, q[first] + i
+        tile = B.mix(B.mix(np.minimum(sub[p], sub[q]) * B.U64(1 << 32) + np.maximum(sub[p], sub[q])) ^ np.int64(g).astype(B.U64)).astype(np.int64)
+        yield np.stack([np.minimum(doc[p], doc[q]), np.maximum(doc[p], doc[q]), common, np.minimum(m[p], m[q]), tile], 1)
+
+
+def _cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Candidates of large groups; rows come ordered by (g, lo, hi)."""
+    held: list[list[np.ndarray]] = []
+    now = None
+
+    def done():
+        g, c, doc, block, n, m = (np.concatenate([h[k] for h in held]) for k in range(6))
+        bits, size, tokens = (np.concatenate([h[k] for h in held]) for k in range(6, 9))
+        for x in _crossed(int(g[0]), int(c[0]), doc, block, n, m, bits, np.repeat(np.arange(len(doc)), size), tokens):
+            yield pa.record_batch([pa.array(x[:, k]) for k in range(5)], ["a", "b", "common", "need", "tile"])
+
+    for batch in batches:
+        col = [batch.column(k).to_numpy().astype(np.int64) for k in range(8)]  # g, lo, hi, c, doc, block, n, m
+        bits = batch.column(8).flatten().to_numpy().view(B.U64).reshape(len(batch), SIGNATURE // 64)
+        lists = batch.column(9)
+        size, tokens = np.diff(lists.offsets.to_numpy()), lists.flatten().to_numpy()
+        ends = np.concatenate([[0], np.cumsum(size)])
+        new = np.append(True, (col[0][1:] != col[0][:-1]) | (col[1][1:] != col[1][:-1]) | (col[2][1:] != col[2][:-1]))
+        edge = np.flatnonzero(new)[: len(batch)]
+        for i, j in zip(edge, np.append(edge[1:], len(batch)), strict=True):
+            key = (col[0][i], col[1][i], col[2][i])
+            if key != now and held:
+                yield from done()
+                held.clear()
+            now = key
+            held.append([*(col[k][i:j] for k in (0, 3, 4, 5, 6, 7)), bits[i:j], size[i:j], tokens[ends[i] : ends[j]]])
+    if held:
+        yield from done()
+
+
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links between a and each other document of its rows; rows come ordered by (a, part), with a itself first."""
-    now, own = None, None
+    """Links among the pairs of a tile, and which of them span it; rows come ordered by (tile, doc), the row of pairs first."""
+    first, second, sets = [], [], {}
+
+    def same(x, y):
+        x, y = (x, y) if len(x) < len(y) else (y, x)
+        if not len(x):
+            return False
+        common = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+        return WHOLE * common >= PART * (len(x) + len(y) - common)
+
+    def done():
+        top: dict[int, int] = {}
+
+        def root(x):
+            while (up := top.get(x, x)) != x:
+                top[x] = x = top.get(up, up)
+            return x
+
+        out = []
+        for a, b in zip(first, second, strict=True):
+            if any(same(x, y) for x in sets.get(a, ()) for y in sets.get(b, ())):
+                x, y = root(a), root(b)
+                top[max(x, y)] = min(x, y)
+                out.append((a, b, x != y))
+        return pa.record_batch([pa.array([o[k] for o in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.bool_()))], ["a", "b", "spans"])
+
     for batch in batches:
-        a, part, doc = (batch.column(k).to_numpy() for k in range(3))
+        doc = batch.column(1).to_pylist()
         offsets, data = B.columns(batch)
-        out: list[tuple[int, int]] = []
         for i, j in B.chunks(offsets):
-            low = B.LOWER[data[offsets[i] : offsets[j]]]
-            row, h = shingles(low, offsets[i : j + 1] - offsets[i])
+            row, h = shingles(B.LOWER[data[offsets[i] : offsets[j]]], offsets[i : j + 1] - offsets[i])
             at = np.searchsorted(row, np.arange(j - i + 1))
             for k in range(j - i):
-                mine = h[at[k] : at[k + 1]]
-                x = i + k
-                if (a[x], part[x]) != now:
-                    now, own = (a[x], part[x]), mine
-                if a[x] == doc[x]:
+                if doc[i + k] is not None:
+                    sets.setdefault(doc[i + k], []).append(h[at[k] : at[k + 1]].copy())
                     continue
-                both = np.searchsorted(own, mine)
-                common = int((own[np.minimum(both, len(own) - 1)] == mine).sum()) if len(own) else 0
-                if common and WHOLE * common >= PART * (len(own) + len(mine) - common):
-                    out.append((int(a[x]), int(doc[x])))
-        yield pa.record_batch([pa.array([x for x, _ in out], pa.int64()), pa.array([x for _, x in out], pa.int64())], ["a", "b"])
+                if first:
+                    yield done()
+                first, second, sets = batch.column(3)[i + k].as_py(), batch.column(4)[i + k].as_py(), {}
+    if first:
+        yield done()
 
 
 def _near(n: Column, bits: Column, other_n: Column, other_bits: Column) -> Column:
@@ -268,17 +367,39 @@ def _plausible(pairs: DataFrame, marks: DataFrame) -> DataFrame:
 
 
 def _links(pairs: DataFrame, texts: DataFrame, n: int) -> DataFrame:
-    """The pairs (a, b) that reach the similarity; the members of an a are spread over parts of some PER_HUB."""
-    parts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PER_HUB).alias("parts"))
-    roles = pairs.join(parts, "a").select("a", F.pmod(F.xxhash64("b"), "parts").alias("part"), F.col("b").alias("doc"))
-    roles = roles.unionByName(roles.select("a", "part", F.col("a").alias("doc")).distinct())
-    roles = materialize(roles, "jaccard-roles")
-    asked = roles.groupBy("doc").agg(F.collect_list(F.struct("a", "part")).alias("roles"))
+    """a, b, spans of the pairs (a, b, tile) that reach the similarity; without a tile the pairs of an a are spread over parts of some PER_HUB."""
+    single = pairs.where("tile is null")
+    parts = single.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PER_HUB).alias("parts"))
+    single = single.join(parts, "a").select("a", "b", F.xxhash64("a", F.pmod(F.xxhash64("b"), "parts")).alias("tile"))
+    tiled = materialize(single.unionByName(pairs.where("tile is not null")), "jaccard-tiles")
+    roles = materialize(tiled.select("tile", F.explode(F.array("a", "b")).alias("doc")).distinct(), "jaccard-roles")
+    asked = roles.groupBy("doc").agg(F.collect_list("tile").alias("tiles"))
     if roles.count() <= SMALL_SIDE:
         asked = F.broadcast(asked)
-    rows = texts.join(asked, "doc").select(F.explode("roles").alias("r"), "doc", "text").select("r.a", "r.part", "doc", "text")
-    rows = rows.repartition(n, "a", "part").sortWithinPartitions("a", "part", F.col("a") != F.col("doc"))
-    return rows.mapInArrow(_compare, "a long, b long")
+    none = F.lit(None).cast("array<long>")
+    rows = texts.join(asked, "doc").select(F.explode("tiles").alias("tile"), "doc", "text", none.alias("first"), none.alias("second"))
+    lists = tiled.groupBy("tile").agg(F.collect_list(F.struct("a", "b")).alias("p"))
+    rows = rows.unionByName(lists.select("tile", F.lit(None).cast("long").alias("doc"), F.lit(None).cast("string").alias("text"), F.col("p.a").alias("first"), F.col("p.b").alias("second")))
+    rows = rows.repartition(n, "tile").sortWithinPartitions("tile", F.asc_nulls_first("doc"))
+    return rows.mapInArrow(_compare, "a long, b long, spans boolean")
+
+
+def _candidates(met: DataFrame, marks: DataFrame, n: int) -> DataFrame:
+    """a, b, tile of the pairs with enough common prefix shingles that sizes and signatures allow."""
+    groups = met.where("docs is not null").select(F.col("token").alias("g"), "weight", F.size("docs").alias("c"), F.explode(F.arrays_zip("docs", "needs")).alias("z"))
+    groups = materialize(groups.select("g", "weight", "c", F.col("z.docs").alias("doc"), F.col("z.needs").alias("m")), "shingle-groups")
+    own = groups.groupBy("doc").agg(F.flatten(F.collect_list(F.array_repeat("g", F.col("weight")))).alias("tokens"))
+    known = groups.join(own.join(marks, "doc"), "doc")
+    blocks = F.ceil(F.col("c") / BLOCK)
+    known = known.withColumn("block", F.pmod(F.xxhash64("doc"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    rows = known.select("g", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "c", "doc", "block", "n", "m", "bits", "tokens")
+    rows = rows.repartition(n, "g", "lo", "hi").sortWithinPartitions("g", "lo", "hi")
+    large = rows.mapInArrow(_cross, "a long, b long, common long, need long, tile long")
+    small = met.where("a <> b").select("a", "b", F.col("common").cast("long").alias("common"), F.col("need").cast("long").alias("need"), F.lit(None).cast("long").alias("tile"))
+    pairs = small.unionByName(large).groupBy("a", "b").agg(F.sum("common").alias("common"), F.min("need").alias("need"), F.min("tile").alias("tile"))
+    pairs = materialize(pairs.where("common >= need").select("a", "b", "tile"), "jaccard-pairs")
+    single = _plausible(pairs.where("tile is null").select("a", "b"), marks).withColumn("tile", F.lit(None).cast("long"))
+    return materialize(single.unionByName(pairs.where("tile is not null")), "jaccard-pairs")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -306,7 +427,7 @@ def _frequent(tokens: DataFrame) -> np.ndarray:
 
 
 def join(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, n_links: links found from the class of the document (at least what connects it)."""
+    """doc_id, n_shingles, component_id, n_links: how many other classes the class of the document is linked with."""
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
@@ -322,39 +443,9 @@ def join(docs: DataFrame) -> DataFrame:
         found = _frequent(met.where(F.size("docs") >= UNSEEN).select(F.col("token").alias("a")))
         if not (found & ~hot).any():
             break
-    small = met.where("a is not null").groupBy("a", "b").agg(F.sum("common").alias("common"), F.min("need").alias("need")).where("common >= need").select("a", "b")
     marks = scan.where("kind = 0").groupBy(F.col("a").alias("doc")).agg(F.first("b").alias("n"), F.first("bits").alias("bits"))
-    groups = materialize(met.where("docs is not null").select(F.col("token").alias("g"), F.explode("docs").alias("doc")).join(marks, "doc"), "shingle-groups")
-    hub = lambda key: F.struct("doc", "n", "bits").alias("h") if key is None else F.min_by(F.struct("doc", "n", "bits"), key).alias("h")
-    # round 0: each document with the smallest member of its large groups
-    star = groups.join(groups.groupBy("g").agg(F.min("doc").alias("hub")), "g").where("doc <> hub").groupBy("doc").agg(F.min("hub").alias("hub"))
-    pairs = small.unionByName(star.select(F.least("doc", "hub").alias("a"), F.greatest("doc", "hub").alias("b"))).distinct()
-    tried = materialize(_plausible(pairs, marks), "jaccard-pairs")
-    links = materialize(_links(tried, texts, n), "jaccard-links")
-    labels = components(links)
-    for step in range(1, ROUNDS + 1):
-        known = groups.join(labels, F.col("doc") == F.col("node"), "left").select("g", "doc", "n", "bits", F.coalesce("label", "doc").alias("label"))
-        split = known.groupBy("g").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("g")
-        left = materialize(known.join(split, "g", "left_semi"), "shingle-open")
-        if left.isEmpty():
-            break
-        if step < ROUNDS:
-            pick = left.groupBy("g").agg(hub(F.xxhash64("doc", F.lit(step))), F.min_by("label", F.xxhash64("doc", F.lit(step))).alias("hub_label"))
-            more = left.join(pick, "g").where("label <> hub_label").where(_near(F.col("n"), F.col("bits"), F.col("h.n"), F.col("h.bits")))
-            more = more.groupBy("doc").agg(F.min_by("h.doc", F.xxhash64("h.doc", F.lit(step))).alias("other"))
-        else:
-            other = left.select("g", hub(None), F.col("label").alias("hub_label"))
-            near = (F.col("label") < F.col("hub_label")) & _near(F.col("n"), F.col("bits"), F.col("h.n"), F.col("h.bits"))
-            more = left.withColumnRenamed("g", "g1").join(other, (F.col("g1") == F.col("g")) & near).select("doc", F.col("h.doc").alias("other")).distinct()
-        more = more.select(F.least("doc", "other").alias("a"), F.greatest("doc", "other").alias("b")).distinct()
-        more = materialize(more.join(tried, ["a", "b"], "left_anti"), "jaccard-pairs")
-        if more.isEmpty():
-            continue
-        tried = tried.unionByName(more)
-        new = materialize(_links(more, texts, n), "jaccard-links")
-        if not new.isEmpty():
-            links = links.unionByName(new)
-            labels = components(links)
+    links = materialize(_links(_candidates(met, marks, n), texts, n), "jaccard-links")
+    labels = components(links.where("spans").select("a", "b"))
     degree = links.select("a").unionByName(links.select(F.col("b").alias("a"))).groupBy("a").agg(F.count(F.lit(1)).alias("n_links"))
     return _placed(docs, sets, labels, degree)
 
