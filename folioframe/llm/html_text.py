@@ -20,7 +20,9 @@ import json
 import re
 import zlib
 from collections.abc import Iterator
+from math import isqrt
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -132,7 +134,7 @@ def _boiler(attributes: str) -> bool:
 
 
 class Tree:
-    """A parsed page with its children lists."""
+    """A parsed page with its children lists, and the size and a hash of the tags of each subtree."""
 
     def __init__(self, nodes: list[list]):
         self.nodes = nodes
@@ -140,54 +142,109 @@ class Tree:
         for i, node in enumerate(nodes[1:], 1):
             self.children[node[0]].append(i)
         self.chars = sum(len(node[3]) for node in nodes)
+        self.size, self.shape = [1] * len(nodes), [0] * len(nodes)
+        for i in range(len(nodes) - 1, -1, -1):
+            self.size[i] += sum(self.size[k] for k in self.children[i])
+            self.shape[i] = hash((nodes[i][1], *(self.shape[k] for k in self.children[i])))
 
 
-def matched(a: Tree, b: Tree) -> list[tuple[int, int]]:
-    """Simple tree matching from the roots down: pairs of nodes that are aligned in order."""
-    out, open_ = [], [(0, 0)]
-    while open_:
-        i, j = open_.pop()
-        out.append((i, j))
-        x, y = a.children[i], b.children[j]
-        if x and y:
-            open_ += _aligned(a, x, b, y)
-    return out
-
+class _Matching:
+    """Weights of simple tree matching between two pages: the most nodes that two subtrees can have aligned in order."""
 
-def _weight(a: Tree, i: int, b: Tree, j: int) -> int:
-    """Nodes that two subtrees have in common, two levels deep."""
-    if a.nodes[i][1] != b.nodes[j][1]:
-        return 0
-    x, y = [a.nodes[k][1] for k in a.children[i]], [b.nodes[k][1] for k in b.children[j]]
-    return 1 + sum(min(x.count(t), y.count(t)) for t in set(x) & set(y)) if x and y else 1
+    def __init__(self, a: Tree, b: Tree):
+        self.a, self.b, self.known = a, b, {}
 
-
-def _aligned(a: Tree, x: list[int], b: Tree, y: list[int]) -> list[tuple[int, int]]:
-    if len(x) * len(y) <= 150:
-        best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
-        w = [[_weight(a, i, b, j) for j in y] for i in x]
-        for i in range(len(x)):
-            for j in range(len(y)):
-                best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + w[i][j])
-        i, j, out = len(x), len(y), []
+    def ends(self, x: list[int], y: list[int]) -> tuple[int, int]:
+        """How many subtrees at the start and at the end of two lists have the same shape; aligning these loses nothing."""
+        p, q, least, k, e = self.a.shape, self.b.shape, min(len(x), len(y)), 0, 0
+        while k < least and p[x[k]] == q[y[k]]:
+            k += 1
+        while e < least - k and p[x[-1 - e]] == q[y[-1 - e]]:
+            e += 1
+        return k, e
+
+    def middle(self, i: int, j: int) -> tuple[list[int], list[int]]:
+        x, y = self.a.children[i], self.b.children[j]
+        k, e = self.ends(x, y)
+        return x[k : len(x) - e], y[k : len(y) - e]
+
+    def plain(self, i: int, j: int) -> int | None:
+        """The weight where no lists have to be aligned for it, or where it is known."""
+        if self.a.nodes[i][1] != self.b.nodes[j][1]:
+            return 0
+        if self.a.shape[i] == self.b.shape[j]:
+            return self.a.size[i]
+        if not self.a.children[i] or not self.b.children[j]:
+            return 1
+        return self.known.get((i, j))
+
+    def learn(self, x: list[int], y: list[int]) -> None:
+        """Weights of all pairs of two lists, deepest first."""
+        open_ = [(i, j) for i in x if self.a.children[i] for j in y if self.plain(i, j) is None]
+        while open_:
+            i, j = open_[-1]
+            if (i, j) in self.known:
+                open_.pop()
+                continue
+            u, v = self.middle(i, j)
+            more = [(k, m) for k in u if self.a.children[k] for m in v if self.plain(k, m) is None]
+            if more:
+                open_ += more
+                continue
+            first = self.a.children[i]
+            k, e = self.ends(first, self.b.children[j])
+            row = np.zeros(len(v) + 1, np.int64)
+            for m in u if v else []:
+                row = self.step(row, m, v)
+            self.known[i, j] = 1 + sum(self.a.size[m] for m in first[:k] + first[len(first) - e :]) + int(row[-1])
+            open_.pop()
+
+    def step(self, row: np.ndarray, i: int, y: list[int]) -> np.ndarray:
+        new = np.zeros_like(row)
+        weights = np.fromiter((self.plain(i, j) for j in y), np.int64, len(y))
+        np.maximum.accumulate(np.maximum(row[1:], row[:-1] + weights), out=new[1:])
+        return new
+
+    def aligned(self, x: list[int], y: list[int]) -> list[tuple[int, int]]:
+        """The pairs of a best alignment. Every some rows of the program are kept and those between made again."""
+        k, e = self.ends(x, y)
+        out = list(zip(x[:k] + x[len(x) - e :], y[:k] + y[len(y) - e :], strict=True))
+        x, y = x[k : len(x) - e], y[k : len(y) - e]
+        if not x or not y:
+            return out
+        self.learn(x, y)
+        every = isqrt(len(x)) + 1
+        kept, row = [], np.zeros(len(y) + 1, np.int64)
+        for i, node in enumerate(x):
+            if i % every == 0:
+                kept.append(row)
+            row = self.step(row, node, y)
+        i, j, at, rows = len(x), len(y), -1, []
         while i and j:
-            if best[i][j] == best[i - 1][j]:
+            if (i - 1) // every != at:
+                at = (i - 1) // every
+                rows = [kept[at]]
+                for node in x[at * every : i]:
+                    rows.append(self.step(rows[-1], node, y))
+            here, above = rows[i - at * every], rows[i - at * every - 1]
+            if here[j] == above[j]:
                 i -= 1
-            elif best[i][j] == best[i][j - 1]:
+            elif here[j] == here[j - 1]:
                 j -= 1
             else:
                 out.append((x[i - 1], y[j - 1]))
                 i, j = i - 1, j - 1
         return out
-    # long lists of records: in order, by tag
-    out, j = [], 0
-    for i in x:
-        k = j
-        while k < len(y) and k < j + 8 and b.nodes[y[k]][1] != a.nodes[i][1]:
-            k += 1
-        if k < len(y) and b.nodes[y[k]][1] == a.nodes[i][1]:
-            out.append((i, y[k]))
-            j = k + 1
+
+
+def matched(a: Tree, b: Tree) -> list[tuple[int, int]]:
+    """Simple tree matching from the roots down: pairs of nodes that are aligned in order."""
+    weights, out, open_ = _Matching(a, b), [], [(0, 0)]
+    while open_:
+        i, j = open_.pop()
+        out.append((i, j))
+        if a.children[i] and b.children[j]:
+            open_ += weights.aligned(a.children[i], b.children[j])
     return out
 
 
