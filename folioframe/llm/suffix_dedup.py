@@ -168,7 +168,7 @@ def settle(records: np.ndarray, n_buckets: int) -> Iterator[pa.RecordBatch]:
     yield from _marks(r[differ & (r["many"] == 1)], 2, n_buckets)
 
 
-def _first_digit(n_buckets: int):
+def _first_digit(n_buckets: int, flush: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
@@ -179,7 +179,7 @@ def _first_digit(n_buckets: int):
                 rec["h"], rec["g"], rec["doc"], rec["start"], rec["n"] = h, g, ids[rows[row]], start + at[row], count
                 held.append(rec)
                 size += len(part)
-                if size >= FLUSH:
+                if size >= flush:
                     yield from combine(np.concatenate(held), n_buckets)
                     held, size = [], 0
         if held:
@@ -344,7 +344,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     n_buckets = 4 * n
     texts = _numbered(docs)
-    marks = materialize(_dealt(texts.mapInArrow(_first_digit(n_buckets), ROWS), n, n_buckets), "suffix-marks")
+    marks = materialize(_dealt(texts.mapInArrow(_first_digit(n_buckets, FLUSH), ROWS), n, n_buckets), "suffix-marks")
     by_doc = lambda kind: marks.where(F.col("kind") == kind).groupBy("doc").agg(F.collect_list("body").alias("bodies"))
     open_ = materialize(texts.join(by_doc(2), "doc").select("doc", "text", "bodies").mapInArrow(_open_runs, "h long, doc long, start int, run binary"), "suffix-runs")
     hot = materialize(open_.groupBy("h").count().where(F.col("count") >= HOT).select("h"), "suffix-hot")

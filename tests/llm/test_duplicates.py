@@ -41,8 +41,9 @@ def passages(seed):
 @pytest.mark.parametrize("hot", [2000, 10])
 @pytest.mark.parametrize("flush", [24 << 20, 3000])
 def test_suffix_dedup(spark, docs, rows, hot, flush, monkeypatch):
-    # the settings reach the workers with the functions that read them
+    # both are read on the driver, so that they reach the tasks
     monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    monkeypatch.setattr(suffix_dedup, "FLUSH", flush)
     got = {r[0]: tuple(r[1:]) for r in suffix_dedup.digests(docs).collect()}
     assert got == brute_cut([(i, t) for i, t, *_ in rows])
     own = passages(hot + flush)
