@@ -11,32 +11,37 @@ from ..functions.text import folded
 MOST_SPANS = 10
 
 
-def _tokens(pairs: DataFrame, column: str, chars: bool) -> DataFrame:
-    """(pair_id, token, n, first): the multiset of characters or words of a text, with each one's first place."""
-    text = folded(F.coalesce(column, F.lit("")))
-    parts = F.split(text, "" if chars else " ")
-    return pairs.select("pair_id", F.posexplode(parts).alias("at", "token")).where("token <> ''").groupBy("pair_id", "token").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first"))
+def _differing_words(pairs: DataFrame) -> DataFrame:
+    """(pair_id, token, missing, extra, first_in, first_out) of the words of both texts: one pass over both sides and one shuffle."""
 
+    def side(column: str, sign: int) -> Column:
+        place = lambda i, own: (i if own else F.lit(None)).cast("int")
+        words = F.split(folded(F.coalesce(column, F.lit(""))), " ")
+        return F.transform(words, lambda w, i: F.struct(w.alias("token"), F.lit(sign).cast("long").alias("n"), place(i, sign > 0).alias("first_in"), place(i, sign < 0).alias("first_out")))
 
-def _difference(pairs: DataFrame, chars: bool) -> DataFrame:
-    a = _tokens(pairs, "extracted", chars).withColumnsRenamed({"n": "n_in", "first": "first_in"})
-    b = _tokens(pairs, "docx", chars).withColumnsRenamed({"n": "n_out", "first": "first_out"})
-    gap = F.coalesce("n_in", F.lit(0)) - F.coalesce("n_out", F.lit(0))
-    return a.join(b, ["pair_id", "token"], "full_outer").withColumn("missing", F.greatest(gap, F.lit(0))).withColumn("extra", F.greatest(-gap, F.lit(0)))
+    both = pairs.select("pair_id", F.explode(F.concat(side("extracted", 1), side("docx", -1))).alias("w")).select("pair_id", "w.*").where("token <> ''")
+    bags = both.groupBy("pair_id", "token").agg(F.sum("n").alias("gap"), F.min("first_in").alias("first_in"), F.min("first_out").alias("first_out"))
+    return bags.where("gap <> 0").withColumn("missing", F.greatest("gap", F.lit(0).cast("long"))).withColumn("extra", F.greatest(-F.col("gap"), F.lit(0).cast("long")))
 
 
 def ledger(pairs: DataFrame) -> DataFrame:
-    """Bag fidelity of pairs (pair_id, extracted, docx): order, case and white space don't count."""
-    sums = _difference(pairs, True).groupBy("pair_id").agg(F.sum("missing").alias("missing"), F.sum("extra").alias("extra"))
-    sizes = pairs.select("pair_id", *(F.length(folded(F.coalesce(c, F.lit("")))).cast("long").alias(n) for c, n in (("extracted", "extracted_chars"), ("docx", "docx_chars"))))
-    both = sizes.join(sums, "pair_id", "left").withColumns({c: F.coalesce(c, F.lit(0)).cast("long") for c in ("missing", "extra")})
+    """Bag fidelity of pairs (pair_id, extracted, docx): order, case and white space don't count.
+
+    Characters are counted inside the row, one replacement for each distinct one; nothing is shuffled.
+    """
+    bare = pairs.select("pair_id", *(folded(F.coalesce(c, F.lit(""))).alias(n) for c, n in (("extracted", "e"), ("docx", "d"))))
+    count = lambda t, c: F.length(t) - F.length(F.replace(F.col(t), c))
+    letters = F.filter(F.array_distinct(F.split(F.concat("e", "d"), "")), lambda c: c != "")
+    gaps = bare.select("pair_id", *(F.length(t).cast("long").alias(n) for t, n in (("e", "extracted_chars"), ("d", "docx_chars"))), F.transform(letters, lambda c: count("e", c) - count("d", c)).alias("gaps"))
+    total = lambda sign: F.aggregate("gaps", F.lit(0).cast("long"), lambda n, g: n + F.greatest(F.lit(sign) * g, F.lit(0)))
+    both = gaps.select("pair_id", "extracted_chars", "docx_chars", total(1).alias("missing"), total(-1).alias("extra"))
     rate = (F.col("missing") + F.col("extra")) / F.greatest("extracted_chars", "docx_chars", F.lit(1))
     return both.withColumn("cer", rate).withColumn("fidelity", F.greatest(F.lit(0.0), 1 - rate))
 
 
 def divergence(pairs: DataFrame, most: int = MOST_SPANS) -> DataFrame:
     """The words that differ most: missing ones first, then extra ones, by count; equal counts as first seen."""
-    gaps = _difference(pairs, False)
+    gaps = _differing_words(pairs)
     row = lambda kind, n, first: F.struct(F.lit(kind).alias("kind"), F.col(n).alias("n"), F.col(first).alias("first"))
     both = gaps.select("pair_id", "token", F.explode(F.array(row("missing", "missing", "first_in"), row("extra", "extra", "first_out"))).alias("s")).where("s.n > 0").select("pair_id", "token", "s.*")
     w = Window.partitionBy("pair_id").orderBy(F.desc("kind"), F.desc("n"), "first")

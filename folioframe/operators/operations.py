@@ -85,19 +85,23 @@ def first_of(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 def rate_limited(calls: DataFrame, seconds: int, limit: int) -> DataFrame:
     """Adds in_window and allowed. A user's window opens with the first call after the last one ended.
 
-    A native fold over the user's calls in order: window start and count are the state.
+    Whether a call opens a window depends on the window before, so a fold over a user's times
+    gives the openings; which window a call is in, and its number there, are windows' work.
     """
-    entry = F.struct(F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), "event_id")
-    users = calls.groupBy("user_id").agg(F.array_sort(F.collect_list(entry)).alias("calls"))
-    start = F.struct(F.lit(None).cast("long").alias("since"), F.lit(0).alias("n"), F.array().cast("array<struct<event_id:long,in_window:int>>").alias("out"))
+    t = F.unix_micros(F.col("ts").cast("timestamp"))
+    users = calls.groupBy("user_id").agg(F.array_sort(F.collect_list(t)).alias("times"))
+    start = F.struct(F.lit(None).cast("long").alias("since"), F.array().cast("array<long>").alias("out"))
 
     def step(a: Column, x: Column) -> Column:
-        new = a["since"].isNull() | (x["t"] >= a["since"] + seconds * 1_000_000)
-        n = F.when(new, F.lit(1)).otherwise(a["n"] + 1)
-        return F.struct(F.when(new, x["t"]).otherwise(a["since"]).alias("since"), n.alias("n"), F.concat(a["out"], F.array(F.struct(x["event_id"].alias("event_id"), n.alias("in_window")))).alias("out"))
-
-    out = users.select("user_id", F.explode(F.aggregate("calls", start, step)["out"]).alias("c"))
-    return out.select("user_id", "c.event_id", "c.in_window", (F.col("c.in_window") <= limit).alias("allowed"))
+        new = a["since"].isNull() | (x >= a["since"] + seconds * 1_000_000)
+        return F.when(new, F.struct(x.alias("since"), F.concat(a["out"], F.array(x)).alias("out"))).otherwise(a)
+
+    opened = users.select("user_id", F.explode(F.aggregate("times", start, step)["out"]).alias("t")).select("user_id", "t", F.lit(None).cast("long").alias("event_id"), F.col("t").alias("since"))
+    both = opened.unionByName(calls.select("user_id", t.alias("t"), "event_id", F.lit(None).cast("long").alias("since")))
+    w = Window.partitionBy("user_id").orderBy("t", F.desc_nulls_last("since"), "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    placed = both.withColumn("window", F.last("since", ignorenulls=True).over(w)).where("since IS NULL")
+    n = F.row_number().over(Window.partitionBy("user_id", "window").orderBy("t", "event_id"))
+    return placed.select("user_id", "event_id", n.alias("in_window")).withColumn("allowed", F.col("in_window") <= limit)
 
 
 def breaker_states(calls: DataFrame, threshold: int = 5, reset_seconds: float = 30.0) -> DataFrame:

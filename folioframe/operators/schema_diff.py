@@ -33,6 +33,29 @@ def key_columns(members: DataFrame) -> DataFrame:
     return members.groupBy("kind", "table", "key").agg(F.transform(listed, lambda x: x["name"]).alias("columns"))
 
 
+def index_columns(indexes: DataFrame, relations: DataFrame, spaces: DataFrame, attributes: DataFrame) -> DataFrame:
+    """Names of the columns of indexes in key order.
+
+    indexes (index, relation, key array), relations (relation, table, space), spaces (space,
+    schema) and attributes (attribute, name): inner joins around the key's ordered unnest.
+    """
+    placed = indexes.join(relations, "relation").join(spaces, "space").select("schema", "table", "index", F.posexplode("key").alias("place", "attribute"))
+    listed = F.array_sort(F.collect_list(F.struct("place", "name")))
+    return placed.join(attributes, "attribute").groupBy("schema", "table", "index").agg(F.transform(listed, lambda x: x["name"]).alias("columns"))
+
+
+def constraint_columns(heads: DataFrame, members: DataFrame, targets: DataFrame) -> DataFrame:
+    """Own and referenced columns of constraints in order; the latter are null where nothing is referred to.
+
+    heads (constraint, target), members (constraint, place, name, referenced_name), targets (target, referenced).
+    """
+    listed = F.array_sort(F.collect_list(F.struct("place", "name", "referenced_name")))
+    arrays = members.groupBy("constraint").agg(listed.alias("m"))
+    joined = heads.join(arrays, "constraint").join(targets, "target", "left")
+    other = F.when(F.col("referenced").isNotNull(), F.transform("m", lambda x: x["referenced_name"]))
+    return joined.select("constraint", F.transform("m", lambda x: x["name"]).alias("columns"), "referenced", other.alias("referenced_columns"))
+
+
 def migration_state(n_applied: int, n_tables: int, problems: DataFrame) -> str:
     """What a database needs before migrations can run on it."""
     if n_applied:

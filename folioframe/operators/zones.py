@@ -96,6 +96,16 @@ def body_lines(lines: DataFrame, used: DataFrame) -> DataFrame:
     return lines.join(taken, ["doc_id", "page", "line_no"], "left_anti")
 
 
+def restored(lines: DataFrame, *used: DataFrame) -> DataFrame:
+    """Lines (doc_id, page, line_no, y, x0) that none of the zone blocks used, with their position in reading order."""
+    keys = ["doc_id", "page", "line_no"]
+    taken = used[0].select(*keys)
+    for more in used[1:]:
+        taken = taken.unionByName(more.select(*keys))
+    w = Window.partitionBy("doc_id").orderBy("page", "y", "x0", "line_no")
+    return lines.join(taken.distinct(), keys, "left_anti").withColumn("position", F.row_number().over(w))
+
+
 def outside_tables(lines: DataFrame, tables: DataFrame) -> DataFrame:
     """Lines whose middle lies in no table of their page: lines and tables have x0, y, x1, y1."""
     mid_x, mid_y = (F.col("l.x0") + F.col("l.x1")) / 2, (F.col("l.y") + F.col("l.y1")) / 2

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import legacy, text
 from ..operators import assembly, fidelity, operations, structure, triage
-from ..sources.tables import table
+from ..sources.tables import spread, table
 from ..streaming import jobs
 
 PAGE_LINES = 5
@@ -34,7 +34,7 @@ def query(sql: str | None = None):
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.split(F.coalesce("text", F.lit("")), "\n").alias("parts"))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.split(F.coalesce("text", F.lit("")), "\n").alias("parts"))
     return docs.select("doc_id", F.size("parts").alias("n_lines"), F.posexplode("parts").alias("line_no", "text")).withColumn("page", F.floor(F.col("line_no") / PAGE_LINES) + 1)
 
 
@@ -89,7 +89,7 @@ SELECT lang, page_class, count(*) AS n FROM c GROUP BY lang, page_class"""
 @query(_sql_triage())
 def page_triage(spark, sf_dir):
     """Page classes per language, decode branch included; the documents have no pictures or tables."""
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents").select("lang", "text"))
     return docs.groupBy("lang", triage.page_class(F.col("text"), F.lit(0.0), F.lit(0)).alias("page_class")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -103,7 +103,10 @@ def _pairs(spark, sf_dir):
     """Each document as extracted text, the next one of its source as what was written."""
     w = Window.partitionBy("source").orderBy("doc_id")
     docs = table(spark, sf_dir, "documents")
-    return docs.select(F.col("doc_id").alias("pair_id"), F.col("text").alias("extracted"), F.lead("text").over(w).alias("docx")).where("docx IS NOT NULL")
+    ids = docs.select("doc_id", F.lead("doc_id").over(w).alias("next")).where("next IS NOT NULL")  # only ids meet by source
+    first = docs.select(F.col("doc_id").alias("pair_id"), F.col("text").alias("extracted"))
+    second = docs.select(F.col("doc_id").alias("next"), F.col("text").alias("docx")).where("docx IS NOT NULL")
+    return spread(ids.withColumnRenamed("doc_id", "pair_id").join(first, "pair_id").join(second, "next").drop("next"))
 
 
 _PAIRS = f"""WITH p AS (SELECT doc_id AS pair_id, text AS extracted, lead(text) OVER (PARTITION BY source ORDER BY doc_id) AS docx FROM documents),
@@ -294,9 +297,16 @@ def refund_once(spark, sf_dir):
     return operations.first_of(e, ["user_id", "event_type", "day"], ["ts", "event_id"]).select("user_id", "event_type", "day", "event_id")
 
 
-@query()
+_RATE = """WITH RECURSIVE s(user_id, since) AS (SELECT user_id, min(ts) FROM events GROUP BY user_id
+ UNION ALL SELECT s.user_id, (SELECT min(e.ts) FROM events e WHERE e.user_id = s.user_id AND e.ts >= s.since + INTERVAL 12 HOUR) FROM s WHERE s.since IS NOT NULL),
+w AS (SELECT user_id, since, lead(since) OVER (PARTITION BY user_id ORDER BY since) AS until FROM s WHERE since IS NOT NULL),
+n AS (SELECT e.user_id, e.event_id, CAST(row_number() OVER (PARTITION BY e.user_id, w.since ORDER BY e.ts, e.event_id) AS INTEGER) AS in_window FROM events e JOIN w ON e.user_id = w.user_id AND e.ts >= w.since AND (w.until IS NULL OR e.ts < w.until))
+SELECT *, in_window <= 2 AS allowed FROM n"""
+
+
+@query(_RATE)
 def fixed_rate_limit(spark, sf_dir):
-    """Two calls in twelve hours from a user's first one; folded, so without SQL."""
+    """Two calls in twelve hours from a user's first one."""
     return operations.rate_limited(table(spark, sf_dir, "events"), 12 * 3600, 2)
 
 
@@ -409,7 +419,14 @@ def upload_admission(spark, sf_dir):
     return p.groupBy(a["status_code"].alias("status_code")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+@query(
+    _LINES.replace("WITH ", "WITH RECURSIVE ", 1)
+    + """, t(doc_id, i, head_page, head, joins) AS (SELECT doc_id, CAST(0 AS BIGINT), page, text, false FROM l WHERE line_no = 0
+ UNION ALL SELECT doc_id, line_no, CASE WHEN j THEN head_page ELSE page END, CASE WHEN j THEN trim(rtrim(head) || ' ' || trim(text)) ELSE text END, j FROM
+  (SELECT l.doc_id, l.line_no, l.page, l.text, t.head_page, t.head, l.page = t.head_page + 1 AND trim(t.head) <> '' AND NOT regexp_matches(rtrim(t.head), '[.:;!?"]$') AS j FROM t JOIN l ON l.doc_id = t.doc_id AND l.line_no = t.i + 1)),
+n AS (SELECT *, coalesce(lead(joins) OVER (PARTITION BY doc_id ORDER BY i), false) AS goes_on FROM t)
+SELECT doc_id, count(*) AS n_blocks, CAST(sum(length(head)) AS BIGINT) AS chars FROM n WHERE NOT goes_on GROUP BY doc_id"""
+)
 def cut_paragraphs(spark, sf_dir):
     """Paragraphs left after joining those that a page break cuts."""
     blocks = assembly.ordered(_blocks(spark, sf_dir).drop("bbox"))
@@ -437,7 +454,7 @@ def stream_first_refund(spark, sf_dir):
     return jobs.first_seen(spark, f"{sf_dir}/events.parquet")
 
 
-@query()
+@query(_RATE)
 def stream_rate_limit(spark, sf_dir):
     """Structured Streaming: calls per user in windows that open with a first call."""
     return jobs.rate_limit(spark, f"{sf_dir}/events.parquet", 12 * 3600, 2)

@@ -9,7 +9,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from folioframe.plans import catalog
+from folioframe.plans import service_catalog as catalog
 
 
 @pytest.fixture(scope="module")
