@@ -8,7 +8,8 @@ content. From these, blocks inside the article are taken, or all that is left wh
 marks none; menus, forms, adverts and the like go by their tags, classes and share of links.
 
 Cases: null and empty html give an empty text. Pages cut off in the middle are read to
-their end. A host with one page has no template. Copies of a page don't make each other
+their end. A host with one page has no template; on one with two,
+what both share outside their articles is. Copies of a page don't make each other
 constant. Repeated rows are extracted one by one. A null url counts as a host of its own.
 An empty table gives an empty result. Extra columns are ignored.
 """
@@ -44,6 +45,12 @@ _BOILER = re.compile(
     r"navigation|breadcrumbs?|footer|foot|header|masthead|topbar|toolbar|share|sharing|social|related|recommended|recommendations|newsletter|subscribe|signup|login|search|pagination|pager|copyright|hidden|complementary|contentinfo|search)(?:[\s_-]|\d|$)",
     re.I,
 )
+#: What whole class or id names mark inside an article, where compound names may belong to its content.
+_INSET = re.compile(
+    r"(?:ads?|adverts?|advertisements?|adsense|sponsor(?:ed)?|promo|promos|banner|cookies?|consent|notices?|popup|modal|comments?|comment-(?:list|section|form)|disqus|replies|respond|sidebar|menu|nav|navbar|navigation|"
+    r"breadcrumbs?|share|sharing|social|related|recommended|recommendations|newsletter|subscribe|signup|login|search|pagination|pager|complementary|contentinfo)",
+    re.I,
+)
 TEXT, PAGE = "#", "page"
 
 
@@ -69,6 +76,9 @@ def parse(html: str) -> list[list]:
                     nodes[block][4] = links
         block, links = None, 0
 
+    def inset(path: list[int]) -> bool:
+        return any(nodes[k][1] in ("article", "main") for k in path)
+
     def put(text: str) -> None:
         nonlocal links
         if text:
@@ -99,7 +109,7 @@ def parse(html: str) -> list[list]:
             flush()
             depth = 0
             if not closing:
-                nodes.append([path[-1], tag, _boiler(m[3]), "", 0])
+                nodes.append([path[-1], tag, _boiler(m[3], inset(path)), "", 0])
                 block = len(nodes) - 1
         elif tag in CONTAINERS:
             flush()
@@ -114,7 +124,7 @@ def parse(html: str) -> list[list]:
                     while len(path) > 1 and nodes[path[-1]][1] == "head":
                         path.pop()
                 kept = tag in ("html", "body", "article", "main")
-                nodes.append([path[-1], tag, tag in DROPPED or (not kept and _boiler(m[3])), "", 0])
+                nodes.append([path[-1], tag, tag in DROPPED or (not kept and _boiler(m[3], inset(path))), "", 0])
                 path.append(len(nodes) - 1)
         elif tag in VOID:
             put(" ")
@@ -122,13 +132,16 @@ def parse(html: str) -> list[list]:
     return nodes
 
 
-def _boiler(attributes: str) -> bool:
+def _boiler(attributes: str, inside: bool) -> bool:
+    """Whether an element's marks call it something else than content; inside an article only whole names count."""
     if not attributes or attributes.isspace():
         return False
     for name, *values in _ATTR.findall(attributes):
         value = "".join(values)
         name = name.lower()
-        if name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name in ("class", "id", "role") and _BOILER.search(value)):
+        if name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
+            return True
+        if name in ("class", "id", "role") and (any(map(_INSET.fullmatch, value.split())) if inside else _BOILER.search(value)):
             return True
     return False
 
@@ -248,8 +261,19 @@ def matched(a: Tree, b: Tree) -> list[tuple[int, int]]:
     return out
 
 
+def _inside(nodes: list[list]) -> list[bool]:
+    out = [False] * len(nodes)
+    for i, (parent, tag, *_) in enumerate(nodes):
+        out[i] = tag in ("article", "main") or (parent >= 0 and out[parent])
+    return out
+
+
 def template(tree: Tree, references: list[Tree]) -> set[int]:
-    """Nodes whose text is constant over most references; pages without common slots and copies don't count."""
+    """Nodes whose text is constant over most references; pages without common slots and copies don't count.
+
+    Two references have to agree. A host of two pages has one only; there what both share
+    outside their articles is constant.
+    """
     votes: dict[int, int] = {}
     used = 0
     for other in references:
@@ -260,17 +284,18 @@ def template(tree: Tree, references: list[Tree]) -> set[int]:
         used += 1
         for i in same:
             votes[i] = votes.get(i, 0) + 1
+    if len(references) == 1:
+        inside = _inside(tree.nodes)
+        return {i for i in votes if not inside[i]}
     return {i for i, v in votes.items() if v > 1 and 2 * v > used}
 
 
 def main_text(tree: Tree, constant: set[int]) -> str:
     """Blocks of the content in page order, one on each line."""
     nodes = tree.nodes
-    dropped, inside = [False] * len(nodes), [False] * len(nodes)
+    dropped, inside = [False] * len(nodes), _inside(nodes)
     for i, (parent, tag, drop, _, _) in enumerate(nodes):
-        up = parent >= 0
-        inside[i] = tag in ("article", "main") or (up and inside[parent])
-        dropped[i] = drop or (up and dropped[parent]) or (tag == "header" and not inside[i])
+        dropped[i] = drop or (parent >= 0 and dropped[parent]) or (tag == "header" and not inside[i])
     texts = [i for i, node in enumerate(nodes) if node[3] and not dropped[i] and i not in constant]
     found = [i for i in texts if inside[i]]
     if not found:

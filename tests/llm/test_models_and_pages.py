@@ -113,3 +113,14 @@ def test_pipeline_stages(spark, tables):
     last = steps["bpe"](spark, clean, d)
     assert sorted(last.collect()) == sorted(bpe.digests(clean, corpus_pipeline.public_tokenizers.path("byte_bpe_50k.json")).collect())
     assert {r.doc_id for r in corpus_pipeline.run(spark, d).collect()} == {r.doc_id for r in clean.collect()}
+
+
+def test_names_inside_articles_and_hosts_of_two_pages(spark):
+    page = lambda x, extra="": f"<body><div><p>Acme shop, open daily</p></div><article><h1>{x}</h1><p>words on {x} only</p>{extra}</article><div><p>All rights reserved</p></div></body>"
+    inner = "<div class='side-effects'><p>Side effects of the drug</p></div><div class='reply header-note'><p>kept too</p></div><div class='comments big'><p>first!</p></div><div class=ad><p>buy</p></div>"
+    loose = lambda x: f"<body><div><p>Acme shop, open daily</p></div><div><p>{x} is what this page is about, at length</p></div></body>"
+    rows = [(1, "http://a/1", page("one", inner)), (2, "http://a/2", page("two")), (3, "http://b/1", loose("first")), (4, "http://b/2", loose("second"))]
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[1] == "one\nwords on one only\nSide effects of the drug\nkept too"
+    assert got[2] == "two\nwords on two only"
+    assert got[3] == "first is what this page is about, at length" and got[4] == "second is what this page is about, at length"
