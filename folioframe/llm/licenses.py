@@ -1,13 +1,21 @@
 """Operator 7, native: licence scan by Dice coefficient over word bigrams.
 
-Every line is normalised (lower case, everything but letters and digits to one space) and
-compared with each template: dice = 2 * |A & B| / (|A| + |B|) over the sets of word
-bigrams. A pair can only reach the threshold t if t / (2 - t) * |B| <= |A| <= (2 - t) / t * |B|;
-templates outside these bounds are not compared, and a line that fits no template's bounds
-is dropped before its bigrams are intersected with anything.
-
-Returns one row for each line and template at or above the threshold: doc_id, line_no
-(from 1), license, n_bigrams, n_common, dice.
+Texts are normalised (lower case, everything but letters and digits to one space) and
+compared with templates: dice = 2 * |A & B| / (|A| + |B|) over the sets of word bigrams.
+A pair can only reach the threshold t if 2 * min(|A|, |B|) >= t * (|A| + |B|); templates
+outside these bounds are not compared. All comparisons are in whole numbers, so a match
+at exactly the threshold counts.
+
+``find`` goes over whole texts, wherever a notice stands and however it is wrapped. A
+template is compared with windows of as many words as it has, one from each place where
+one of its bigrams stands; windows that match and overlap are one find. A window that
+matches shares more than two thirds of the template's bigrams (at 0.8), so a text without
+any of a few of its words, which a third of its bigrams contain, is left out at once.
+Returns a row for each find: doc_id, license, first_word and last_word (from 1), and
+n_bigrams, n_common and dice of its best window, the first of equal ones.
+
+``scan`` compares single lines. Returns a row for each line and template at or above the
+threshold: doc_id, line_no (from 1), license, n_bigrams, n_common, dice.
 
 Cases: null and empty texts, and lines of one word, have no bigrams and never match.
 Repeated rows are reported as often as they occur. Ties between templates all count. An
@@ -16,13 +24,15 @@ empty table gives an empty result. Extra columns are ignored.
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .rules import let
 
 THRESHOLD = 0.8
-#: Short notices of common licences.
+#: Notices and texts of common licences.
 TEMPLATES: dict[str, str] = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "BSD-3-Clause": "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
@@ -32,6 +42,26 @@ TEMPLATES: dict[str, str] = {
     "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
     "LGPL-3.0": "This library is licensed under the GNU Lesser General Public License, version 3.",
     "MIT": "Released under the MIT License.",
+    "Apache-2.0-header": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.
+        You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software
+        distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+        See the License for the specific language governing permissions and limitations under the License.""",
+    "GPL-3.0-notice": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by
+        the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it
+        will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General
+        Public License for more details. You should have received a copy of the GNU General Public License along with this program.""",
+    "ISC-text": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above
+        copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO
+        THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT,
+        OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER
+        TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.""",
+    "MIT-text": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"),
+        to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or
+        sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright
+        notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT
+        WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND
+        NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF
+        CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
 }
 
@@ -50,23 +80,84 @@ def _bigrams(words: Column) -> Column:
     return let(words, lambda w: F.when(F.size(w) < 2, F.array().cast("array<string>")).otherwise(F.array_distinct(pairs(w))))
 
 
+def _exact(threshold: float) -> tuple[int, int]:
+    t = Fraction(str(threshold))
+    return t.numerator, t.denominator
+
+
+def _reaches(common: Column, n: Column, size: Column, threshold: float) -> Column:
+    """2 * common / (n + size) >= threshold, in whole numbers; also the size bound, with the lesser size as ``common``."""
+    num, den = _exact(threshold)
+    return 2 * den * common >= num * (n + size)
+
+
+def marks(template: str, threshold: float) -> list[str]:
+    """Words of a template of which each text that matches has one: more of its bigrams contain them than may be missing."""
+    grams = bigrams(template)
+    num, den = _exact(threshold)
+    spare = len(grams) - -(-num * len(grams) // (2 * den - num))  # |A & B| >= t / (2 - t) * |B|
+    chosen: list[str] = []
+    left = list(grams)
+    while len(grams) - len(left) <= spare:
+        words = [w for g in left for w in g.split()]
+        best = max(sorted(set(words)), key=lambda w: (len(w) > 4, words.count(w), len(w)))
+        chosen.append(best)
+        left = [g for g in left if best not in g.split()]
+    return chosen
+
+
+def find(docs: DataFrame, threshold: float = THRESHOLD, templates: dict[str, str] | None = None) -> DataFrame:
+    known = {k: (len(normalised(v)), bigrams(v), marks(v, threshold)) for k, v in (TEMPLATES if templates is None else templates).items()}
+    some = sorted({w for *_, m in known.values() for w in m})
+    clean = F.trim(F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), "[^0-9a-z]+", " "))
+    texts = docs.select("doc_id", clean.alias("clean")).where(F.col("clean").rlike(f"(?:^| )(?:{'|'.join(some)})(?: |$)"))
+    words = texts.select("doc_id", F.split("clean", " ").alias("w"))
+    fitting = F.array_compact(F.array(*(F.when(F.arrays_overlap("w", F.lit(m)), F.struct(F.lit(k).alias("license"), F.lit(n).alias("words"), F.lit(g).alias("grams"))) for k, (n, g, m) in known.items())))
+    rows = words.select("doc_id", "w", F.transform(F.slice("w", F.lit(1), F.size("w") - 1), lambda x, i: F.concat(x, F.lit(" "), F.get("w", i + 1))).alias("g"), F.explode(fitting).alias("t"))
+    size = F.size("t.grams")
+    starts = F.filter(F.transform("g", lambda x, i: F.when(F.array_contains("t.grams", x), i)), lambda i: i.isNotNull())
+
+    def window(i: Column) -> Column:
+        def compared(a: Column) -> Column:
+            n = F.size(a)
+            common = F.when(_reaches(F.least(n, size), n, size, threshold), F.size(F.array_intersect(a, F.col("t.grams")))).otherwise(F.lit(0))
+            return F.struct(i.alias("first"), (i + F.col("t.words")).alias("end"), n.alias("n"), common.alias("common"))
+
+        return let(F.array_distinct(F.slice("g", i + 1, F.col("t.words") - 1)), compared)
+
+    hits = F.filter(F.transform(starts, window), lambda x: _reaches(x["common"], x["n"], size, threshold))
+
+    def merge(found: Column, x: Column) -> Column:
+        last = F.try_element_at(found, F.lit(-1))
+        better = x["common"] * (last["n"] + size) > last["common"] * (x["n"] + size)
+        pick = lambda f: F.when(better, x[f]).otherwise(last[f]).alias(f)
+        longer = F.struct(last["first"].alias("first"), x["end"].alias("end"), pick("n"), pick("common"))
+        return F.when((F.size(found) > 0) & (x["first"] < last["end"]), F.concat(F.slice(found, F.lit(1), F.size(found) - 1), F.array(longer))).otherwise(F.concat(found, F.array(x)))
+
+    finds = F.aggregate(hits, F.array().cast("array<struct<first:int,end:int,n:int,common:int>>"), merge)
+    out = rows.select("doc_id", F.col("t.license").alias("license"), F.size("w").alias("n_words"), size.alias("size"), F.explode(finds).alias("f"))
+    return out.select(
+        "doc_id",
+        "license",
+        (F.col("f.first") + 1).alias("first_word"),
+        F.least("f.end", "n_words").alias("last_word"),
+        F.col("f.n").alias("n_bigrams"),
+        F.col("f.common").alias("n_common"),
+        (2 * F.col("f.common") / (F.col("f.n") + F.col("size"))).alias("dice"),
+    )
+
+
 def scan(docs: DataFrame, threshold: float = THRESHOLD, templates: dict[str, str] | None = None) -> DataFrame:
     known = {k: bigrams(v) for k, v in (TEMPLATES if templates is None else templates).items()}
-    low, high = threshold / (2 - threshold), (2 - threshold) / threshold
-    least = min((len(b) for b in known.values()), default=1) * low
     clean = F.trim(F.regexp_replace(F.lower("line"), "[^0-9a-z]+", " "))
     lines = docs.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("at", "line"))
-    words = lines.select("doc_id", (F.col("at") + 1).alias("line_no"), F.split(clean, " ").alias("words")).where(F.size("words") - 1 >= F.ceil(F.lit(least)))
-    grams = words.select("doc_id", "line_no", _bigrams(F.col("words")).alias("grams")).withColumn("n_bigrams", F.size("grams"))
-    most = max((len(b) for b in known.values()), default=0) * high
-    grams = grams.where((F.col("n_bigrams") >= least) & (F.col("n_bigrams") <= most))
+    words = lines.select("doc_id", (F.col("at") + 1).alias("line_no"), F.split(clean, " ").alias("words"))
+    grams = words.select("doc_id", "line_no", _bigrams(F.col("words")).alias("grams")).withColumn("n_bigrams", F.size("grams")).where("n_bigrams > 0")
+    fits = lambda b: _reaches(F.least(F.col("n_bigrams"), F.lit(len(b))), F.col("n_bigrams"), F.lit(len(b)), threshold)
     hits = F.array_compact(
         F.array(
             *(
-                F.when(
-                    F.col("n_bigrams").between(len(b) * low, len(b) * high),
-                    F.struct(F.lit(k).alias("license"), F.lit(len(b)).alias("size"), F.size(F.array_intersect("grams", F.lit(b))).alias("n_common")),
-                )
+                F.when(fits(b), F.struct(F.lit(k).alias("license"), F.lit(len(b)).alias("size"), F.size(F.array_intersect("grams", F.lit(b))).alias("n_common")))
                 for k, b in known.items()
             )
         )
@@ -74,19 +165,27 @@ def scan(docs: DataFrame, threshold: float = THRESHOLD, templates: dict[str, str
     dice = 2 * F.col("hit.n_common") / (F.col("n_bigrams") + F.col("hit.size"))
     return (
         grams.select("doc_id", "line_no", "n_bigrams", F.explode(hits).alias("hit"))
+        .where(_reaches(F.col("hit.n_common"), F.col("n_bigrams"), F.col("hit.size"), threshold))
         .select("doc_id", "line_no", F.col("hit.license").alias("license"), "n_bigrams", F.col("hit.n_common").alias("n_common"), dice.alias("dice"))
-        .where(F.col("dice") >= threshold)
     )
 
 
 def oracle_sql(threshold: float = THRESHOLD) -> str:
-    """The same scan in SQL, without the size bounds."""
-    rows = ", ".join(f"('{k}', ['{"', '".join(bigrams(v))}'])" for k, v in TEMPLATES.items())
+    """``find`` in SQL, without the size bounds and without leaving texts out."""
+    num, den = _exact(threshold)
+    rows = ", ".join(f"('{k}', {len(normalised(v))}, ['{"', '".join(bigrams(v))}'])" for k, v in TEMPLATES.items())
     return f"""
-WITH t(license, b) AS (VALUES {rows}),
-lines AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS line_no FROM documents),
-w AS (SELECT doc_id, line_no, string_split(trim(regexp_replace(lower(line), '[^0-9a-z]+', ' ', 'g')), ' ') AS words FROM lines),
-a AS (SELECT doc_id, line_no, list_distinct([words[i] || ' ' || words[i + 1] FOR i IN range(1, len(words))]) AS grams FROM w WHERE len(words) >= 2),
-d AS (SELECT doc_id, line_no, license, len(grams) AS n_bigrams, len(list_intersect(grams, b)) AS n_common, 2 * len(list_intersect(grams, b)) / (len(grams) + len(b)) AS dice FROM a, t)
-SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, license, CAST(n_bigrams AS INTEGER) AS n_bigrams, CAST(n_common AS INTEGER) AS n_common, CAST(dice AS DOUBLE) AS dice
-FROM d WHERE dice >= {threshold}"""
+WITH t(license, n_template, b) AS (VALUES {rows}),
+w AS (SELECT doc_id, string_split(trim(regexp_replace(lower(coalesce(text, '')), '[^0-9a-z]+', ' ', 'g')), ' ') AS w FROM documents),
+g AS (SELECT doc_id, len(w) AS n_words, [w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))] AS g FROM w WHERE len(w) >= 2),
+x AS (SELECT doc_id, unnest(g) AS x, generate_subscripts(g, 1) AS s FROM g),
+u AS (SELECT license, n_template, b, unnest(b) AS x FROM t),
+h AS (SELECT x.doc_id, u.license, u.n_template, u.b, x.s FROM x JOIN u USING (x)),
+a AS (SELECT h.*, g.n_words, list_distinct(g.g[h.s : h.s + h.n_template - 2]) AS a FROM h JOIN g USING (doc_id)),
+d AS (SELECT doc_id, license, n_template, n_words, s, len(b) AS size, len(a) AS n, len(list_intersect(a, b)) AS common FROM a),
+m AS (SELECT *, CASE WHEN s - lag(s) OVER (PARTITION BY doc_id, license ORDER BY s) < n_template THEN 0 ELSE 1 END AS new FROM d WHERE 2 * {den} * common >= {num} * (n + size)),
+i AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, license ORDER BY s ROWS UNBOUNDED PRECEDING) AS island FROM m),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, license, island ORDER BY common / (n + size) DESC, s) AS place, min(s) OVER (PARTITION BY doc_id, license, island) AS first_word,
+ least(max(s) OVER (PARTITION BY doc_id, license, island) + n_template - 1, n_words) AS last_word FROM i)
+SELECT doc_id, license, CAST(first_word AS INTEGER) AS first_word, CAST(last_word AS INTEGER) AS last_word, CAST(n AS INTEGER) AS n_bigrams, CAST(common AS INTEGER) AS n_common, CAST(2 * common / (n + size) AS DOUBLE) AS dice
+FROM r WHERE place = 1"""

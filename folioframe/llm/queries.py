@@ -4,12 +4,17 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from ..sources.tables import table
+from ..sources.tables import spread, table
 from . import bpe, decontaminate, html_text, jaccard_join, licenses, quality, rules, sharding, suffix_dedup, toxicity
 
 TOKENIZER = "byte_bpe_50k.json"
 
 
+def _texts(spark, sf_dir):
+    """The documents over all cores, for work on single texts."""
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op1_suffix_dedup(spark, sf_dir):
     """All documents without their repeated 100-byte windows."""
     return suffix_dedup.digests(table(spark, sf_dir, "documents"))
@@ -27,12 +32,12 @@ def op3_quality(spark, sf_dir):
 
 def op4_bpe(spark, sf_dir):
     """All documents encoded and decoded."""
-    return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+    return bpe.digests(_texts(spark, sf_dir), public_tokenizers.path(TOKENIZER))
 
 
 def op5_quality_rules(spark, sf_dir):
     """All documents through the rule cascade."""
-    return rules.judge(table(spark, sf_dir, "documents"))
+    return rules.judge(_texts(spark, sf_dir))
 
 
 def op6_html_text(spark, sf_dir):
@@ -41,8 +46,8 @@ def op6_html_text(spark, sf_dir):
 
 
 def op7_license_scan(spark, sf_dir):
-    """All lines of all documents against all licence templates."""
-    return licenses.scan(table(spark, sf_dir, "documents"))
+    """All texts of all documents against all licence templates."""
+    return licenses.find(_texts(spark, sf_dir))
 
 
 def op8_sharding(spark, sf_dir):

@@ -106,3 +106,59 @@ def test_sharding(docs, rows, nothing, n):
         assert sorted(r.slot for r in own) == list(range(len(own)))
         assert abs(sum(r.size for r in own) - total / n) <= most
     assert sharding.shard(nothing, n).count() == 0
+
+
+def plain_finds(text, templates, percent=80):
+    words, out = licenses.normalised(text or ""), []
+    grams = [f"{a} {b}" for a, b in zip(words, words[1:])]
+    for name, t in templates.items():
+        b, n = set(licenses.bigrams(t)), len(licenses.normalised(t))
+        for s, g in enumerate(grams):
+            a = set(grams[s : s + n - 1])
+            if g in b and 200 * len(a & b) >= percent * (len(a) + len(b)):
+                one = [s + 1, min(s + n, len(words)), len(a), len(a & b), 2 * len(a & b) / (len(a) + len(b))]
+                if out and out[-1][0] == name and s < out[-1][2]:
+                    best = one if one[4] > out[-1][5] else out[-1][1:]
+                    out[-1] = [name, out[-1][1], one[1], *best[2:]]
+                else:
+                    out.append([name, *one])
+    return sorted(map(tuple, out))
+
+
+def test_licenses_in_whole_texts(spark, docs, rows, nothing):
+    mit, apache = licenses.TEMPLATES["MIT-text"], licenses.TEMPLATES["Apache-2.0-header"]
+    wrapped = "\n".join(" * " + apache[k : k + 60] for k in range(0, len(apache), 60))
+    texts = [
+        f"/*\n{apache}\n*/ code follows", "some words before " + mit + " and after it", mit.replace("software", "program", 2), "a paragraph that says: released under the MIT License. And so on for long, for long.",
+        "zebra apple Released under the MIT License.", ("Released under the MIT License.\n" * 3) + "x", mit[:400], wrapped, None, "", "license", "Released under the\nMIT\n\nLicense", "MIT license MIT license MIT license",
+    ]
+    own = [(i, t, 1, "x") for i, t in enumerate(texts)] + [(0, texts[0], 1, "x"), (None, texts[1], 1, "x")]
+    got = licenses.find(spark.createDataFrame(own, "doc_id long, text string, license int, w string").repartition(3)).collect()
+    want = sorted((str(i), *f) for i, t, *_ in own for f in plain_finds(t, licenses.TEMPLATES))
+    assert sorted((str(r.doc_id), *tuple(r)[1:]) for r in got) == want
+    assert {r.license for r in got if r.doc_id in (0, 1)} >= {"Apache-2.0-header", "MIT-text"}
+    assert licenses.find(nothing).count() == 0
+    assert sorted(tuple(r) for r in licenses.find(docs).collect()) == sorted((i, *f) for i, t, *_ in rows for f in plain_finds(t, licenses.TEMPLATES))
+
+
+@pytest.mark.parametrize("size", range(2, 40))
+def test_size_bounds_keep_matches_at_exactly_the_threshold(size):
+    """Every text that reaches 0.8 has a marked word of the template, and whole numbers lose none at 0.8 itself."""
+    template = " ".join(f"w{k}x" for k in range(size + 1))
+    marked = set(licenses.marks(template, 0.8))
+    grams = licenses.bigrams(template)
+    free = sum(not marked & set(g.split()) for g in grams)
+    assert 3 * free < 2 * len(grams)  # a match has two thirds of them at least
+
+
+def test_licence_line_at_exactly_the_threshold(spark):
+    rows = [(1, "zebra apple Released under the MIT License."), (2, "a b c d e f Released under the MIT License.")]
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"), 0.8, {"MIT": licenses.TEMPLATES["MIT"]}).collect()
+    assert [(r.doc_id, r.dice) for r in got] == [(1, 0.8)]
+
+
+def test_rule_order_is_the_same_on_every_run(spark, docs):
+    first = rules.ordered_rules(docs, 10_000)
+    assert sorted(first) == sorted(rules.RULES) and all(rules.ordered_rules(docs.repartition(k), 10_000) == first for k in (1, 7))
+    shouting = spark.createDataFrame([(i, " ".join("".join(chr(65 + int(c)) for c in f"{i}{k * 7919}") + "QWE" for k in range(200))) for i in range(50)], "doc_id long, text string")
+    assert rules.ordered_rules(shouting, 1000)[0] == "shouting"
