@@ -24,10 +24,13 @@ def ready(spark: SparkSession) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, from ``spark.checkpoint.dir``.
 
-    Only where the session names none (a single machine, as in tests) is one made.
+    Only where the session names none and runs on a single machine, as in tests, is one made:
+    on a cluster a local folder would not be shared.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = getattr(shared_dir, "own", None) or tempfile.mkdtemp(prefix="folioframe-")
         shared_dir.own = path
     return path.rstrip("/")
