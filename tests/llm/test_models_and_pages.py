@@ -124,3 +124,33 @@ def test_names_inside_articles_and_hosts_of_two_pages(spark):
     assert got[1] == "one\nwords on one only\nSide effects of the drug\nkept too"
     assert got[2] == "two\nwords on two only"
     assert got[3] == "first is what this page is about, at length" and got[4] == "second is what this page is about, at length"
+
+
+def test_discriminant_equals_densities_written_out():
+    r = np.random.default_rng(4)
+    x = {0: r.normal(0, 2, (300, 4)) @ r.normal(0, 1, (4, 4)), 1: r.normal(1, 0.5, (200, 4))}
+    model = quality.Discriminant({k: (float(len(v)), v.sum(0), v.T @ v) for k, v in x.items()})
+    covs = {k: np.cov(v.T, bias=True) for k, v in x.items()}
+    pooled = 0.6 * covs[0] + 0.4 * covs[1]
+    scale = np.sqrt(np.diag(pooled) + 1e-9)
+    points, log = np.vstack([x[0], x[1]]), []
+    for k in (0, 1):
+        cov = ((1 - quality.POOLED - quality.UNIT) * covs[k] + quality.POOLED * pooled) / np.outer(scale, scale)
+        cov = cov + (quality.UNIT * np.trace(cov) / 4 + 1e-6) * np.eye(4)
+        z = (points - x[k].mean(0)) / scale
+        log.append(-0.5 * np.einsum("ij,jk,ik->i", z, np.linalg.inv(cov), z) - 0.5 * np.linalg.slogdet(cov)[1])
+    diff = quality.TEMPER * (log[1] - log[0]) + np.log(0.4 / 0.6)
+    assert np.allclose(model.score(points), 1 / (1 + np.exp(-np.clip(diff, -60, 60))), atol=1e-9)
+
+
+def test_label_model_posterior_equals_bayes_rule_written_out():
+    r = np.random.default_rng(5)
+    votes = r.integers(-1, 2, (400, 4))
+    pattern, n = np.unique(votes, axis=0, return_counts=True)
+    model = toxicity.LabelModel(pattern, n.astype(float), rounds=7)
+    for row, got in zip(pattern, model.posterior(pattern), strict=True):
+        p = [1 - model.prior, model.prior]
+        for j, par in enumerate(model.parent):
+            for c in (0, 1):
+                p[c] *= model.tables[j][c][row[par] + 1 if par is not None else 0, row[j] + 1]
+        assert np.isclose(got, p[1] / sum(p))
