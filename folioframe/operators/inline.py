@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 #: How a legal basis begins, and what the name of a law looks like.
 BASIS = ("Căn cứ", "căn cứ", "Xét", "xét", "Theo đề nghị", "theo đề nghị", "Thực hiện", "thực hiện")
-LAW_KINDS = ("Luật", "Pháp lệnh", "Nghị định", "Nghị quyết", "Thông tư", "Quyết định", "Chỉ thị", "Hiến pháp")
-LAW = "(?U)(?:" + "|".join(LAW_KINDS) + ")(?:\\s+(?:số\\s+)?[\\d\\w/.\\-]+)*(?:\\s+ngày\\s+\\d{1,2}\\s+tháng\\s+\\d{1,2}\\s+năm\\s+\\d{4})?"
+LAW = (
+    r"(?U)(?:Luật|Pháp lệnh|Nghị định|Nghị quyết|Thông tư|Quyết định|Chỉ thị|Hiến pháp)(?:\s+(?:số\s+)?[\d\w/.\-]+)*"
+    r"(?:\s+ngày\s+\d{1,2}\s+tháng\s+\d{1,2}\s+năm\s+\d{4})?"
+)
 
 
 def runs(text: Column) -> Column:

@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import collapse
+
 #: What the fields of a header look like.
 COUNTRY = re.compile(r"CỘNG\s+H[OÒ]A", re.I)
 MOTTO = re.compile(r"Độc\s+lập", re.I)
@@ -21,11 +23,10 @@ NUMBER = re.compile(r"^S[ốô]\s*:", re.I)
 HEADER_FIELDS = {"country_name": COUNTRY, "motto": MOTTO, "location_and_date": DATE, "document_number": NUMBER}
 #: Cues of a signature.
 AUTHORITY, RECEIPT = r"^(?:TM\.|KT\.)\s", r"(?iu)^Nơi\s+nhận"
-TITLES = (
-    "BỘ TRƯỞNG", "THỨ TRƯỞNG", "CHỦ TỊCH", "PHÓ CHỦ TỊCH", "GIÁM ĐỐC", "PHÓ GIÁM ĐỐC", "TỔNG GIÁM ĐỐC", "CỤC TRƯỞNG",
-    "PHÓ CỤC TRƯỞNG", "VỤ TRƯỞNG", "TRƯỞNG BAN", "HIỆU TRƯỞNG", "CHÁNH VĂN PHÒNG", "GIÁM ĐỐC SỞ",
-)
-TITLE = "^(?:" + "|".join(t.replace(" ", "\\s+") for t in TITLES) + ")"
+TITLE = (
+    r"^(?:BỘ\s+TRƯỞNG|THỨ\s+TRƯỞNG|CHỦ\s+TỊCH|PHÓ\s+CHỦ\s+TỊCH|GIÁM\s+ĐỐC|PHÓ\s+GIÁM\s+ĐỐC|TỔNG\s+GIÁM\s+ĐỐC|CỤC\s+TRƯỞNG|PHÓ\s+CỤC\s+TRƯỞNG|"
+    r"VỤ\s+TRƯỞNG|TRƯỞNG\s+BAN|HIỆU\s+TRƯỞNG|CHÁNH\s+VĂN\s+PHÒNG|GIÁM\s+ĐỐC\s+SỞ)"
+)
 NAME_CHARS = 40
 HEADER_SCHEMA = "doc_id long, country_name string, motto string, location_and_date string, document_number string, superior_agency string, issuing_agency string, used array<int>"
 
@@ -68,7 +69,7 @@ def signature_cues(lines: DataFrame) -> DataFrame:
 
     Pages with neither label nor cue have no signature.
     """
-    own = lines.where("zone = 'signature'").withColumn("t", F.trim("text"))
+    own = lines.where("zone = 'signature'").withColumn("t", collapse(F.col("text")))
     right = F.col("side") == "right"
     w = Window.partitionBy("doc_id", "page").orderBy("line_no")
 
