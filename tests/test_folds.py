@@ -1,11 +1,13 @@
 """Decisions that follow from earlier ones, against plain loops; changes to tables, vision results and records."""
 
+import os
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from folioframe.operators import assembly, blocktext, changes, registry, structure, styles, vision, zones
+from folioframe.sources import files
 
 BLOCKS = "doc_id long, page int, seq int, type string, text string, confidence double, runs array<string>"
 
@@ -124,3 +126,11 @@ def test_block_text_of_missing_fields(spark):
     rows = [("paragraph", None, None, None, None, None, None, None), ("list", None, [(" a ",), (None,)], None, None, None, None, None), ("table", None, None, None, [[("x",), ("y",)]], None, None, None), ("signature", None, None, None, None, (None, None, None, ["r"]), (None, None, None, "TM. A", None, "N"), None), ("image", "no", None, None, None, None, None, None)]
     got = spark.createDataFrame(rows, schema).select(blocktext.block_text(F.struct("*")).alias("t"), blocktext.content_chars(F.struct("*")).alias("n")).collect()
     assert [(x.t, x.n) for x in got] == [("", 0), (" a  ", 1), ("x y", 2), ("r TM. A N", 7), ("", 0)]
+
+
+def test_files_by_age(spark, tmp_path):
+    for name, age in (("conv_1.pdf", 100), ("conv_2.pdf", 50), ("conv_3.pdf", 10), ("other.txt", 100)):
+        (tmp_path / name).write_text("x")
+        os.utime(tmp_path / name, (1_700_000_000 - age,) * 2)
+    old = registry.expired(files.listing(spark, str(tmp_path), "conv_*.pdf"), 50, F.timestamp_seconds(F.lit(1_700_000_000)))
+    assert sorted(os.path.basename(r.path) for r in old.collect()) == ["conv_1.pdf", "conv_2.pdf"]
