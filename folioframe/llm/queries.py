@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 
 from ..sources.tables import spread, table
-from . import bpe, decontaminate, html_text, jaccard_join, licenses, quality, rules, sharding, suffix_dedup, toxicity
+from . import bpe, decontaminate, html_text, jaccard_join, licenses, oracles, quality, rules, sharding, suffix_dedup, toxicity
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -36,8 +36,8 @@ def op4_bpe(spark, sf_dir):
 
 
 def op5_quality_rules(spark, sf_dir):
-    """All documents through the rule cascade."""
-    return rules.judge(_texts(spark, sf_dir))
+    """All documents through the rule cascade; which rule rejected depends on the estimated order and stays in the operator."""
+    return rules.judge(_texts(spark, sf_dir)).drop("rejected_by")
 
 
 def op6_html_text(spark, sf_dir):
@@ -80,4 +80,10 @@ QUERIES = {
         op10_jaccard_join,
     )
 }
-ORACLES: dict[str, str] = {"op7_license_scan": licenses.oracle_sql()}
+ORACLES: dict[str, str] = {
+    "op1_suffix_dedup": oracles.SUFFIX_DEDUP,
+    "op2_decontamination": oracles.DECONTAMINATION,
+    "op5_quality_rules": oracles.QUALITY_RULES,
+    "op7_license_scan": licenses.oracle_sql(),
+    "op10_jaccard_join": oracles.JACCARD_JOIN,
+}

@@ -4,8 +4,10 @@ import glob
 import os
 
 import duckdb
+import pytest
 
 import __spark_entry__ as entry
+from folioframe.llm.queries import ORACLES as oracles
 
 COLUMNS = {
     "op1_": "doc_id n_bytes n_removed n_spans kept_sha256",
@@ -31,11 +33,13 @@ def test_columns_and_rows(spark, small):
     assert "pipeline" in known
 
 
-def test_license_scan_against_sql(spark, small):
+@pytest.mark.parametrize("name", sorted(oracles))
+def test_against_sql(spark, small, name):
     con = duckdb.connect()
     for path in glob.glob(f"{small}/*.parquet"):
         con.execute(f"CREATE VIEW {os.path.basename(path)[:-8]} AS SELECT * FROM read_parquet('{path}')")
-    got = entry.queries()["op7_license_scan"](spark, small)
-    out = con.execute(entry.oracle_sql()["op7_license_scan"])
+    got = entry.queries()[name](spark, small)
+    out = con.execute(oracles[name])
     names = [c[0] for c in out.description]
+    assert sorted(names) == sorted(got.columns)
     assert sorted(tuple(r[c] for c in names) for r in got.collect()) == sorted(out.fetchall())
