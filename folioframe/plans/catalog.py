@@ -317,7 +317,12 @@ def circuit_breaker(spark, sf_dir):
     return operations.breaker_states(e, 2, 6 * 3600.0).select("service", "event_id", "state", "let_through")
 
 
-@query()
+@query(
+    """WITH RECURSIVE s(user_id, ts) AS (SELECT user_id, min(ts) FROM events GROUP BY user_id
+ UNION ALL SELECT s.user_id, (SELECT min(e.ts) FROM events e WHERE e.user_id = s.user_id AND e.ts >= s.ts + INTERVAL 24 HOUR) FROM s WHERE s.ts IS NOT NULL),
+i AS (SELECT user_id, ts, min(event_id) AS event_id FROM events JOIN s USING (user_id, ts) GROUP BY user_id, ts)
+SELECT user_id, event_id, ts + INTERVAL 24 HOUR AS expires_at, least(ts + INTERVAL 24 HOUR, lead(ts) OVER (PARTITION BY user_id ORDER BY ts)) AS closed_at FROM i"""
+)
 def reset_tokens(spark, sf_dir):
     """Each event asks for a token; a day's cool-down and life."""
     e = table(spark, sf_dir, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"), "event_id")
@@ -440,7 +445,15 @@ def hierarchy_numbering(spark, sf_dir):
     return structure.validated(lines).groupBy("final_kind", "demoted", "confidence").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+@query(
+    """WITH RECURSIVE c AS (SELECT conv_id, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role) - 1 AS i, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations),
+g AS (SELECT *, role = CASE i % 2 WHEN 0 THEN 'user' ELSE 'assistant' END AS here, role = CASE i % 2 WHEN 1 THEN 'user' ELSE 'assistant' END AS beside FROM c),
+t(conv_id, i, before_taken, taken, matched) AS (SELECT DISTINCT conv_id, CAST(0 AS BIGINT), true, false, CAST(0 AS BIGINT) FROM g
+ UNION ALL SELECT t.conv_id, t.i + 1, t.taken OR coalesce(p = 0, false), coalesce(p = 1, false), t.matched + CASE WHEN p IS NULL THEN 0 ELSE 1 END FROM
+  (SELECT t.*, CASE WHEN beside AND NOT before_taken THEN -1 WHEN here AND NOT taken THEN 0 WHEN beside AND t.i + 1 < n THEN 1 END AS p FROM t JOIN g ON g.conv_id = t.conv_id AND g.i = t.i) t),
+m AS (SELECT conv_id AS doc_id, max(matched) AS matched, max(matched) / count(*) FILTER (i > 0) AS p FROM t GROUP BY conv_id)
+SELECT doc_id, matched, p AS precision, p AS recall, CASE WHEN p > 0 THEN 2 * p * p / (p + p) ELSE 0.0 END AS f1 FROM m"""
+)
 def role_agreement(spark, sf_dir):
     """Roles of a conversation's turns against user and assistant in turn."""
     c = table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("doc_id")).agg(F.array_sort(F.collect_list(F.struct("turn", "role"))).alias("t"))

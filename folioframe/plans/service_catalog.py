@@ -320,6 +320,13 @@ t(doc_id, line_no, state, article, clause, point, final_kind, demoted) AS (
  FROM t JOIN k ON k.doc_id = t.doc_id AND k.line_no = t.line_no + 1)"""
 
 
+ORACLES["hierarchy_numbering"] = (
+    _LINES.replace("WITH ", "WITH RECURSIVE ", 1)
+    + f""", kinds AS (SELECT doc_id, line_no, text, {_KIND} AS kind FROM l), {_TURNS}
+SELECT final_kind, demoted, CAST(CASE WHEN demoted THEN 0.6 WHEN kind <> 'paragraph' THEN 1.0 ELSE 0.8 END AS DOUBLE) AS confidence, count(*) AS n FROM t JOIN k USING (doc_id, line_no) GROUP BY 1, 2, 3"""
+)
+
+
 @query(
     _OPENED.replace("WITH ", "WITH RECURSIVE ", 1)
     + f""", kinds AS (SELECT doc_id, line_no, text, {_KIND} AS kind FROM o), {_TURNS}
