@@ -8,12 +8,13 @@ them. All windows are searched backwards at once through the ranks of a wavelet
 occurrences are located by walking to sampled suffix positions, and the found spans are
 merged per document.
 
-The benchmark is a query set: it is read in blocks of ``block_items`` items, each of which
-goes to the tasks, so what a task gets is bounded however large the benchmark is.
+The benchmark is a query set: it is read in blocks of ``block_items`` items or some
+``BLOCK_BYTES`` characters, each of which goes to the tasks, so what a task gets is bounded
+however large the benchmark is.
 
 Cases: null and empty texts have no words and no hits. A null item text gives no window.
 Windows that several items share count for each of them. Repeated document rows are
-judged one by one (with several blocks: rows are put together by doc_id). Empty tables
+judged one by one, also with several blocks, where each row has a number. Empty tables
 give empty results, an empty benchmark gives documents without hits. Extra columns are
 ignored, whatever their names.
 """
@@ -25,6 +26,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,9 +34,10 @@ from ..plans.runtime import materialize
 from . import _bytes as B
 
 WINDOW = 13
-#: Bytes of text per FM-index, and benchmark items per pass.
+#: Bytes of text per FM-index, and benchmark items and their bytes per pass.
 SHARD_BYTES = 32 << 20
 BLOCK_ITEMS = 20_000
+BLOCK_BYTES = 4 << 20
 #: Every how many positions of a run a suffix position is kept.
 SAMPLE_STEP = 8
 
@@ -133,16 +136,16 @@ class Phrases:
             s, e, _ = B.words(data, np.array([0, len(data)]), B.ALNUM)
             hashes.append(B.word_hashes(data, s, e))
         self.vocabulary = np.unique(np.concatenate([np.zeros(0, B.U64), *hashes]))
-        found: dict[tuple, set[str]] = {}
-        for (item, _), h in zip(items, hashes, strict=True):
-            symbols = np.searchsorted(self.vocabulary, h) + 1
-            size = min(WINDOW, len(symbols))
-            for i in range(len(symbols) - size + 1 if size else 0):
-                found.setdefault(tuple(symbols[i : i + size].tolist()), set()).add(str(item))
-        by_size: dict[int, list] = {}
-        for phrase, owners in found.items():
-            by_size.setdefault(len(phrase), []).append((phrase, sorted(owners)))
-        self.by_size = {k: (np.array([p for p, _ in v], np.int64), [o for _, o in v]) for k, v in by_size.items()}
+        sizes = np.array([min(WINDOW, len(h)) for h in hashes], np.int64)
+        #: By length of window: distinct windows, and the names of their items in ``owners[ends[i] : ends[i + 1]]``.
+        self.by_size: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for size in np.unique(sizes[sizes > 0]).tolist():
+            own = np.flatnonzero(sizes == size)
+            cut = [sliding_window_view(np.searchsorted(self.vocabulary, hashes[k]).astype(np.int32) + 1, size) for k in own]
+            owner = np.repeat(np.array([str(items[k][0]) for k in own], object), [len(c) for c in cut])
+            patterns, which = np.unique(np.concatenate(cut), axis=0, return_inverse=True)
+            order = np.argsort(which.reshape(-1), kind="stable")
+            self.by_size[size] = patterns, owner[order], np.concatenate([[0], np.cumsum(np.bincount(which.reshape(-1)))])
         self.least = min(self.by_size, default=1 << 60)
 
     def symbols(self, hashes: np.ndarray) -> np.ndarray:
@@ -190,7 +193,7 @@ class _Shard:
         for b, r in zip(begin, self.runs, strict=True):
             seq[b : b + len(r[2])] = r[2]
         index, out = FMIndex(seq, len(self.p.vocabulary)), {}
-        for size, (patterns, owners) in self.p.by_size.items():
+        for size, (patterns, owners, ends) in self.p.by_size.items():
             lo, hi = index.search(patterns)
             found = np.flatnonzero(hi > lo)
             if not len(found):
@@ -204,7 +207,7 @@ class _Shard:
                 first = word + a - int(begin[r])
                 spans, items = out.setdefault(doc, ([], set()))
                 spans.append((first, first + size))
-                items.update(owners[w])
+                items.update(owners[ends[w] : ends[w + 1]].tolist())
         return out
 
     def rows(self) -> pa.RecordBatch:
@@ -247,12 +250,13 @@ def _task(phrases: Phrases):
 
 
 def _blocks(benchmark: DataFrame, size: int) -> Iterator[list[tuple[str, str | None]]]:
-    block: list = []
+    block, held = [], 0
     for r in benchmark.select("item_id", "text").toLocalIterator():
         block.append((r.item_id, r.text))
-        if len(block) >= size:
+        held += len(r.text or "")
+        if len(block) >= size or held >= BLOCK_BYTES:
             yield block
-            block = []
+            block, held = [], 0
     if block:
         yield block
 

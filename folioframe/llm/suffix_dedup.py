@@ -19,10 +19,12 @@ most-significant-digit first, and a group that has shrunk to one suffix is done:
 
 Runs are compared by two independent 64-bit hashes, windows of step 3 byte by byte.
 
-Cases: null text counts as empty. Texts under 100 bytes keep all bytes. All rows with one
-doc_id (also a null one) are taken as one document that is given several times: they get
-the same spans, found in the first of equal starts. An empty table gives an empty result.
-Extra columns are kept by ``cut`` and ignored by ``digests``.
+Cases: null text counts as empty. Texts under 100 bytes keep all bytes. Rows of one doc_id
+with equal texts are one document that is given several times: they get the same spans.
+Rows of one doc_id with unlike texts, and rows without one, are documents of their own, those
+without an id before all others; among equal ids a fixed order by hash says which is earlier.
+An empty table gives an empty result. Extra columns are kept by ``cut`` and ignored by
+``digests``, whatever their names.
 """
 
 from __future__ import annotations
@@ -46,6 +48,8 @@ PIECE = 1 << 19
 #: Bytes of text whose records are combined before they are dealt out; records of an anchor from which on windows are dealt out singly.
 FLUSH = 16 << 20
 HOT = 2000
+#: Bytes of all texts per shuffle partition, at most; a partition is settled in four buckets.
+TASK_BYTES = 64 << 20
 _POS = B.U64((1 << 22) - 1)
 NO_ID = -(1 << 63)
 
@@ -334,16 +338,28 @@ def _single_windows(n_buckets: int):
     return run
 
 
-def _numbered(docs: DataFrame) -> DataFrame:
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
+def _keyed(rows: DataFrame) -> tuple[DataFrame, int]:
+    """The rows (doc, text, rest) with one doc for each text, and the bytes of all texts.
 
-
-def repeats(docs: DataFrame) -> DataFrame:
-    """doc, bodies: packed spans (start, number of windows) of the repeated windows of each document that has any."""
-    spark = docs.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    Ids that stand for one text each stay as they are. Otherwise (ids that texts share, rows
+    without one) all texts are numbered in the order of their ids.
+    """
+    mark = F.struct(F.xxhash64("text").alias("h"), F.octet_length("text").alias("n"))
+    ids = rows.groupBy("doc").agg(F.min(mark).alias("lo"), F.max(mark).alias("hi"), F.sum(F.octet_length("text").cast("long")).alias("bytes"))
+    total, shared = ids.agg(F.sum("bytes"), F.max(F.col("lo") != F.col("hi"))).first()
+    if not shared:
+        return rows, total or 0
+    marked = rows.withColumn("mark", mark)
+    order = marked.select("doc", "mark").distinct().repartitionByRange("doc", "mark").sortWithinPartitions("doc", "mark")
+    numbers = materialize(order.withColumn("number", F.monotonically_increasing_id()), "suffix-numbers")
+    return materialize(marked.join(numbers, ["doc", "mark"]).select(F.col("number").alias("doc"), "text", "rest"), "suffix-texts"), total
+
+
+def repeats(texts: DataFrame, total: int) -> DataFrame:
+    """doc, bodies: packed spans (start, number of windows) of the repeated windows of each doc that has any; ``total`` bytes in all texts."""
+    spark = texts.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // TASK_BYTES + 1)
     n_buckets = 4 * n
-    texts = _numbered(docs)
     marks = materialize(_dealt(texts.mapInArrow(_first_digit(n_buckets, FLUSH), ROWS), n, n_buckets), "suffix-marks")
     by_doc = lambda kind: marks.where(F.col("kind") == kind).groupBy("doc").agg(F.collect_list("body").alias("bodies"))
     open_ = materialize(texts.join(by_doc(2), "doc").select("doc", "text", "bodies").mapInArrow(_open_runs, "h long, doc long, start int, run binary"), "suffix-runs")
@@ -392,9 +408,9 @@ def _cut(as_text: bool):
 
 
 def _applied(docs: DataFrame, as_text: bool, rest) -> DataFrame:
-    own = _numbered(docs.select("doc_id", "text")).columns
-    wide = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias(own[0]), F.coalesce("text", F.lit("")).alias(own[1]), F.struct(*rest).alias("rest"))
-    joined = wide.join(repeats(docs), "doc", "left").select("doc", "text", "bodies", "rest")
+    wide = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.coalesce("text", F.lit("")).alias("text"), F.struct(*rest).alias("rest"))
+    wide, total = _keyed(wide)
+    joined = wide.join(repeats(wide.select("doc", "text"), total), "doc", "left").select("doc", "text", "bodies", "rest")
     kind = joined.schema["rest"].dataType.simpleString()
     return joined.mapInArrow(_cut(as_text), f"n_bytes long, n_removed long, n_spans long, kept string, rest {kind}")
 

@@ -88,6 +88,15 @@ def test_cut_keeps_columns_and_repeated_rows(docs, nothing, spark):
     assert sorted((r.doc_id or 0, len(r.text)) for r in twice) == [(0, 300), (1, 0), (1, 0), (2, 0)]
 
 
+def test_unlike_texts_of_one_id(spark):
+    r = random.Random(2)
+    a, b, c, d = ("".join(r.choice("abcd ") for _ in range(300)) for _ in range(4))
+    own = [(None, a), (None, b), (3, a), (3, c + b), (4, c + d), (4, c + d), (2**63 - 1, d), (-(2**63) + 1, c[:50])]
+    got = sorted(((x.doc_id, x.n_bytes, x.n_removed) for x in suffix_dedup.digests(spark.createDataFrame(own, "doc_id long, text string")).collect()), key=str)
+    want = [(None, 300, 0), (None, 300, 0), (3, 300, 300), (3, 600, 300), (4, 600, 300), (4, 600, 300), (2**63 - 1, 300, 300), (-(2**63) + 1, 50, 0)]
+    assert got == sorted(want, key=str)
+
+
 def brute_sets(text):
     t = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
     w = re.findall(r"[^\x20\x09-\x0D]+", t)
