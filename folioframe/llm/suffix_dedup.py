@@ -344,7 +344,7 @@ def _keyed(rows: DataFrame) -> tuple[DataFrame, int]:
     Ids that stand for one text each stay as they are. Otherwise (ids that texts share, rows
     without one) all texts are numbered in the order of their ids.
     """
-    mark = F.struct(F.xxhash64("text").alias("h"), F.octet_length("text").alias("n"))
+    mark = F.xxhash64("text", F.octet_length("text"))  # a number, so that texts aren't sorted for the aggregate
     ids = rows.groupBy("doc").agg(F.min(mark).alias("lo"), F.max(mark).alias("hi"), F.sum(F.octet_length("text").cast("long")).alias("bytes"))
     total, shared = ids.agg(F.sum("bytes"), F.max(F.col("lo") != F.col("hi"))).first()
     if not shared:
