@@ -46,7 +46,7 @@ WIDTH = DEPTH - GRAM + 1
 #: Longer texts are looked at in pieces of so many windows.
 PIECE = 1 << 19
 #: Bytes of text whose records are combined before they are dealt out; records of an anchor from which on windows are dealt out singly.
-FLUSH = 16 << 20
+FLUSH = 8 << 20
 HOT = 2000
 #: Bytes of all texts per shuffle partition, at most; a partition is settled in four buckets.
 TASK_BYTES = 64 << 20
