@@ -156,7 +156,10 @@ def combine(records: np.ndarray, n_buckets: int) -> Iterator[pa.RecordBatch]:
     yield from _marks(r[new_g & (kinds > 1)], 2, n_buckets)
     out = r[new_h]
     out["many"] = np.minimum(kinds[new_h], 30_000)
-    bucket = ((out["h"] >> B.U64(32)) * B.U64(n_buckets) >> B.U64(32)).astype(np.int64)
+    # anchors are least hashes, crowded near 0: mixed again, so that buckets fill evenly
+    bucket = ((B.mix(out["h"]) >> B.U64(32)) * B.U64(n_buckets) >> B.U64(32)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    out, bucket = out[order], bucket[order]
     edges = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
     ends = np.append(edges[1:], len(out))
     yield _rows(bucket[edges], np.zeros(len(edges)), np.zeros(len(edges)), [_planes(out[a:b]) for a, b in zip(edges, ends, strict=True)])

@@ -152,3 +152,17 @@ def test_keep_one(spark, docs, nothing):
     heads = {r.component_id for r in jaccard_join.join(docs).collect()}
     assert sorted(r.doc_id for r in kept if r.doc_id is not None) == sorted(heads) and sum(r.doc_id is None for r in kept) == 1
     assert jaccard_join.keep_one(nothing).count() == 0 and jaccard_join.join(nothing).count() == 0
+
+
+def test_suffix_buckets_fill_evenly():
+    """Anchors are least hashes; the buckets must not be as crowded."""
+    r = random.Random(4)
+    data = np.frombuffer("".join(r.choice("abcdefgh ") for _ in range(200_000)).encode(), np.uint8)
+    row, start, n, h, g = suffix_dedup.runs(data, np.array([0, len(data)]))
+    rec = np.zeros(len(row), suffix_dedup.RECORD)
+    rec["h"], rec["g"], rec["doc"], rec["start"], rec["n"] = h, g, 1, start, n
+    packed = [x for b in suffix_dedup.combine(rec, 16) for x in b.to_pylist() if x["kind"] == 0]
+    sizes = {x["bucket"]: len(suffix_dedup._records(x["body"])) for x in packed}
+    assert len(packed) == len(sizes) == 16
+    assert max(sizes.values()) < 1.3 * sum(sizes.values()) / 16
+    assert all((np.diff(suffix_dedup._records(x["body"])["h"].astype(object)) > 0).all() for x in packed)
