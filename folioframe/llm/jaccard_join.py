@@ -76,7 +76,7 @@ def shingles(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarr
     h = np.zeros(n, B.U64)
     for i in range(SIZE):
         part = np.zeros(n, B.U64)
-        part[: n - i] = w[i:] * _STEP[i]
+        part[: max(n - i, 0)] = w[i:] * _STEP[i]
         h += np.where(left > i, part, B.U64(0))
     keep = (left >= SIZE) | (at == 0)
     h, row = B.mix(h[keep] + np.minimum(left[keep], SIZE).astype(B.U64)), row[keep]
@@ -183,7 +183,10 @@ def _prefixes(table: np.ndarray, n_buckets: int):
         r = np.concatenate(held)
         r = r[np.lexsort((r["doc"], r["set"], r["h"]))]
         r = r[np.append(True, (r["h"][1:] != r["h"][:-1]) | (r["set"][1:] != r["set"][:-1]))] if len(r) else r
-        bucket = ((r["h"] >> B.U64(32)) * B.U64(n_buckets) >> B.U64(32)).astype(np.int64)
+        # prefixes are least hashes, crowded near 0: mixed again, so that buckets fill evenly
+        bucket = ((B.mix(r["h"]) >> B.U64(32)) * B.U64(n_buckets) >> B.U64(32)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        r, bucket = r[order], bucket[order]
         edge = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))[: len(r)]
         end = np.append(edge[1:], len(r))[: len(edge)]
         body = [np.ascontiguousarray(r[a:b]).view(np.uint8).reshape(b - a, -1).T.tobytes() for a, b in zip(edge, end, strict=True)]

@@ -84,3 +84,10 @@ degree AS (SELECT a AS class, count(*) AS n_links FROM links GROUP BY a)
 SELECT doc_id, len(shingled.s)::BIGINT AS n_shingles, coalesce(least(class, least_id), class, doc_id) AS component_id, coalesce(n_links, 0) AS n_links
 FROM shingled LEFT JOIN classes USING (s) LEFT JOIN least_reached USING (class) LEFT JOIN degree USING (class)
 """
+
+#: Texts with one space for each run of white space, grouped.
+EXACT_DEDUP = r"""
+WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
+SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size, doc_id = min(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256
+FROM d
+"""
