@@ -91,3 +91,51 @@ WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+',
 SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size, doc_id = min(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256
 FROM d
 """
+
+
+def _least(*options: str) -> str:
+    """The least of (cost, audit) structs, some of which may be null."""
+    return f"list_sort(list_filter([{', '.join(options)}], lambda x: x IS NOT NULL))[1]"
+
+
+def _edit(state: str, letter: str, cost: str) -> str:
+    return f"CASE WHEN {state} IS NOT NULL THEN {{'c': {state}.c + {cost}, 'a': {state}.a || '{letter}'}} END"
+
+
+#: The four states' least (cost, audit) row by row; the letters of the least audit are then read back with the rows.
+CONVERSATION_REPAIR = f"""
+WITH RECURSIVE polynomial AS (SELECT list_transform(range(256), lambda n: list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))) AS t),
+keyed AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+  xor(list_reduce([4294967295] || list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda ch: ascii(ch)::BIGINT), lambda c, b: xor(c >> 8, t[xor(c, b) % 256 + 1])), 4294967295) % 20 AS how
+  FROM conversations, polynomial),
+damaged AS (SELECT conv_id, turn, CASE WHEN how = 4 THEN 'user' ELSE role END AS role, CASE how WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+  unnest(CASE how WHEN 0 THEN [] WHEN 3 THEN [0, 1] ELSE [0] END) AS copy FROM keyed),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i FROM damaged),
+tailed AS (SELECT *, right(regexp_replace(text, '[\x20\x09-\x0D]+$', ''), 1) AS tail, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again FROM numbered),
+r AS (SELECT *, left(role, 1) AS o, tail = '' AS blank, tail <> '' AND again AS dup, tail <> '' AND NOT again AND tail NOT IN ('.', '!', '?') AS cut FROM tailed),
+convs AS (SELECT conv_id, (SELECT count(*) FROM r WHERE r.conv_id = c.conv_id) AS n FROM (SELECT DISTINCT conv_id FROM conversations) c),
+walk(conv_id, i, n, v0, v1, v2, v3) AS (
+  SELECT conv_id, 0::BIGINT, n, {{'c': 0, 'a': ''}}, NULL::STRUCT(c INTEGER, a VARCHAR), NULL::STRUCT(c INTEGER, a VARCHAR), NULL::STRUCT(c INTEGER, a VARCHAR) FROM convs
+  UNION ALL
+  SELECT conv_id, i, n, {_edit('v0', 'D', '3')},
+    {_least(_edit('v1', 'D', '3'), f"CASE WHEN ok AND o = 's' THEN {_edit('v0', 'K', 'cut')} END")},
+    {_least(_edit('u2', 'D', '3'), f"CASE WHEN ok AND o = 'u' THEN {_edit('before', 'K', 'cut')} END", f"CASE WHEN ok THEN {_edit('before', 'R', '(2 + cut)')} END")},
+    {_least(_edit('u3', 'D', '3'), f"CASE WHEN ok AND o = 'a' THEN {_edit('u2', 'K', 'cut')} END", f"CASE WHEN ok THEN {_edit('u2', 'R', '(2 + cut)')} END")}
+  FROM (SELECT *, {_least('v0', 'v1', 'u3')} AS before FROM (SELECT *, {_least('v3', _edit('u2', 'I', '2'))} AS u3 FROM (
+    SELECT w.conv_id, r.i, w.n, v0, v1, v3, NOT (r.blank OR r.dup) AS ok, r.cut::INTEGER AS cut, r.o, {_least('v2', *(_edit(v, 'I', '2') for v in ('v0', 'v1', 'v3')))} AS u2
+    FROM walk w JOIN r ON r.conv_id = w.conv_id AND r.i = w.i + 1)))
+),
+ended AS (SELECT conv_id, {_least('v0', 'v3', _edit('u2', 'I', '2'))} AS best FROM (SELECT conv_id, v0, v3, {_least('v2', *(_edit(v, 'I', '2') for v in ('v0', 'v1', 'v3')))} AS u2 FROM walk WHERE i = n)),
+letters AS (SELECT conv_id, unnest(string_split(best.a, '')) AS e, unnest(range(1, length(best.a) + 1)) AS k FROM ended WHERE best.a <> ''),
+placed AS (SELECT *, sum(CASE WHEN e = 'I' THEN 0 ELSE 1 END) OVER (PARTITION BY conv_id ORDER BY k) AS i FROM letters),
+joined AS (SELECT p.conv_id, p.k, p.e, r.role, CASE WHEN p.e = 'I' THEN '' ELSE r.text END AS text, p.e = 'K' AND r.o = 's' AS opens
+  FROM placed p LEFT JOIN r ON p.e <> 'I' AND r.conv_id = p.conv_id AND r.i = p.i WHERE p.e <> 'D'),
+roles AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY k) - max(opens::INTEGER) OVER (PARTITION BY conv_id) AS place FROM joined),
+bodies AS (SELECT conv_id, string_agg(CASE WHEN e = 'K' THEN role WHEN place % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || text, chr(10) ORDER BY k) AS body FROM roles GROUP BY conv_id),
+pairs AS (SELECT *, lag(o) OVER (PARTITION BY conv_id ORDER BY i) || o AS pair FROM r),
+figures AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, sum(blank::BIGINT) AS blank, sum(dup::BIGINT) AS duplicate, sum(cut::BIGINT) AS truncated,
+  sum((pair NOT IN ('su', 'ua', 'au'))::BIGINT) AS illegal FROM pairs GROUP BY conv_id)
+SELECT conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+  coalesce(illegal, 0)::BIGINT AS illegal, best.c::BIGINT AS cost, best.a AS audit, sha256(coalesce(body, '')) AS repaired_sha256
+FROM ended LEFT JOIN figures USING (conv_id) LEFT JOIN bodies USING (conv_id)
+"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 
 from ..sources.tables import spread, table
-from . import bpe, decontaminate, grace_dedup, html_text, jaccard_join, licenses, oracles, quality, rules, sharding, suffix_dedup, toxicity
+from . import bpe, conversations, decontaminate, grace_dedup, html_text, jaccard_join, licenses, oracles, quality, rules, sharding, suffix_dedup, toxicity
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -65,6 +65,11 @@ def op10_jaccard_join(spark, sf_dir):
     return jaccard_join.join(table(spark, sf_dir, "documents"))
 
 
+def op12_conversation_repair(spark, sf_dir):
+    """All conversations, damaged as the contract says and repaired."""
+    return conversations.damaged_repairs(table(spark, sf_dir, "conversations"))
+
+
 def op13_exact_dedup(spark, sf_dir):
     """All documents, each with its group of equal texts."""
     return grace_dedup.groups(table(spark, sf_dir, "documents"))
@@ -83,6 +88,7 @@ QUERIES = {
         op8_sharding,
         op9_toxicity,
         op10_jaccard_join,
+        op12_conversation_repair,
         op13_exact_dedup,
     )
 }
@@ -92,5 +98,6 @@ ORACLES: dict[str, str] = {
     "op5_quality_rules": oracles.QUALITY_RULES,
     "op7_license_scan": licenses.oracle_sql(),
     "op10_jaccard_join": oracles.JACCARD_JOIN,
+    "op12_conversation_repair": oracles.CONVERSATION_REPAIR,
     "op13_exact_dedup": oracles.EXACT_DEDUP,
 }
