@@ -139,3 +139,23 @@ SELECT conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS
   coalesce(illegal, 0)::BIGINT AS illegal, best.c::BIGINT AS cost, best.a AS audit, sha256(coalesce(body, '')) AS repaired_sha256
 FROM ended LEFT JOIN figures USING (conv_id) LEFT JOIN bodies USING (conv_id)
 """
+
+#: All phrases as strings, counted; parts and longer candidates by joins.
+COLLOCATIONS = r"""
+WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+totals AS (SELECT lang, sum(len(w))::BIGINT AS total FROM w GROUP BY lang HAVING sum(len(w)) > 0),
+f AS (SELECT lang, phrase, k, count(*) AS n FROM (
+  SELECT lang, k, array_to_string(w[i : i + k - 1], ' ') AS phrase FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, (SELECT unnest([1, 2, 3, 4]) AS k)))
+  GROUP BY lang, phrase, k HAVING count(*) >= 30),
+c AS (SELECT lang, phrase, string_split(phrase, ' ') AS w, k, n AS a FROM f WHERE k > 1),
+inner_ AS (SELECT lang, phrase, max(a) AS longer FROM (
+  SELECT lang, a, array_to_string(w[i : i + m - 1], ' ') AS phrase FROM (SELECT lang, w, a, k, m, unnest(range(1, k - m + 2)) AS i FROM c, (SELECT unnest([2, 3]) AS m) WHERE m < k)) GROUP BY lang, phrase),
+kept AS (SELECT c.* FROM c LEFT JOIN inner_ USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 80 * a),
+cuts AS (SELECT lang, phrase, a, cut, array_to_string(w[1 : cut], ' ') AS head, array_to_string(w[cut + 1 :], ' ') AS tail FROM (SELECT *, unnest(range(1, k)) AS cut FROM kept)),
+scored AS (SELECT cuts.lang, cuts.phrase, a, cut, x.n AS l, y.n AS r, (2000000::HUGEINT * a) // (x.n + y.n) AS score
+  FROM cuts JOIN f x ON x.lang = cuts.lang AND x.phrase = head JOIN f y ON y.lang = cuts.lang AND y.phrase = tail),
+least AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM least)
+SELECT lang, rank, phrase, a, l, r, total AS n, score::BIGINT AS score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+"""

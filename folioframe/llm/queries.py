@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 
 from ..sources.tables import spread, table
-from . import bpe, conversations, decontaminate, grace_dedup, html_text, jaccard_join, licenses, oracles, quality, rules, sharding, suffix_dedup, toxicity
+from . import bpe, collocations, conversations, decontaminate, grace_dedup, html_text, jaccard_join, licenses, oracles, quality, rules, sharding, suffix_dedup, toxicity
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -65,6 +65,11 @@ def op10_jaccard_join(spark, sf_dir):
     return jaccard_join.join(table(spark, sf_dir, "documents"))
 
 
+def op11_collocations(spark, sf_dir):
+    """The phrases of all documents, by language."""
+    return collocations.collocations(spread(table(spark, sf_dir, "documents").select("lang", "text")))
+
+
 def op12_conversation_repair(spark, sf_dir):
     """All conversations, damaged as the contract says and repaired."""
     return conversations.damaged_repairs(table(spark, sf_dir, "conversations"))
@@ -88,6 +93,7 @@ QUERIES = {
         op8_sharding,
         op9_toxicity,
         op10_jaccard_join,
+        op11_collocations,
         op12_conversation_repair,
         op13_exact_dedup,
     )
@@ -98,6 +104,7 @@ ORACLES: dict[str, str] = {
     "op5_quality_rules": oracles.QUALITY_RULES,
     "op7_license_scan": licenses.oracle_sql(),
     "op10_jaccard_join": oracles.JACCARD_JOIN,
+    "op11_collocations": oracles.COLLOCATIONS,
     "op12_conversation_repair": oracles.CONVERSATION_REPAIR,
     "op13_exact_dedup": oracles.EXACT_DEDUP,
 }
