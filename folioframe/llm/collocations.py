@@ -35,9 +35,9 @@ from . import _bytes as B
 
 LEAST, TOP, DEPTH = 30, 2000, 4
 #: Bytes of text whose words or suffixes are counted before they are dealt out.
-FLUSH = 6 << 20
+FLUSH = 3 << 20
 #: Bits of the map of frequent words; hot words at most; occurrences per partition of suffixes, and buckets in it.
-BITS, HOT, TASK_WORDS, BUCKETS = 1 << 24, 200_000, 6_000_000, 4
+BITS, HOT, TASK_WORDS, BUCKETS = 1 << 24, 200_000, 4_000_000, 8
 #: What ends a piece, and what else separates words.
 ENDS = [*b".,;:!?", *range(0x0A, 0x0E)]
 WORD = B.class_table([0x20, 0x09, *ENDS])
@@ -224,8 +224,8 @@ def _sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
     now, held = None, []
-    for batch in batches:
-        for bucket, lang, *body in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
+    for part in (batch.slice(i, 250) for batch in batches for i in range(0, len(batch), 250)):
+        for bucket, lang, *body in zip(*(part.column(k).to_pylist() for k in range(6)), strict=True):
             if (bucket, lang) != now:
                 if held:
                     yield settled(now[1], held)
