@@ -35,7 +35,7 @@ from . import _bytes as B
 
 LEAST, TOP, DEPTH = 30, 2000, 4
 #: Bytes of text whose words or suffixes are counted before they are dealt out.
-FLUSH = 3 << 20
+FLUSH = 4 << 20
 #: Bits of the map of frequent words; hot words at most; occurrences per partition of suffixes, and buckets in it.
 BITS, HOT, TASK_WORDS, BUCKETS = 1 << 24, 200_000, 4_000_000, 8
 #: What ends a piece, and what else separates words.
@@ -65,45 +65,66 @@ def parts(offsets: np.ndarray, data: np.ndarray, limit: int) -> Iterator[tuple[i
         yield i, j, B.LOWER[data[a:end]], offsets[i : j + 1] - a if j > i + 1 else np.array([0, end - a]), end - a
 
 
-class _Words:
-    """The words of a part: start, end, row, hash with the language, and whether a word follows in the same piece."""
+class Words:
+    """The words of a part: start, end, hash with the language, language, whether a word follows in the same piece, whether it is counted."""
 
-    def __init__(self, data: np.ndarray, bounds: np.ndarray, codes: np.ndarray):
+    def __init__(self, data: np.ndarray, bounds: np.ndarray, codes: np.ndarray, counted: int):
         self.data = data
         self.start, self.end, row = B.words(data, bounds, WORD)
         self.lang = codes[row]
         self.h = B.mix(B.word_hashes(data, self.start, self.end) ^ self.lang) if len(row) else np.zeros(0, B.U64)
-        ends = np.concatenate([np.zeros(1, np.int64), np.cumsum(END[data])])
+        ends = np.concatenate([np.zeros(1, np.int32), np.cumsum(END[data], dtype=np.int32)])
         self.follows = np.zeros(len(row), bool)
         if len(row):
             self.follows[:-1] = (row[1:] == row[:-1]) & (ends[self.start[1:]] == ends[self.end[:-1]])
+        self.own = self.start < counted
+
+    @staticmethod
+    def of(parts_: list[Words]) -> Words:
+        """Many parts as one."""
+        out = Words.__new__(Words)
+        base = np.cumsum([0, *(len(p.data) for p in parts_)])
+        out.data = np.concatenate([p.data for p in parts_])
+        out.start, out.end = (np.concatenate([getattr(p, k) + b for p, b in zip(parts_, base, strict=False)]) for k in ("start", "end"))
+        out.lang, out.h, out.follows, out.own = (np.concatenate([getattr(p, k) for p in parts_]) for k in ("lang", "h", "follows", "own"))
+        return out
 
     def named(self, at: np.ndarray) -> list[bytes]:
         return [self.data[a:b].tobytes() for a, b in zip(self.start[at].tolist(), self.end[at].tolist(), strict=True)]
 
 
-def _langs(batch: pa.RecordBatch) -> tuple[list[str], np.ndarray]:
-    names = batch.column(0).to_pylist()
-    known = {n: int(B.mix(np.array([hash_of(n)], B.U64))[0]) for n in set(names)}
-    return names, np.array([known[n] for n in names], B.U64)
-
-
 def hash_of(text: str) -> int:
     raw = np.frombuffer(text.encode(), np.uint8)
     return int(B.span_hash(B.prefix(raw.astype(B.U64) + B.U64(1)), np.array([0]), np.array([len(raw)]))[0])
 
 
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """lang, word, hash and number in a part of the task's texts; input: lang, text."""
+def gathered(batches: Iterator[pa.RecordBatch], flush: int) -> Iterator[tuple[Words, dict[int, str]]]:
+    """The words of some megabytes of text at a time, and the names of their languages; input: lang, text."""
+    held, size, known, codes_of = [], 0, {}, {}
     for batch in batches:
-        (names, codes), (offsets, data) = _langs(batch), B.columns(batch)
-        for i, j, part, bounds, counted in parts(offsets, data, 2 * FLUSH):
-            w = _Words(part, bounds, codes[i:j])
-            n = int(np.searchsorted(w.start, counted))
-            h, first, count = np.unique(w.h[:n], return_index=True, return_counts=True)
-            row = np.searchsorted(bounds, w.start[first], "right") - 1
-            if len(h):
-                yield pa.record_batch([pa.array([names[i + r] for r in row.tolist()]), pa.array(w.named(first), pa.binary()).cast(pa.string()), pa.array(h.view(np.int64)), pa.array(count)], ["lang", "word", "h", "n"])
+        names, (offsets, data) = batch.column(0).to_pylist(), B.columns(batch)
+        for name in set(names) - codes_of.keys():
+            codes_of[name] = hash_of(name)
+            known[codes_of[name]] = name
+        codes = np.array([codes_of[n] for n in names], B.U64)
+        for i, j, part, bounds, counted in parts(offsets, data, min(flush, B.CHUNK)):
+            held.append(Words(part, bounds, codes[i:j], counted))
+            size += len(part)
+            if size >= flush:
+                yield Words.of(held), known
+                held, size = [], 0
+    if held:
+        yield Words.of(held), known
+
+
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """lang, word, hash and number in some megabytes of the task's texts."""
+    for w, names in gathered(batches, FLUSH):
+        own = np.flatnonzero(w.own)
+        h, first, count = np.unique(w.h[own], return_index=True, return_counts=True)
+        first = own[first]
+        lang = [names[c] for c in w.lang[first].tolist()]
+        yield pa.record_batch([pa.array(lang, pa.string()), pa.array(w.named(first), pa.binary()).cast(pa.string()), pa.array(h.view(np.int64)), pa.array(count)], ["lang", "word", "h", "n"])
 
 
 def routes(h: np.ndarray, ids: np.ndarray, hot: np.ndarray) -> np.ndarray:
@@ -121,48 +142,44 @@ def _suffixes(bitmap: np.ndarray, hot_words: np.ndarray, n_buckets: int):
     """Rows (bucket, lang): words of the bucket with their hot marks, and its suffixes as numbers of words with counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            (names, codes), (offsets, data) = _langs(batch), B.columns(batch)
-            lang_of = dict(zip(codes.tolist(), names, strict=True))
-            for i, j, part, bounds, counted in parts(offsets, data, FLUSH):
-                w = _Words(part, bounds, codes[i:j])
-                n = len(w.h)
-                if not n:
-                    continue
-                h, first, ids = np.unique(w.h, return_index=True, return_inverse=True)
-                slot = h % B.U64(BITS)
-                often = ((bitmap[(slot >> B.U64(6)).astype(np.int64)] >> (slot & B.U64(63))) & B.U64(1)).astype(bool)
-                goes_on = np.append(w.follows[:-1] & often[ids[1:]], False)  # to a frequent word of the piece
-                alive = often[ids] & (np.arange(n) < np.searchsorted(w.start, counted))
-                columns = [np.where(alive, ids + 1, 0)]
-                for k in range(1, DEPTH):
-                    alive = alive & np.append(goes_on[k - 1 :], np.zeros(k - 1, bool))[:n] if k < n else np.zeros(n, bool)
-                    columns.append(np.where(alive, np.append(ids[k:] + 1, np.zeros(min(k, n), np.int64))[:n], 0))
-                matrix = np.stack(columns)[:, columns[1] > 0]
-                if not matrix.shape[1]:
-                    continue
-                base = len(h) + 1
-                high, low = matrix[0] * base + matrix[1], matrix[2] * base + matrix[3]
-                order = np.lexsort((low, high))
-                high, low = high[order], low[order]
-                edge = np.flatnonzero(np.append(True, (high[1:] != high[:-1]) | (low[1:] != low[:-1])))
-                count = np.diff(np.append(edge, len(order)))
-                matrix = matrix[:, order[edge]]
-                hot = np.isin(h, hot_words)
-                bucket = ((routes(h, matrix, hot) >> B.U64(32)) * B.U64(n_buckets) >> B.U64(32)).astype(np.int64)
-                lang = w.lang[first][matrix[0] - 1]
-                order = np.lexsort((lang, bucket))
-                matrix, count, bucket, lang = matrix[:, order], count[order], bucket[order], lang[order]
-                edge = np.flatnonzero(np.append(True, (bucket[1:] != bucket[:-1]) | (lang[1:] != lang[:-1])))
-                cells: list[list] = [[], [], [], [], [], []]
-                for a, b in zip(edge.tolist(), np.append(edge[1:], len(bucket)).tolist(), strict=True):
-                    own, numbers = np.unique(matrix[:, a:b], return_inverse=True)
-                    some = own[own > 0]
-                    numbers = numbers.reshape(DEPTH, -1) + (own[0] > 0)
-                    body = (bucket[a], lang_of[int(lang[a])], b" ".join(w.named(first[some - 1])), hot[some - 1].tobytes(), numbers.astype("<i4").tobytes(), count[a:b].astype("<i4").tobytes())
-                    for c, v in zip(cells, body, strict=True):
-                        c.append(v)
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(cells, (pa.int32(), pa.string(), *[pa.binary()] * 4), strict=True)], ["bucket", "lang", "words", "hot", "ids", "counts"])
+        for w, lang_of in gathered(batches, FLUSH):
+            n = len(w.h)
+            if not n:
+                continue
+            h, first, ids = np.unique(w.h, return_index=True, return_inverse=True)
+            slot = h % B.U64(BITS)
+            often = ((bitmap[(slot >> B.U64(6)).astype(np.int64)] >> (slot & B.U64(63))) & B.U64(1)).astype(bool)
+            goes_on = np.append(w.follows[:-1] & often[ids[1:]], False)  # to a frequent word of the piece
+            alive = often[ids] & w.own
+            columns = [np.where(alive, ids + 1, 0)]
+            for k in range(1, DEPTH):
+                alive = alive & np.append(goes_on[k - 1 :], np.zeros(k - 1, bool))[:n] if k < n else np.zeros(n, bool)
+                columns.append(np.where(alive, np.append(ids[k:] + 1, np.zeros(min(k, n), np.int64))[:n], 0))
+            matrix = np.stack(columns)[:, columns[1] > 0]
+            if not matrix.shape[1]:
+                continue
+            base = len(h) + 1
+            high, low = matrix[0] * base + matrix[1], matrix[2] * base + matrix[3]
+            order = np.lexsort((low, high))
+            high, low = high[order], low[order]
+            edge = np.flatnonzero(np.append(True, (high[1:] != high[:-1]) | (low[1:] != low[:-1])))
+            count = np.diff(np.append(edge, len(order)))
+            matrix = matrix[:, order[edge]]
+            hot = np.isin(h, hot_words)
+            bucket = ((routes(h, matrix, hot) >> B.U64(32)) * B.U64(n_buckets) >> B.U64(32)).astype(np.int64)
+            lang = w.lang[first][matrix[0] - 1]
+            order = np.lexsort((lang, bucket))
+            matrix, count, bucket, lang = matrix[:, order], count[order], bucket[order], lang[order]
+            edge = np.flatnonzero(np.append(True, (bucket[1:] != bucket[:-1]) | (lang[1:] != lang[:-1])))
+            cells: list[list] = [[], [], [], [], [], []]
+            for a, b in zip(edge.tolist(), np.append(edge[1:], len(bucket)).tolist(), strict=True):
+                own, numbers = np.unique(matrix[:, a:b], return_inverse=True)
+                some = own[own > 0]
+                numbers = numbers.reshape(DEPTH, -1) + (own[0] > 0)
+                body = (bucket[a], lang_of[int(lang[a])], b" ".join(w.named(first[some - 1])), hot[some - 1].tobytes(), numbers.astype("<u2" if len(own) < 1 << 16 else "<i4").tobytes(), count[a:b].astype("<i4").tobytes())
+                for c, v in zip(cells, body, strict=True):
+                    c.append(v)
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(cells, (pa.int32(), pa.string(), *[pa.binary()] * 4), strict=True)], ["bucket", "lang", "words", "hot", "ids", "counts"])
 
     return run
 
@@ -212,7 +229,8 @@ def _sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             before = len(known)
             place = np.array([0, *(known.setdefault(w, len(known) + 1) for w in names)], np.int32)
             marks.append(np.frombuffer(hot, bool)[place[1:] > before])
-            matrices.append(place[np.frombuffer(ids, "<i4").reshape(DEPTH, -1)])
+            wide = len(ids) // len(count) == DEPTH  # as wide as a count
+            matrices.append(place[np.frombuffer(ids, "<i4" if wide else "<u2").reshape(DEPTH, -1)])
             counts.append(np.frombuffer(count, "<i4"))
         matrix, hot = np.concatenate(matrices, 1), np.concatenate(marks)
         found = list(phrases(matrix, np.concatenate(counts).astype(np.int64), hot))

@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 
 from ..plans.runtime import materialize
 from . import _bytes as B
+from ._rows import kept
 
 WINDOW = 13
 #: Bytes of text per FM-index, and benchmark items and their bytes per pass.
@@ -316,7 +317,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, block_items: int = BLOCK_ITEMS)
     if second is not None:
         rows, key = _numbered(docs)
         bad = _contaminated(_over_blocks(rows.select(key, "text"), chain([first, second], blocks))).where("contaminated").select(F.col("doc_id").alias(key))
-        return rows.join(bad, key, "left_anti").select(*docs.columns)
+        return rows.join(bad, key, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
     phrases = Phrases(first)
 
     def judged(shard: _Shard, held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -341,4 +342,4 @@ def clean(docs: DataFrame, benchmark: DataFrame, block_items: int = BLOCK_ITEMS)
         if held:
             yield from judged(shard, held)
 
-    return docs.mapInArrow(run, docs.schema)
+    return kept(docs, run)

@@ -425,5 +425,6 @@ def digests(docs: DataFrame) -> DataFrame:
 
 def cut(docs: DataFrame) -> DataFrame:
     """The documents, all columns, without repeated spans; a character cut in two goes whole."""
-    done = _applied(docs, True, [f"`{c}`" for c in docs.columns if c != "text"])
-    return done.select(*(F.col("kept").alias("text") if c == "text" else F.col("rest").getField(c).alias(c) for c in docs.columns))
+    plain = [c if c in ("doc_id", "text") else f"column_{i}" for i, c in enumerate(docs.columns)]
+    done = _applied(docs.toDF(*plain), True, [c for c in plain if c != "text"])
+    return done.select(*(F.col("kept").alias("text") if c == "text" else F.col(f"rest.{c}") for c in plain)).toDF(*docs.columns)

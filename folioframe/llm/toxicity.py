@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from ..plans.runtime import materialize
 from . import _bytes as B
+from ._rows import kept
 from .quality import held_out
 from .rules import let
 
@@ -302,4 +303,4 @@ def harmless(docs: DataFrame, labels: DataFrame) -> DataFrame:
                 _, x = evidence(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], scorer.mined)
                 yield batch.slice(i, j - i).filter(pa.array(scorer.scores(x) < THRESHOLD))
 
-    return docs.mapInArrow(run, docs.schema)
+    return kept(docs, run)

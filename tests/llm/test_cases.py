@@ -20,7 +20,7 @@ TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 CLASHES = (
     "row row_ __row bad_id doc label lo hi block other bodies rest kept words bare lines n x y a b c h g m bucket kind body start run token common need docs "
     "needs weight score predicted held_out size law shard slot grown_shard text_crc32 n_words n_hit n_items spans items contaminated ids decoded n_tokens rep "
-    "node component_id n_links n_shingles host path url_ key rng word bits slot_ total level old near up votes features quality toxic win at piece line"
+    "node component_id n_links n_shingles x.y host path url_ key rng word bits slot_ total level old near up votes features quality toxic win at piece line"
 ).split()
 
 

@@ -82,9 +82,9 @@ def test_parts_of_long_texts(texts, limit):
     offsets, data = np.cumsum([0, *map(len, raw)]), np.frombuffer(b"".join(raw), np.uint8)
     found = []
     for i, j, part, bounds, counted in C.parts(offsets, data, limit):
-        w = C._Words(part, bounds, np.zeros(j - i, np.uint64))
+        w = C.Words(part, bounds, np.zeros(j - i, np.uint64), counted)
         names = w.named(np.arange(len(w.h)))
-        for k in range(int(np.searchsorted(w.start, counted))):
+        for k in np.flatnonzero(w.own).tolist():
             n = 1
             while n < 4 and k + n - 1 < len(w.follows) and w.follows[k + n - 1]:
                 n += 1

@@ -76,3 +76,27 @@ def test_one_shingle_in_unlike_texts_and_clashing_names(spark):
     assert got == want
     kept = jaccard_join.keep_one(frame)
     assert kept.columns == frame.columns and kept.count() == len(own) - 3 - (want[300] > 0)
+
+
+@pytest.mark.parametrize("n", range(7))
+def test_few_words_alone_in_a_chunk(spark, n):
+    few = " ".join(f"w{k}" for k in range(n))
+    data = np.frombuffer(few.encode(), np.uint8)
+    row, h = jaccard_join.shingles(data, np.array([0, len(data)]))
+    assert len(h) == (max(n - 4, 1) if n else 0)
+    long_ = " ".join(f"v{k}" for k in range(60_000))  # a chunk of its own
+    rows = [(1, few), (2, long_), (3, few), (4, long_)]
+    for parts in (1, 4):
+        frame = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).repartition(parts, "doc_id")
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.join(frame).collect()}
+        assert got == {1: (len(h), 1), 3: (len(h), 1 if n else 3), 2: (59_996, 2), 4: (59_996, 2)}
+
+
+def test_few_words_through_the_pipeline(spark, small, tmp_path):
+    import corpus_pipeline
+
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{small}/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
+    rows = [(k, " ".join(["plain", "quiet", "garden", "walks", "near", "rivers"][:k]), "en", "s", 1) for k in range(7)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(7, "doc_id").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == set(range(7))
