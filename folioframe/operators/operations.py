@@ -7,6 +7,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..plans.runtime import materialize
+from .numbering import numbered
+
+#: Seconds and calls of the limits of routes, by user or by address.
+ROUTE_LIMITS = {"upload": (900, 60), "forgot-password": (900, 5), "reset-password": (900, 10), "signup": (900, 5)}
 #: Outcomes in the alert window, least number of them, and the share that alerts.
 OUTCOMES, LEAST_OUTCOMES, ALERT = 50, 5, 0.20
 SAMPLES = 500
@@ -49,31 +54,58 @@ def daily_quota(calls: DataFrame, limit: int) -> DataFrame:
     return calls.withColumn("admitted", F.row_number().over(w) <= limit)
 
 
-def refunded_quota(log: DataFrame, limit: int) -> DataFrame:
+#: A counter stays far below this.
+FAR = 1 << 40
+
+
+def _clamp(s: Column, x: Column) -> Column:
+    """A step's effect on a counter: moved by d and held between lo and hi."""
+    return F.least(s["hi"], F.greatest(s["lo"], x + s["d"]))
+
+
+def counters_before(steps: DataFrame, keys: list[str], block: int = 64) -> DataFrame:
+    """keys, number, before: a counter that begins at 0 for each key, ahead of each step (number from 0, lo, hi, d).
+
+    One clamp after another is a clamp again. So blocks of steps are combined to one step
+    each, these again to blocks, until a key has one; then the counters go down the same
+    way. A key with any number of steps is spread over many tasks, and no array is longer than a block.
+    """
+    grouped = steps.groupBy(*keys, F.floor(F.col("number") / block).alias("block")).agg(F.array_sort(F.collect_list(F.struct("number", "lo", "hi", "d"))).alias("s"))
+    grouped = materialize(grouped, "clamps")
+    if (grouped.agg(F.max("block")).first()[0] or 0) > 0:
+        far = F.lit(FAR).cast("long")
+        one = F.struct((-far).alias("lo"), far.alias("hi"), F.lit(0).cast("long").alias("d"))
+        after = lambda f, g: F.struct(_clamp(g, f["lo"]).alias("lo"), _clamp(g, f["hi"]).alias("hi"), (f["d"] + g["d"]).alias("d"))
+        whole = grouped.select(*keys, F.col("block").alias("number"), F.aggregate("s", one, after).alias("c")).select(*keys, "number", "c.*")
+        entry = counters_before(whole, keys, block).select(*keys, F.col("number").alias("block"), "before")
+        grouped = grouped.join(entry, [*keys, "block"])
+    else:
+        grouped = grouped.withColumn("before", F.lit(0).cast("long"))
+    start = F.struct(F.col("before").alias("x"), F.array().cast("array<long>").alias("out"))
+    run = F.aggregate("s", start, lambda a, s: F.struct(_clamp(s, a["x"]).alias("x"), F.concat(a["out"], F.array(a["x"])).alias("out")))
+    each = grouped.select(*keys, F.explode(F.arrays_zip(F.transform("s", lambda x: x["number"]).alias("number"), run["out"].alias("before"))).alias("z"))
+    return each.select(*keys, F.col("z.number").alias("number"), F.col("z.before").alias("before"))
+
+
+def refunded_quota(log: DataFrame, limit: int, order: tuple[str, ...] = ("ts", "job_id")) -> DataFrame:
     """Adds accepted and used for charges and refunds (user_id, ts, op, quota_key, job_id).
 
     A charge counts on its own day's key while that is below the limit. A refund goes to
-    the key that its job was charged on, once per job, and never below zero.
+    the key that its job was charged on, once per job, and never below zero. ``order`` must
+    tell all rows of a user apart. A charge is the step x -> min(limit, x + 1), a refund x -> max(0, x - 1).
     """
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        used: dict[str, int] = {}
-        refunded: set[str] = set()
-        accepted, after = [], []
-        rows = rows.sort_values(["ts", "job_id"], kind="stable")
-        for op, key, job in zip(rows["op"], rows["quota_key"], rows["job_id"], strict=True):
-            if op == "charge":
-                ok = used.get(key, 0) < limit
-                used[key] = used.get(key, 0) + ok
-            else:
-                ok = job not in refunded
-                refunded.add(job)
-                used[key] = max(0, used.get(key, 0) - ok)
-            accepted.append(ok)
-            after.append(used[key])
-        return rows.assign(accepted=accepted, used=after)
-
-    return log.groupBy("user_id").applyInPandas(fold, _with(log, accepted=T.BooleanType(), used=T.IntegerType()))
+    keys = ["user_id", "quota_key"]
+    once = F.row_number().over(Window.partitionBy("user_id", "job_id", "op").orderBy(*order)) == 1
+    rows = numbered(log.withColumn("__first", (F.col("op") == "refund") & once), keys, list(order), "__number")
+    far, zero = F.lit(FAR).cast("long"), F.lit(0).cast("long")
+    charge, back = F.col("op") == "charge", F.col("__first")
+    steps = rows.select(
+        *keys, F.col("__number").alias("number"), F.when(back, zero).otherwise(-far).alias("lo"), F.when(charge, F.lit(limit).cast("long")).otherwise(far).alias("hi"), F.when(charge, zero + 1).when(back, zero - 1).otherwise(zero).alias("d")
+    )
+    out = rows.join(counters_before(steps, keys).withColumnRenamed("number", "__number"), [*keys, "__number"])
+    accepted = F.when(charge, F.col("before") < limit).otherwise(back)
+    used = F.when(charge, F.least(F.lit(limit), F.col("before") + 1)).when(back, F.greatest(zero, F.col("before") - 1)).otherwise(F.col("before"))
+    return out.withColumn("accepted", accepted).withColumn("used", used.cast("int")).select(*log.columns, "accepted", "used")
 
 
 def first_of(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -104,6 +136,15 @@ def rate_limited(calls: DataFrame, seconds: int, limit: int) -> DataFrame:
     return placed.select("user_id", "event_id", n.alias("in_window")).withColumn("allowed", F.col("in_window") <= limit)
 
 
+def route_limited(calls: DataFrame, limits: dict[str, tuple[int, int]] = ROUTE_LIMITS) -> DataFrame:
+    """in_window and allowed of each call (route, user_id, ts, event_id): every route has its own windows and limit."""
+    out = None
+    for route, (seconds, limit) in limits.items():
+        part = rate_limited(calls.where(F.col("route") == route), seconds, limit).withColumn("route", F.lit(route))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def breaker_states(calls: DataFrame, threshold: int = 5, reset_seconds: float = 30.0) -> DataFrame:
     """Adds state after each call of a service (service, ts, event_id, ok, countable) and let_through.
 
