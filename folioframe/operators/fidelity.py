@@ -92,3 +92,16 @@ def pages_to_review(blocks: DataFrame, below: float = 0.7) -> DataFrame:
     """Pages whose blocks are of low confidence on average."""
     avg = F.avg("confidence")
     return blocks.groupBy("doc_id", "page").agg(F.bround(avg, 3).alias("confidence"), F.count(F.lit(1)).alias("n_blocks"), avg.alias("__avg")).where(F.col("__avg") < below).drop("__avg")
+
+
+def report_payload(ledger: DataFrame, spans: DataFrame | None = None) -> DataFrame:
+    """pair_id, payload: a ledger's figures as nested JSON, rates with four decimals; with the divergence (pair_id, token, kind, n, place) its spans, ten a pair at most."""
+    four = lambda c: F.round(c, 4).cast("decimal(12,4)").alias(c)
+    fields = [four("fidelity"), four("cer"), F.col("extracted_chars").alias("extractedChars"), F.col("docx_chars").alias("docxChars")]
+    if spans is not None:
+        listed = F.array_sort(F.collect_list(F.struct("place", F.struct(F.col("token"), F.col("kind"), F.col("n").alias("count")).alias("s"))))
+        of = spans.groupBy("pair_id").agg(F.transform(listed, lambda x: x["s"]).alias("spans"))
+        ledger = ledger.join(of, "pair_id", "left")
+        fields.append(F.coalesce("spans", F.array().cast(of.schema["spans"].dataType)).alias("divergenceSpans"))
+    norms = F.array(*(F.lit(n) for n in ("casefold", "whitespace-collapse", "bag-order-free")))
+    return ledger.select("pair_id", F.to_json(F.struct(*fields, norms.alias("normalization"))).alias("payload"))

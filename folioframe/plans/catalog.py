@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import legacy, text
 from ..operators import assembly, fidelity, operations, structure, triage
+from ..operators.numbering import numbered
 from ..sources.tables import spread, table
 from ..streaming import jobs
 
@@ -101,12 +102,12 @@ def normalized_length(spark, sf_dir):
 
 def _pairs(spark, sf_dir):
     """Each document as extracted text, the next one of its source as what was written."""
-    w = Window.partitionBy("source").orderBy("doc_id")
-    docs = table(spark, sf_dir, "documents")
-    ids = docs.select("doc_id", F.lead("doc_id").over(w).alias("next")).where("next IS NOT NULL")  # only ids meet by source
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    ids = numbered(table(spark, sf_dir, "documents").select("doc_id", F.coalesce("source", F.lit("")).alias("source")), ["source"], ["doc_id"], "place")  # only ids meet by source
+    ids = ids.join(ids.select("source", (F.col("place") - 1).alias("place"), F.col("doc_id").alias("next")), ["source", "place"])
     first = docs.select(F.col("doc_id").alias("pair_id"), F.col("text").alias("extracted"))
     second = docs.select(F.col("doc_id").alias("next"), F.col("text").alias("docx")).where("docx IS NOT NULL")
-    return spread(ids.withColumnRenamed("doc_id", "pair_id").join(first, "pair_id").join(second, "next").drop("next"))
+    return ids.select(F.col("doc_id").alias("pair_id"), "next").join(first, "pair_id").join(second, "next").drop("next")
 
 
 _PAIRS = f"""WITH p AS (SELECT doc_id AS pair_id, text AS extracted, lead(text) OVER (PARTITION BY source ORDER BY doc_id) AS docx FROM documents),
