@@ -40,9 +40,15 @@ CONTAINERS = set(
 )
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 DROPPED = set("head nav footer aside form script style dialog menu select button noscript template svg object video audio canvas iframe fieldset".split())
+#: Whole class, id or role names of what isn't content; parts of names (header-image, side-effects) say nothing.
 _BOILER = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notices?|alerts?|popup|modal|overlay|comments?|disqus|repl(?:y|ies)|respond|sidebar|sidenav|side|widgets?|menu|nav|navbar|"
-    r"navigation|breadcrumbs?|footer|foot|header|masthead|topbar|toolbar|share|sharing|social|related|recommended|recommendations|newsletter|subscribe|signup|login|search|pagination|pager|copyright|hidden|complementary|contentinfo|search)(?:[\s_-]|\d|$)",
+    r"(?:(?:site|page|main|top|bottom|global|primary|secondary|left|right|blog|mobile|sticky)[-_]?)?(?:header|footer|nav|navbar|navigation|menu|sidebar|sidenav|banner|toolbar|topbar|masthead)|"
+    r"(?:ad|ads|advert|adverts|advertisements?|adsense|advertising|sponsor(?:ed)?|promos?)(?:[-_]?(?:box|slot|unit|banner|container|wrapper|block|\d+))?|"
+    r"(?:cookies?|consent|gdpr|privacy)(?:[-_]?(?:banner|bar|notice|consent|popup|overlay|message))?|"
+    r"comments?(?:[-_]?(?:list|section|form|area|thread|wrapper|box))?|disqus(?:[-_]thread)?|repl(?:y|ies)|respond|"
+    r"(?:share|sharing|social)(?:[-_]?(?:buttons?|bar|links?|icons?|media|share))?|(?:related|recommended|recommendations)(?:[-_]?(?:posts?|articles?|links?|stories|content|items))?|"
+    r"(?:newsletter|subscribe|signup|login)(?:[-_]?(?:form|box|signup|banner|popup))?|search(?:[-_]?(?:form|box|bar))?|"
+    r"notices?|alerts?|popup|modal|overlay|side|foot|widgets?|breadcrumbs?|pagination|pager|copyright|hidden|complementary|contentinfo",
     re.I,
 )
 #: What whole class or id names mark inside an article, where compound names may belong to its content.
@@ -79,6 +85,12 @@ def parse(html: str) -> list[list]:
     def inset(path: list[int]) -> bool:
         return any(nodes[k][1] in ("article", "main") for k in path)
 
+    def unfold(path: list[int]) -> None:
+        """A form around an article or a page's heading holds the page, and isn't one of its forms."""
+        for k in path:
+            if nodes[k][1] == "form":
+                nodes[k][2] = False
+
     def put(text: str) -> None:
         nonlocal links
         if text:
@@ -109,6 +121,8 @@ def parse(html: str) -> list[list]:
             flush()
             depth = 0
             if not closing:
+                if tag == "h1":
+                    unfold(path)
                 nodes.append([path[-1], tag, _boiler(m[3], inset(path)), "", 0])
                 block = len(nodes) - 1
         elif tag in CONTAINERS:
@@ -124,6 +138,8 @@ def parse(html: str) -> list[list]:
                     while len(path) > 1 and nodes[path[-1]][1] == "head":
                         path.pop()
                 kept = tag in ("html", "body", "article", "main")
+                if tag in ("article", "main"):
+                    unfold(path)
                 nodes.append([path[-1], tag, tag in DROPPED or (not kept and _boiler(m[3], inset(path))), "", 0])
                 path.append(len(nodes) - 1)
         elif tag in VOID:
@@ -133,7 +149,7 @@ def parse(html: str) -> list[list]:
 
 
 def _boiler(attributes: str, inside: bool) -> bool:
-    """Whether an element's marks call it something else than content; inside an article only whole names count."""
+    """Whether an element's marks call it something else than content; inside an article fewer names do."""
     if not attributes or attributes.isspace():
         return False
     for name, *values in _ATTR.findall(attributes):
@@ -141,7 +157,7 @@ def _boiler(attributes: str, inside: bool) -> bool:
         name = name.lower()
         if name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
             return True
-        if name in ("class", "id", "role") and (any(map(_INSET.fullmatch, value.split())) if inside else _BOILER.search(value)):
+        if name in ("class", "id", "role") and any(map((_INSET if inside else _BOILER).fullmatch, value.split())):
             return True
     return False
 

@@ -45,3 +45,22 @@ def test_partner_far_down_a_long_list():
 def test_deep_pages():
     a, b = (H.Tree(H.parse("<div>" * 1500 + x)) for x in ("<p>a</p>", "<p>a</p><h2>b</h2>"))
     assert len(H.matched(a, b)) == 1502
+
+
+def test_parts_of_names_say_nothing(spark):
+    from folioframe.llm import html_text
+
+    p = lambda t: f"<p>{t} " + "words of a paragraph that is long enough to be read " * 3 + "</p>"
+    bodies = {
+        1: (f"<div class='side-effects'>{p('one')}</div>", "one"),
+        2: (f"<div id='header-image'>{p('two')}</div>", "two"),
+        3: (f"<div class='search-results'>{p('three')}</div>", "three"),
+        4: (f"<form id='aspnetForm'><article>{p('four')}</article><div class='site-footer'>{p('foot')}</div></form>", "four"),
+        5: (f"<form><h1>Heading</h1><div>{p('five')}</div></form>", "Heading"),
+        6: (f"<div class='wide main-menu'>{p('menu')}</div><div>{p('six')}</div><form><p>Name</p></form>", "six"),
+    }
+    rows = [(i, f"http://h{i}.example/", f"<html><body>{b}</body></html>") for i, (b, _) in bodies.items()]
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i, (_, begins) in bodies.items():
+        assert got[i].startswith(begins) and not {"foot words", "menu words", "Name"} & set(got[i].split("\n")), got[i]
+        assert got[i].count("paragraph") == 3
