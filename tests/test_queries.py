@@ -9,7 +9,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from folioframe.plans import page_catalog as catalog
+from folioframe.plans import rule_catalog as catalog
 
 
 @pytest.fixture(scope="module")
