@@ -85,3 +85,13 @@ def matched_results(results: DataFrame, submitted: DataFrame) -> DataFrame:
     w = Window.partitionBy("name").orderBy("place")
     first = submitted.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
     return results.where("job_id IS NOT NULL").join(first, "name")
+
+
+def token_users(asked: DataFrame, tokens: DataFrame, users: DataFrame) -> DataFrame:
+    """The user of each token that someone presents: by its hash, as tokens are stored; unknown tokens and users have none.
+
+    asked (token), tokens (token_hash, user_id), users (user_id, ...); hashes and users are unique.
+    """
+    from ..functions.service import token_hash
+
+    return asked.withColumn("token_hash", token_hash(F.col("token"))).join(tokens, "token_hash").join(users, "user_id").drop("token_hash")

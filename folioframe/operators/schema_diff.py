@@ -63,3 +63,8 @@ def migration_state(n_applied: int, n_tables: int, problems: DataFrame) -> str:
     if not n_tables:
         return "fresh"
     return "compatible" if problems.isEmpty() else "incompatible"
+
+
+def in_catalog_order(columns: DataFrame) -> DataFrame:
+    """Columns (table, place, name) as a catalog lists them: by table, then by place."""
+    return columns.orderBy("table", "place", "name")

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import geometry, service, text
-from ..operators import assembly, fidelity, inline, structure, triage, zones
+from ..operators import assembly, fidelity, inline, registry, structure, triage, validation, zones
+from ..sources import blocks
 from ..sources.tables import table
 from .catalog import _COLLAPSED, _LINES, _lines
 from .page_catalog import ORACLES, QUERIES, query  # noqa: F401 (handed on with what is added here)
+from .runtime import shared_dir
 
 _STRIP = "regexp_replace({0}, '^\\s+|\\s+$', '', 'g')"
 
@@ -156,3 +160,72 @@ def seal_recalls(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem")
     rows = li.select(F.col("l_orderkey").alias("doc_id"), F.when(F.col("l_linenumber") % 2 == 0, F.lit("pred")).otherwise(F.lit("gold")).alias("side"), F.lit("image").alias("type"), F.when(F.col("l_returnflag") == "A", F.lit("seal")).otherwise(F.lit("photo")).alias("kind"))
     return fidelity.seal_recall(rows).withColumn("recall", F.round("recall", 6))
+
+
+_TAGS = ", ".join(f"'{t}'" for t in validation.BLOCKS).replace("'", "''")
+_AT = "'block blocks.' || i || '.'"
+
+
+@query(
+    f"""{_LINES}, b AS (SELECT doc_id, page, line_no % 5 AS i, length(text) AS n FROM l),
+e AS (SELECT doc_id, page, i, CASE n % 6 WHEN 1 THEN [{_AT} || 'heading.confidence: Input should be less than or equal to 1', {_AT} || 'heading.level: Field required']
+ WHEN 2 THEN [{_AT} || 'paragraph.colour: Extra inputs are not permitted'] WHEN 3 THEN [{_AT} || 'table.rows.0.0.colspan: Input should be greater than or equal to 1']
+ WHEN 4 THEN ['block blocks.' || i || ': Input tag ''poem'' found using ''type'' does not match any of the expected tags: {_TAGS}']
+ WHEN 5 THEN CASE WHEN n > 1000 THEN [{_AT} || 'illegible.bbox: Value error, bbox [0, 0, 1000, ' || n || '] out of range: need 0<=x0<x1<=1000 and 0<=y0<y1<=1000'] ELSE [] END ELSE [] END AS m FROM b)
+SELECT doc_id || ':' || page AS chunk_id, CASE WHEN doc_id % 20 = 7 THEN 0 ELSE count(*) END AS n_blocks,
+ CASE WHEN doc_id % 20 = 7 THEN 'empty response: expected a JSON array of blocks' ELSE array_to_string(flatten(list(m ORDER BY i))[1:10], ' | ') END AS errors FROM e GROUP BY doc_id, page"""
+)
+def chunk_checks(spark, sf_dir):
+    """Chunks of five lines as blocks in JSON, most of them with a fault and some cut off, and their errors."""
+    own = _lines(spark, sf_dir).select("doc_id", "page", (F.col("line_no") % 5).alias("i"), "text", F.length("text").alias("n"))
+    said = lambda **cells: F.to_json(F.struct(*(c.alias(n) for n, c in cells.items())))
+    half, t = F.lit(0.5), F.col("text")
+    kinds = [
+        said(type=F.lit("heading"), confidence=half, level=F.lit(2), text=t),
+        said(type=F.lit("heading"), confidence=F.lit(1.5), text=t),
+        said(type=F.lit("paragraph"), confidence=half, text=t, colour=F.lit("x")),
+        said(type=F.lit("table"), confidence=half, rows=F.array(F.array(F.struct(t.alias("text"), F.lit(0).alias("colspan"))))),
+        said(type=F.lit("poem"), text=t),
+        said(type=F.lit("illegible"), confidence=half, bbox=F.array(F.lit(0), F.lit(0), F.lit(1000), F.col("n"))),
+    ]
+    block = kinds[0]
+    for k, other in enumerate(kinds[1:], 1):
+        block = F.when(F.col("n") % 6 == k, other).otherwise(block)
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("i", block.alias("b")))), lambda x: x["b"])
+    body = own.groupBy("doc_id", "page").agg(listed.alias("b"))
+    json = F.concat(F.lit("["), F.array_join("b", ","), F.when(F.col("doc_id") % 20 == 7, F.lit("")).otherwise(F.lit("]")))
+    out = validation.checked(body.select(F.concat_ws(":", "doc_id", "page").alias("chunk_id"), json.alias("json")))
+    return out.select("chunk_id", F.col("n_blocks").cast("long").alias("n_blocks"), F.array_join("errors", " | ").alias("errors"))
+
+
+@query(
+    f"""{_LINES} SELECT doc_id, count(*) FILTER (WHERE length(text) % 10 <> 3) AS n_blocks, CAST(coalesce(sum(length(text)) FILTER (WHERE length(text) % 10 <> 3), 0) AS BIGINT) AS chars,
+ count(*) FILTER (WHERE length(text) % 10 <> 3 AND line_no % 4 = 0) AS n_headings, count(*) FILTER (WHERE length(text) % 10 = 3) AS n_broken FROM l GROUP BY doc_id"""
+)
+def blocks_round_trip(spark, sf_dir):
+    """All lines written as blocks in JSON and read back; records that are cut off are kept apart."""
+    own = _lines(spark, sf_dir).select("doc_id", F.col("line_no").cast("int").alias("seq"), "text", F.length("text").alias("n"))
+    level = F.when(F.col("seq") % 4 == 0, F.lit(2))
+    block = own.select("doc_id", "seq", F.when(level.isNotNull(), F.lit("heading")).otherwise(F.lit("paragraph")).alias("type"), F.lit(0.5).alias("confidence"), "text", level.alias("level"), "n")
+    path = f"{shared_dir(spark)}/blocks-{uuid.uuid4().hex}"
+    blocks.write_blocks(block.where("n % 10 <> 3").drop("n"), f"{path}/part=whole")
+    cut = F.concat(F.lit('{"doc_id":'), F.col("doc_id"), F.lit(',"text":"cut off'))
+    block.where("n % 10 = 3").select(cut.alias("value")).write.text(f"{path}/part=cut")
+    good, broken = blocks.read_records(spark, path, f"doc_id long, seq int, {blocks.BLOCK}")
+    rows = good.select("doc_id", "text", "level", F.lit(0).alias("broken")).unionByName(
+        broken.select(F.regexp_extract(blocks.BROKEN, r'^\{"doc_id":(-?\d+)', 1).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"), F.lit(None).cast("int").alias("level"), F.lit(1).alias("broken"))
+    )
+    n = lambda test: F.count_if(test)
+    whole = F.col("broken") == 0
+    return rows.groupBy("doc_id").agg(n(whole).alias("n_blocks"), F.coalesce(F.sum(F.length("text")), F.lit(0)).cast("long").alias("chars"), n(whole & F.col("level").isNotNull()).alias("n_headings"), n(~whole).alias("n_broken"))
+
+
+@query("""WITH asked AS (SELECT event_id, 'token-' || event_id % 4000 AS token FROM events), tokens AS (SELECT sha256('token-' || event_id) AS token_hash, user_id FROM events WHERE event_id % 3 = 0)
+SELECT event_id, token, user_id, c_name AS name FROM (SELECT event_id, token, sha256(token) AS token_hash FROM asked) JOIN tokens USING (token_hash) JOIN customer ON c_custkey = user_id""")
+def token_users(spark, sf_dir):
+    """Events as visits with a token, every third one's as issued: who visits."""
+    e = table(spark, sf_dir, "events")
+    asked = e.select("event_id", F.concat(F.lit("token-"), F.col("event_id") % 4000).alias("token"))
+    tokens = e.where("event_id % 3 = 0").select(service.token_hash(F.concat(F.lit("token-"), F.col("event_id"))).alias("token_hash"), "user_id")
+    users = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"), F.col("c_name").alias("name"))
+    return registry.token_users(asked, tokens, users).select("event_id", "token", "user_id", "name")
