@@ -104,7 +104,7 @@ def gathered(batches: Iterator[pa.RecordBatch], flush: int) -> Iterator[tuple[Wo
     for batch in batches:
         names, (offsets, data) = batch.column(0).to_pylist(), B.columns(batch)
         for name in set(names) - codes_of.keys():
-            codes_of[name] = hash_of(name)
+            codes_of[name] = int(B.mix(np.array([hash_of(name)], B.U64))[0])  # mixed again, as a word may be a language's name
             known[codes_of[name]] = name
         codes = np.array([codes_of[n] for n in names], B.U64)
         for i, j, part, bounds, counted in parts(offsets, data, min(flush, B.CHUNK)):

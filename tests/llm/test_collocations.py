@@ -69,6 +69,8 @@ def test_against_plain_counts(spark, monkeypatch, bits, hot_words, flush):
 
 def test_cases(spark, docs, rows, nothing):
     assert got(docs) == brute([(r[2], r[1]) for r in rows]) and got(nothing) == set()
+    named = [(k, f"{k} is {k} is {k} is {k}, " * 20) for k in ("en", "de", "fr", "und", None)]  # words that are names of languages
+    assert got(spark.createDataFrame(named, "lang string, text string")) == brute(named)
     clashing = docs.select("lang", "text", *(F.lit(1).alias(n) for n in "word h n bucket words hot ids counts phrase in_part total a l r k head tail rank score a.b".split()))
     assert got(clashing) == got(docs)
     one = [("en", "same words here and again, " * 20_000 + "z" * 500_000 + " tail of it")]

@@ -1,4 +1,4 @@
-"""What is registered: all ten operators and the pipeline, with their columns, over whole tables."""
+"""What is registered: all thirteen operators and the pipeline, with their columns, over whole tables."""
 
 import glob
 import os
@@ -19,18 +19,22 @@ COLUMNS = {
     "op8_": "doc_id size text_crc32 law shard slot grown_shard",
     "op9_": "doc_id held_out score predicted",
     "op10_": "doc_id n_shingles component_id",
+    "op12_": "conv_id gaps blank duplicate truncated illegal cost audit repaired_sha256",
+    "op13_": "doc_id keep_id group_size kept text_sha256",
 }
 
 
 def test_columns_and_rows(spark, small):
     known = entry.queries()
     n = {t: spark.read.parquet(f"{small}/{t}.parquet").count() for t in ("documents", "pages")}
+    n["conversations"] = spark.read.parquet(f"{small}/conversations.parquet").select("conv_id").distinct().count()
+    tables = {"op6_": "pages", "op12_": "conversations"}
     for start, columns in COLUMNS.items():
         (name,) = [k for k in known if k.startswith(start)]
         out = known[name](spark, small)
         assert set(columns.split()) <= set(out.columns), name
-        assert out.count() == n["pages" if start == "op6_" else "documents"], name
-    assert "pipeline" in known
+        assert out.count() == n[tables.get(start, "documents")], name
+    assert "pipeline" in known and set(known["op11_collocations"](spark, small).columns) == set("lang rank phrase a l r n score".split())
 
 
 @pytest.mark.parametrize("name", sorted(oracles))
