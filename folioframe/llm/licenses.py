@@ -6,13 +6,19 @@ A pair can only reach the threshold t if 2 * min(|A|, |B|) >= t * (|A| + |B|); t
 outside these bounds are not compared. All comparisons are in whole numbers, so a match
 at exactly the threshold counts.
 
-``find`` goes over whole texts, wherever a notice stands and however it is wrapped. A
-template is compared with windows of as many words as it has, one from each place where
-one of its bigrams stands; windows that match and overlap are one find. A window that
-matches shares more than two thirds of the template's bigrams (at 0.8), so a text without
-any of a few of its words, which a third of its bigrams contain, is left out at once.
-Returns a row for each find: doc_id, license, first_word and last_word (from 1), and
-n_bigrams, n_common and dice of its best window, the first of equal ones.
+``find`` goes over whole texts, wherever a notice stands, however it is wrapped and whatever
+was put in or left out. For a template of n bigrams at m places, a window is any run of places
+that begins and ends with one of its bigrams, of at most (2 - t) / t * m places; it needs at
+least t / (2 - t) * n of the template's bigrams to match. These two bounds prune: a template
+goes on for a text only from places where so many of its bigrams lie within so many places. As
+a match shares more than two thirds of the bigrams (at 0.8), a text without any of a few of the
+template's words, which a third of its bigrams contain, is left out before that.
+Of windows that match and share words, the best is a find (highest dice, then shortest, then
+first), the others are not; two notices that follow each other are two finds. Returns a row for
+each find: doc_id, license, first_word and last_word (from 1), n_bigrams, n_common and dice.
+A window with an at least as good one inside it is never a find, so they are not made: from
+each place only ends that are better than all ends before. The others are settled stretch by
+stretch of a text, so that a text of many notices holds the windows of a few stretches.
 
 ``scan`` compares single lines. Returns a row for each line and template at or above the
 threshold: doc_id, line_no (from 1), license, n_bigrams, n_common, dice.
@@ -106,41 +112,92 @@ def marks(template: str, threshold: float) -> list[str]:
     return chosen
 
 
+def bounds(template: str, threshold: float) -> tuple[int, int]:
+    """How many of the template's bigrams a match has at least, and of how many places a window is at most."""
+    num, den = _exact(threshold)
+    return -(-num * len(bigrams(template)) // (2 * den - num)), (len(normalised(template)) - 1) * (2 * den - num) // num
+
+
+_FIND = "struct<worse:double,places:int,first:int,last:int,n:int,common:int>"
+_OPEN = 2**31 - 1
+
+
+def _overlaps(x: Column, y: Column) -> Column:
+    return (x["first"] <= y["last"]) & (y["first"] <= x["last"])
+
+
+def _settled(windows: Column, edge: Column | int) -> Column:
+    """Of windows in order, best first, those that are finds whatever begins at ``edge`` or later."""
+
+    def step(a: Column, x: Column) -> Column:
+        free = ~F.exists(a["taken"], lambda y: _overlaps(x, y))
+        sure = x["last"] < a["front"]
+        return F.struct(
+            F.when(free & ~sure, F.least(a["front"], x["first"])).otherwise(a["front"]).alias("front"),
+            F.when(free & sure, F.concat(a["taken"], F.array(x))).otherwise(a["taken"]).alias("taken"),
+        )
+
+    none = F.array().cast(f"array<{_FIND}>")
+    start = F.struct((F.lit(edge) if isinstance(edge, int) else edge).cast("int").alias("front"), none.alias("taken"))
+    return F.aggregate(windows, start, step, lambda a: a["taken"])
+
+
 def find(docs: DataFrame, threshold: float = THRESHOLD, templates: dict[str, str] | None = None) -> DataFrame:
-    known = {k: (len(normalised(v)), bigrams(v), marks(v, threshold)) for k, v in (TEMPLATES if templates is None else templates).items()}
-    some = sorted({w for *_, m in known.values() for w in m})
+    num, den = _exact(threshold)
+    known = {k: (bigrams(v), marks(v, threshold), *bounds(v, threshold)) for k, v in (TEMPLATES if templates is None else templates).items()}
+    some = sorted({w for _, m, *_ in known.values() for w in m})
     clean = F.trim(F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), "[^0-9a-z]+", " "))
     texts = docs.select("doc_id", clean.alias("clean")).where(F.col("clean").rlike(f"(?:^| )(?:{'|'.join(some)})(?: |$)"))
     words = texts.select("doc_id", F.split("clean", " ").alias("w"))
-    fitting = F.array_compact(F.array(*(F.when(F.arrays_overlap("w", F.lit(m)), F.struct(F.lit(k).alias("license"), F.lit(n).alias("words"), F.lit(g).alias("grams"))) for k, (n, g, m) in known.items())))
-    rows = words.select("doc_id", "w", F.transform(F.slice("w", F.lit(1), F.size("w") - 1), lambda x, i: F.concat(x, F.lit(" "), F.get("w", i + 1))).alias("g"), F.explode(fitting).alias("t"))
-    size = F.size("t.grams")
-    starts = F.filter(F.transform("g", lambda x, i: F.when(F.array_contains("t.grams", x), i)), lambda i: i.isNotNull())
-
-    def window(i: Column) -> Column:
-        def compared(a: Column) -> Column:
-            n = F.size(a)
-            common = F.when(_reaches(F.least(n, size), n, size, threshold), F.size(F.array_intersect(a, F.col("t.grams")))).otherwise(F.lit(0))
-            return F.struct(i.alias("first"), (i + F.col("t.words")).alias("end"), n.alias("n"), common.alias("common"))
-
-        return let(F.array_distinct(F.slice("g", i + 1, F.col("t.words") - 1)), compared)
-
-    hits = F.filter(F.transform(starts, window), lambda x: _reaches(x["common"], x["n"], size, threshold))
-
-    def merge(found: Column, x: Column) -> Column:
-        last = F.try_element_at(found, F.lit(-1))
-        better = x["common"] * (last["n"] + size) > last["common"] * (x["n"] + size)
-        pick = lambda f: F.when(better, x[f]).otherwise(last[f]).alias(f)
-        longer = F.struct(last["first"].alias("first"), x["end"].alias("end"), pick("n"), pick("common"))
-        return F.when((F.size(found) > 0) & (x["first"] < last["end"]), F.concat(F.slice(found, F.lit(1), F.size(found) - 1), F.array(longer))).otherwise(F.concat(found, F.array(x)))
-
-    finds = F.aggregate(hits, F.array().cast("array<struct<first:int,end:int,n:int,common:int>>"), merge)
-    out = rows.select("doc_id", F.col("t.license").alias("license"), F.size("w").alias("n_words"), size.alias("size"), F.explode(finds).alias("f"))
+    grams = words.select("doc_id", "w", F.transform(F.slice("w", F.lit(1), F.size("w") - 1), lambda x, i: F.concat(x, F.lit(" "), F.get("w", i + 1))).alias("g"))
+
+    def starts(b: list[str], need: int, span: int) -> Column:
+        hits = F.filter(F.transform("g", lambda x, i: F.when(F.array_contains(F.lit(b), x), i)), lambda i: i.isNotNull())
+        return let(hits, lambda h: F.filter(F.transform(h, lambda p, k: F.when(F.get(h, k + need - 1) - p < span, p)), lambda p: p.isNotNull()))
+
+    def fitting(k: str, b: list[str], m: list[str], need: int, span: int) -> Column:
+        row = F.struct(F.lit(k).alias("license"), F.lit(b).alias("b"), F.lit(span).alias("span"), starts(b, need, span).alias("starts"))
+        return F.when(F.arrays_overlap("w", F.lit(m)), row)
+
+    candidates = F.filter(F.array(*(fitting(k, *v) for k, v in known.items())), lambda t: F.size(t["starts"]) > 0)
+    rows = grams.select("doc_id", "g", F.explode(candidates).alias("t"))
+    size, span = F.size("t.b"), F.col("t.span")
+    in_order = F.sort_array(F.transform("g", lambda x, i: F.struct(x.alias("x"), i.alias("i"))))
+    same = lambda o, x, k: F.when(F.get(o, k - 1)["x"] == x["x"], F.get(o, k - 1)["i"])
+    earlier = let(in_order, lambda o: F.sort_array(F.transform(o, lambda x, k: F.struct(x["i"].alias("i"), F.coalesce(same(o, x, k), F.lit(-1)).alias("earlier"), F.array_contains("t.b", x["x"]).alias("hit")))))
+
+    def windows(cells: Column, first: Column) -> Column:
+        """From one place, each end that matches and is better than those before."""
+
+        def step(a: Column, x: Column) -> Column:
+            new = (x["earlier"] < first).cast("int")
+            n, common = a["n"] + new, a["common"] + F.when(x["hit"], new).otherwise(F.lit(0))
+            worse = -(common.cast("double") / (n + size))
+            better = x["hit"] & (2 * den * common >= num * (n + size)) & (worse < a["worse"])
+            found = F.struct(worse.alias("worse"), (x["i"] - first + 1).alias("places"), first.alias("first"), (x["i"] + 1).alias("last"), n.alias("n"), common.alias("common"))
+            return F.struct(n.alias("n"), common.alias("common"), F.when(better, worse).otherwise(a["worse"]).alias("worse"), F.when(better, F.concat(a["out"], F.array(found))).otherwise(a["out"]).alias("out"))
+
+        nothing = F.struct(F.lit(0).alias("n"), F.lit(0).alias("common"), F.lit(0.0).alias("worse"), F.array().cast(f"array<{_FIND}>").alias("out"))
+        return F.aggregate(F.slice(cells, first + 1, span), nothing, step, lambda a: a["out"])
+
+    def stretch(cells: Column, a: Column, k: Column) -> Column:
+        own = F.flatten(F.transform(F.filter("t.starts", lambda p: F.floor(p / span) == k), lambda p: windows(cells, p)))
+
+        def sorted_out(all_: Column) -> Column:
+            taken = _settled(all_, (k + 1) * span)
+            return let(taken, lambda t: F.struct(F.filter(all_, lambda x: ~F.exists(t, lambda y: _overlaps(x, y))).alias("open"), F.concat(a["done"], t).alias("done")))
+
+        return let(F.sort_array(F.concat(a["open"], own)), sorted_out)
+
+    none = F.array().cast(f"array<{_FIND}>")
+    stretches = F.array_distinct(F.transform("t.starts", lambda p: F.floor(p / span)))
+    finds = let(earlier, lambda cells: F.aggregate(stretches, F.struct(none.alias("open"), none.alias("done")), lambda a, k: stretch(cells, a, k), lambda a: F.concat(a["done"], _settled(a["open"], _OPEN))))
+    out = rows.select("doc_id", F.col("t.license").alias("license"), F.explode(finds).alias("f"), size.alias("size"))
     return out.select(
         "doc_id",
         "license",
         (F.col("f.first") + 1).alias("first_word"),
-        F.least("f.end", "n_words").alias("last_word"),
+        (F.col("f.last") + 1).alias("last_word"),
         F.col("f.n").alias("n_bigrams"),
         F.col("f.common").alias("n_common"),
         (2 * F.col("f.common") / (F.col("f.n") + F.col("size"))).alias("dice"),
@@ -171,21 +228,19 @@ def scan(docs: DataFrame, threshold: float = THRESHOLD, templates: dict[str, str
 
 
 def oracle_sql(threshold: float = THRESHOLD) -> str:
-    """``find`` in SQL, without the size bounds and without leaving texts out."""
+    """``find`` in SQL: all windows within the bounds that match, then the best of those that share words, one after the other."""
     num, den = _exact(threshold)
-    rows = ", ".join(f"('{k}', {len(normalised(v))}, ['{"', '".join(bigrams(v))}'])" for k, v in TEMPLATES.items())
+    rows = ", ".join(f"('{k}', {bounds(v, threshold)[1]}, ['{"', '".join(bigrams(v))}'])" for k, v in TEMPLATES.items())
     return f"""
-WITH t(license, n_template, b) AS (VALUES {rows}),
-w AS (SELECT doc_id, string_split(trim(regexp_replace(lower(coalesce(text, '')), '[^0-9a-z]+', ' ', 'g')), ' ') AS w FROM documents),
-g AS (SELECT doc_id, len(w) AS n_words, [w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))] AS g FROM w WHERE len(w) >= 2),
-x AS (SELECT doc_id, unnest(g) AS x, generate_subscripts(g, 1) AS s FROM g),
-u AS (SELECT license, n_template, b, unnest(b) AS x FROM t),
-h AS (SELECT x.doc_id, u.license, u.n_template, u.b, x.s FROM x JOIN u USING (x)),
-a AS (SELECT h.*, g.n_words, list_distinct(g.g[h.s : h.s + h.n_template - 2]) AS a FROM h JOIN g USING (doc_id)),
-d AS (SELECT doc_id, license, n_template, n_words, s, len(b) AS size, len(a) AS n, len(list_intersect(a, b)) AS common FROM a),
-m AS (SELECT *, CASE WHEN s - lag(s) OVER (PARTITION BY doc_id, license ORDER BY s) < n_template THEN 0 ELSE 1 END AS new FROM d WHERE 2 * {den} * common >= {num} * (n + size)),
-i AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, license ORDER BY s ROWS UNBOUNDED PRECEDING) AS island FROM m),
-r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, license, island ORDER BY common / (n + size) DESC, s) AS place, min(s) OVER (PARTITION BY doc_id, license, island) AS first_word,
- least(max(s) OVER (PARTITION BY doc_id, license, island) + n_template - 1, n_words) AS last_word FROM i)
-SELECT doc_id, license, CAST(first_word AS INTEGER) AS first_word, CAST(last_word AS INTEGER) AS last_word, CAST(n AS INTEGER) AS n_bigrams, CAST(common AS INTEGER) AS n_common, CAST(2 * common / (n + size) AS DOUBLE) AS dice
-FROM r WHERE place = 1"""
+WITH t(license, span, b) AS (VALUES {rows}),
+w AS (SELECT row_number() OVER () AS id, doc_id, string_split(trim(regexp_replace(lower(coalesce(text, '')), '[^0-9a-z]+', ' ', 'g')), ' ') AS w FROM documents),
+g AS (SELECT id, doc_id, [w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))] AS g FROM w WHERE len(w) >= 2),
+x AS (SELECT id, unnest(g) AS x, generate_subscripts(g, 1) AS p FROM g),
+u AS (SELECT license, unnest(b) AS x FROM t),
+h AS (SELECT x.id, u.license, x.p FROM x JOIN u USING (x)),
+c AS (SELECT a.id, license, a.p AS s, z.p AS e FROM h a JOIN h z USING (id, license) JOIN t USING (license) WHERE z.p BETWEEN a.p AND a.p + span - 1 AND {2 * den - num} * (z.p - a.p + 1) >= {num} * len(b)),
+a AS (SELECT c.*, g.doc_id, b, list_distinct(g.g[s : e]) AS a FROM c JOIN g USING (id) JOIN t USING (license)),
+d AS (SELECT id, doc_id, license, s, e + 1 AS e, len(b) AS size, len(a) AS n, len(list_intersect(a, b)) AS common FROM a),
+m AS (SELECT id, doc_id, license, size, list(struct_pack(s := s, e := e, n := n, common := common) ORDER BY common / (n + size) DESC, e - s, s) AS m FROM d WHERE 2 * {den} * common >= {num} * (n + size) GROUP BY ALL),
+f AS (SELECT doc_id, license, size, unnest(list_reduce(m[2:], lambda f, x: CASE WHEN len(list_filter(f, lambda y: y.s <= x.e AND x.s <= y.e)) > 0 THEN f ELSE list_append(f, x) END, [m[1]])) AS f FROM m)
+SELECT doc_id, license, CAST(f.s AS INTEGER) AS first_word, CAST(f.e AS INTEGER) AS last_word, CAST(f.n AS INTEGER) AS n_bigrams, CAST(f.common AS INTEGER) AS n_common, CAST(2 * f.common / (f.n + size) AS DOUBLE) AS dice FROM f"""

@@ -1,6 +1,7 @@
 """Operators 2, 4, 5, 7 and 8 against brute-force versions."""
 
 import hashlib
+import random
 import re
 import zlib
 
@@ -109,20 +110,24 @@ def test_sharding(docs, rows, nothing, n):
 
 
 def plain_finds(text, templates, percent=80):
+    """All windows within the bounds that match, best first, without those that share words with an earlier one."""
     words, out = licenses.normalised(text or ""), []
     grams = [f"{a} {b}" for a, b in zip(words, words[1:])]
     for name, t in templates.items():
-        b, n = set(licenses.bigrams(t)), len(licenses.normalised(t))
+        b, places = set(licenses.bigrams(t)), len(licenses.normalised(t)) - 1
+        found = []
         for s, g in enumerate(grams):
-            a = set(grams[s : s + n - 1])
-            if g in b and 200 * len(a & b) >= percent * (len(a) + len(b)):
-                one = [s + 1, min(s + n, len(words)), len(a), len(a & b), 2 * len(a & b) / (len(a) + len(b))]
-                if out and out[-1][0] == name and s < out[-1][2]:
-                    best = one if one[4] > out[-1][5] else out[-1][1:]
-                    out[-1] = [name, out[-1][1], one[1], *best[2:]]
-                else:
-                    out.append([name, *one])
-    return sorted(map(tuple, out))
+            a = set()
+            for e in range(s, min(s + places * (200 - percent) // percent, len(grams)) if g in b else s):
+                a.add(grams[e])
+                if grams[e] in b and 200 * len(a & b) >= percent * (len(a) + len(b)):
+                    found.append((-2 * len(a & b) / (len(a) + len(b)), e - s, s + 1, e + 2, len(a), len(a & b)))
+        taken = []
+        for x in sorted(found):
+            if all(x[2] > y[3] or y[2] > x[3] for y in taken):
+                taken.append(x)
+        out += [(name, *x[2:], -x[0]) for x in taken]
+    return sorted(out)
 
 
 def test_licenses_in_whole_texts(spark, docs, rows, nothing):
@@ -151,6 +156,40 @@ def test_size_bounds_keep_matches_at_exactly_the_threshold(size):
     assert 3 * free < 2 * len(grams)  # a match has two thirds of them at least
 
 
+def damaged(text, rng, put_in, left_out):
+    """A notice with so many words put in and left out, at random places."""
+    words = text.split()
+    for k in sorted(rng.sample(range(len(words)), left_out), reverse=True):
+        del words[k]
+    for k in range(put_in):
+        words.insert(rng.randrange(len(words)), f"inserted{k}")
+    return " ".join(words)
+
+
+def test_damaged_notices_are_found_and_two_are_two(spark):
+    """Notices with words put in or left out around the threshold, alone, in pairs and in rows of many, against all windows; no line that matches is missed."""
+    rng = random.Random(7)
+    apache, gpl, mit = (licenses.TEMPLATES[k] for k in ("Apache-2.0-header", "GPL-3.0-notice", "MIT-text"))
+    block = "\n".join(apache.split("\n"))
+    middle = apache.split()
+    for n in (22, 26, 28, 30):  # as one run in the middle
+        middle[40:40] = [f"word{k}" for k in range(n)]
+        apache_with = " ".join(middle)
+        middle = apache.split()
+        assert any(f[0] == "Apache-2.0-header" for f in plain_finds(apache_with, licenses.TEMPLATES))
+        block += "\n\n" + apache_with
+    texts = [block, f"{apache} {apache}", f"{gpl}\n{apache}\n{gpl}", f"{mit} {mit} {mit}", " ".join(apache.split()[8:]) + " " + apache, apache + " " + " ".join(apache.split()[:-9]) + " " + apache]
+    texts += [damaged(t, rng, i, o) for t in (apache, gpl) for i, o in ((5, 0), (12, 2), (20, 0), (0, 9), (3, 6), (40, 0))]
+    texts += [" ".join(damaged(apache, rng, i % 7, i % 4) for i in range(9)), "Released under the MIT License. " * 40, "mit license the " * 300]
+    own = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = licenses.find(own).collect()
+    assert sorted(map(tuple, got)) == sorted((i, *f) for i, t in enumerate(texts) for f in plain_finds(t, licenses.TEMPLATES))
+    n = lambda i, k: sum(r.doc_id == i and r.license == k for r in got)
+    assert (n(0, "Apache-2.0-header"), n(1, "Apache-2.0-header"), n(3, "MIT-text"), n(4, "Apache-2.0-header")) == (5, 2, 3, 2)
+    lines = spark.createDataFrame([(i, " ".join(t.split())) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert {(r.doc_id, r.license) for r in licenses.scan(lines).collect()} <= {(r.doc_id, r.license) for r in got}
+
+
 def test_licence_line_at_exactly_the_threshold(spark):
     rows = [(1, "zebra apple Released under the MIT License."), (2, "a b c d e f Released under the MIT License.")]
     got = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"), 0.8, {"MIT": licenses.TEMPLATES["MIT"]}).collect()
