@@ -142,6 +142,11 @@ def _settled(windows: Column, edge: Column | int) -> Column:
     return F.aggregate(windows, start, step, lambda a: a["taken"])
 
 
+def _listed(values: list[str]) -> Column:
+    """A constant array by way of one string: thousands of literals are slow to build."""
+    return F.split(F.lit("|".join(values)), "[|]")
+
+
 def find(docs: DataFrame, threshold: float = THRESHOLD, templates: dict[str, str] | None = None) -> DataFrame:
     num, den = _exact(threshold)
     known = {k: (bigrams(v), marks(v, threshold), *bounds(v, threshold)) for k, v in (TEMPLATES if templates is None else templates).items()}
@@ -152,12 +157,12 @@ def find(docs: DataFrame, threshold: float = THRESHOLD, templates: dict[str, str
     grams = words.select("doc_id", "w", F.transform(F.slice("w", F.lit(1), F.size("w") - 1), lambda x, i: F.concat(x, F.lit(" "), F.get("w", i + 1))).alias("g"))
 
     def starts(b: list[str], need: int, span: int) -> Column:
-        hits = F.filter(F.transform("g", lambda x, i: F.when(F.array_contains(F.lit(b), x), i)), lambda i: i.isNotNull())
+        hits = F.filter(F.transform("g", lambda x, i: F.when(F.array_contains(_listed(b), x), i)), lambda i: i.isNotNull())
         return let(hits, lambda h: F.filter(F.transform(h, lambda p, k: F.when(F.get(h, k + need - 1) - p < span, p)), lambda p: p.isNotNull()))
 
     def fitting(k: str, b: list[str], m: list[str], need: int, span: int) -> Column:
-        row = F.struct(F.lit(k).alias("license"), F.lit(b).alias("b"), F.lit(span).alias("span"), starts(b, need, span).alias("starts"))
-        return F.when(F.arrays_overlap("w", F.lit(m)), row)
+        row = F.struct(F.lit(k).alias("license"), _listed(b).alias("b"), F.lit(span).alias("span"), starts(b, need, span).alias("starts"))
+        return F.when(F.arrays_overlap("w", _listed(m)), row)
 
     candidates = F.filter(F.array(*(fitting(k, *v) for k, v in known.items())), lambda t: F.size(t["starts"]) > 0)
     rows = grams.select("doc_id", "g", F.explode(candidates).alias("t"))
