@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import folded
+from ..functions.text import folded, let
 
 MOST_SPANS = 10
 
@@ -49,17 +49,21 @@ def divergence(pairs: DataFrame, most: int = MOST_SPANS) -> DataFrame:
 
 
 def grams(text: Column, n: int = 3) -> Column:
-    """Distinct runs of n words."""
+    """Distinct runs of n words; the words are split once per text."""
     words = F.filter(F.split(text, "(?U)\\s+"), lambda w: w != "")
-    runs = F.transform(words, lambda w, i: F.when(i <= F.size(words) - n, F.array_join(F.slice(words, i + 1, n), " ")))
-    return F.array_distinct(F.array_compact(runs))
+    runs = lambda w: F.transform(w, lambda x, i: F.when(i <= F.size(w) - n, F.concat_ws(" ", *(F.get(w, i + k) for k in range(n)))))
+    return let(words, lambda w: F.array_distinct(F.array_compact(runs(w))))
 
 
 def novelty(pairs: DataFrame) -> DataFrame:
     """Share of the output's distinct 3-word runs that the source has neither as such nor inside other words."""
-    split = pairs.withColumn("g", grams(F.coalesce("output", F.lit("")))).withColumn("known", grams(F.coalesce("source", F.lit(""))))
-    new = F.size(F.filter(F.array_except("g", "known"), lambda x: ~F.contains(F.coalesce("source", F.lit("")), x)))
-    return split.select("pair_id", F.size("g").alias("n_grams"), new.alias("n_new"), F.when(F.size("g") == 0, F.lit(0.0)).otherwise(new / F.size("g")).alias("rate"))
+    source = F.coalesce("source", F.lit(""))
+
+    def new(g: Column) -> Column:
+        return F.struct(F.size(g).alias("n_grams"), F.size(F.filter(F.array_except(g, grams(source)), lambda x: ~F.contains(source, x))).alias("n_new"))
+
+    found = pairs.select("pair_id", F.explode(F.transform(F.array(grams(F.coalesce("output", F.lit("")))), new)).alias("f")).select("pair_id", "f.*")
+    return found.withColumn("rate", F.when(F.col("n_grams") == 0, F.lit(0.0)).otherwise(F.col("n_new") / F.col("n_grams")))
 
 
 def type_agreement(blocks: DataFrame) -> DataFrame:

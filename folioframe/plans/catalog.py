@@ -142,37 +142,30 @@ def word_divergence_topk(spark, sf_dir):
 
 
 _GRAMS = "list_distinct([w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FOR i IN range(1, len(w) - 1)])"
+_GRAM_WORDS = "list_filter(regexp_split_to_array(coalesce({0}, ''), '[\\s\\x{{85}}\\x{{A0}}\\x{{2028}}\\x{{2029}}\\x{{202F}}\\x{{3000}}\\x{{2000}}-\\x{{200A}}]+'), lambda x: x <> '')"
 
 
 @query(
-    f"""WITH p AS (SELECT item_id AS pair_id, b.text AS output, d.text AS source FROM benchmark b JOIN documents d ON d.doc_id = b.item_id),
-w1 AS (SELECT pair_id, source, list_filter(regexp_split_to_array(output, '\\s+'), lambda x: x <> '') AS w FROM p),
-g AS (SELECT pair_id, source, {_GRAMS} AS g FROM w1),
-e AS (SELECT pair_id, source, unnest(g) AS x FROM g)
-SELECT pair_id, CAST(count(*) AS INTEGER) AS n_grams, CAST(count(*) FILTER (WHERE NOT contains(source, x) AND NOT contains(' ' || regexp_replace(source, '\\s+', ' ', 'g') || ' ', ' ' || x || ' ')) AS INTEGER) AS n_new,
- round(count(*) FILTER (WHERE NOT contains(source, x) AND NOT contains(' ' || regexp_replace(source, '\\s+', ' ', 'g') || ' ', ' ' || x || ' ')) / CAST(count(*) AS DOUBLE), 6) AS rate FROM e GROUP BY pair_id"""
+    f"""{_PAIRS.split("q AS")[0].rstrip().rstrip(",")},
+w1 AS (SELECT pair_id, docx AS source, {_GRAM_WORDS.format("extracted")} AS w FROM p WHERE docx IS NOT NULL),
+w2 AS (SELECT pair_id, {_GRAM_WORDS.format("docx")} AS w FROM p WHERE docx IS NOT NULL),
+g AS (SELECT pair_id, source, {_GRAMS} AS g FROM w1), k AS (SELECT pair_id, {_GRAMS} AS k FROM w2),
+e AS (SELECT pair_id, unnest(g) AS x FROM g), f AS (SELECT pair_id, unnest(k) AS x FROM k),
+n AS (SELECT e.pair_id, count(*) FILTER (WHERE NOT contains(source, e.x)) AS n_new FROM e ANTI JOIN f ON e.pair_id = f.pair_id AND e.x = f.x JOIN g ON g.pair_id = e.pair_id GROUP BY e.pair_id)
+SELECT pair_id, CAST(len(g) AS INTEGER) AS n_grams, CAST(coalesce(n_new, 0) AS INTEGER) AS n_new, round(coalesce(n_new, 0) / CAST(len(g) AS DOUBLE), 6) AS rate FROM g LEFT JOIN n USING (pair_id) WHERE len(g) > 0"""
 )
 def ngram_novelty(spark, sf_dir):
-    """Each benchmark item against the document of its number."""
-    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("pair_id"), F.col("text").alias("output"))
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("pair_id"), F.col("text").alias("source"))
-    return fidelity.novelty(items.join(docs, "pair_id")).withColumn("rate", F.round("rate", 6)).where("n_grams > 0")
+    """Each document as output against the next one of its source."""
+    pairs = _pairs(spark, sf_dir).select("pair_id", F.col("extracted").alias("output"), F.col("docx").alias("source"))
+    return fidelity.novelty(pairs).withColumn("rate", F.round("rate", 6)).where("n_grams > 0")
 
 
-_ASCII = "regexp_full_match({0}, '[\\x00-\\x7F]*')"
-
-
-@query(
-    f"""WITH t AS (SELECT conv_id, turn, trim(text) AS hyp, trim(lag(text) OVER (PARTITION BY conv_id ORDER BY turn)) AS ref FROM conversations)
-SELECT conv_id, turn, round(CASE WHEN ref = '' THEN CASE WHEN hyp = '' THEN 0.0 ELSE 1.0 END ELSE levenshtein(ref, hyp) / CAST(length(ref) AS DOUBLE) END, 6) AS cer
-FROM t WHERE ref IS NOT NULL AND {_ASCII.format("ref")} AND {_ASCII.format("hyp")} AND length(ref) < 400 AND length(hyp) < 400"""
-)
-def cer_pairs(spark, sf_dir):
-    """Neighbouring turns of a conversation, plain ASCII ones under 400 characters: the part of cer_all_pairs that SQL can check."""
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    t = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.trim("text").alias("hyp"), F.trim(F.lag("text").over(w)).alias("ref"))
-    plain = lambda c: F.col(c).rlike("^[\\x00-\\x7F]*$") & (F.length(c) < 400)
-    return t.where(F.col("ref").isNotNull() & plain("ref") & plain("hyp")).select("conv_id", "turn", F.round(text.error_rate(F.col("ref"), F.col("hyp")), 6).alias("cer"))
+#: DuckDB's levenshtein counts bytes, so a pair's distinct characters (fewer than 127 in a pair of turns) become single bytes.
+_RATES = """WITH t AS (SELECT conv_id, turn, coalesce(text, '') AS hyp, lag(coalesce(text, '')) OVER (PARTITION BY conv_id ORDER BY turn) AS ref FROM conversations),
+s AS (SELECT conv_id, turn, regexp_replace(ref, '^\\s+|\\s+$', '', 'g') AS ref, regexp_replace(hyp, '^\\s+|\\s+$', '', 'g') AS hyp FROM t WHERE ref IS NOT NULL),
+k AS (SELECT *, list_distinct(string_split(ref || hyp, '')) AS k FROM s),
+b AS (SELECT conv_id, turn, array_to_string([chr(CAST(list_position(k, c) AS INTEGER)) FOR c IN string_split(ref, '')], '') AS ref, array_to_string([chr(CAST(list_position(k, c) AS INTEGER)) FOR c IN string_split(hyp, '')], '') AS hyp FROM k),
+r AS (SELECT conv_id, turn, round(CASE WHEN ref = '' THEN CASE WHEN hyp = '' THEN 0.0 ELSE 1.0 END ELSE levenshtein(ref, hyp) / CAST(length(ref) AS DOUBLE) END, 6) AS cer FROM b)"""
 
 
 def error_rates(turns: DataFrame) -> DataFrame:
@@ -182,12 +175,19 @@ def error_rates(turns: DataFrame) -> DataFrame:
     return t.where("ref IS NOT NULL").select("conv_id", "turn", F.round(text.error_rate(F.col("ref"), F.col("hyp")), 6).alias("cer"))
 
 
-@query()
+@query(f"{_RATES} SELECT * FROM r")
 def cer_all_pairs(spark, sf_dir):
-    """All neighbouring turns of a conversation. No SQL: DuckDB's levenshtein counts bytes."""
+    """All neighbouring turns of a conversation."""
     return error_rates(table(spark, sf_dir, "conversations"))
 
 
+@query(f"{_RATES} SELECT conv_id, count(*) AS n_pairs, min(cer) AS least, max(cer) AS most FROM r GROUP BY conv_id")
+def cer_pairs(spark, sf_dir):
+    """The range of error rates between neighbouring turns of each conversation that has two or more."""
+    rates = error_rates(table(spark, sf_dir, "conversations"))
+    return rates.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n_pairs"), F.min("cer").alias("least"), F.max("cer").alias("most"))
+
+
 def _blocks(spark, sf_dir):
     """Lines as paragraphs; the first and the last line of a chunk lie in the margins."""
     at = F.col("line_no") % PAGE_LINES
@@ -208,31 +208,31 @@ def running_header_strip(spark, sf_dir):
     return kept.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_kept"), F.sum(F.length("text")).cast("long").alias("chars_kept"))
 
 
+_CONFIDENCE = "CASE WHEN length(text) < 40 THEN 0.5 WHEN length(text) < 80 THEN 0.75 ELSE 1.0 END"
+
+
 @query(
-    f"""{_BANDED}, i AS (SELECT doc_id, sum(length(text)) AS in_chars, count(*) AS n FROM b GROUP BY doc_id),
-o AS (SELECT doc_id, sum(length(text)) AS out_chars, count(*) AS n_blocks FROM kept GROUP BY doc_id),
-s AS (SELECT doc_id, coalesce(n_blocks, 0) AS n_blocks, coalesce(out_chars, 0) AS out_chars, CASE WHEN in_chars = 0 THEN CASE WHEN coalesce(out_chars, 0) > 0 THEN 1.0 ELSE 0.0 END ELSE least(1.0, coalesce(out_chars, 0) / CAST(in_chars AS DOUBLE)) END AS coverage FROM i LEFT JOIN o USING (doc_id))
-SELECT CASE WHEN n_blocks = 0 OR out_chars = 0 THEN 'failed' WHEN coverage < 0.6 OR round(least(0.8, coverage), 3) < 0.8 THEN 'completed_with_warnings' ELSE 'completed' END AS status, count(*) AS n FROM s GROUP BY 1"""
+    f"""{_BANDED}, c AS (SELECT *, CAST({_CONFIDENCE} AS DOUBLE) AS conf FROM b),
+i AS (SELECT doc_id, CAST(sum(length(text)) AS DOUBLE) AS in_chars, avg(conf) AS conf, max(page) AS n_pages, count(*) FILTER (WHERE length(text) > 400) AS rejected FROM c GROUP BY doc_id),
+o AS (SELECT doc_id, CAST(sum(length(text)) AS DOUBLE) AS out_chars, count(*) AS n_blocks FROM kept GROUP BY doc_id),
+g AS (SELECT doc_id, count(*) AS degraded, min(page) AS first_page FROM (SELECT doc_id, page FROM c GROUP BY doc_id, page HAVING avg(conf) < 0.7) GROUP BY doc_id),
+s AS (SELECT i.*, coalesce(n_blocks, 0) AS n_blocks, coalesce(out_chars, 0) AS out_chars, coalesce(degraded, 0) AS degraded, coalesce(first_page = 1, false) AS first_bad FROM i LEFT JOIN o USING (doc_id) LEFT JOIN g USING (doc_id)),
+v AS (SELECT *, CASE WHEN in_chars = 0 THEN CASE WHEN out_chars > 0 THEN 1.0 ELSE 0.0 END ELSE least(1.0, out_chars / in_chars) END AS cover, n_blocks = 0 OR out_chars = 0 AS nothing FROM s),
+w AS (SELECT *, CASE WHEN nothing THEN 0.0 ELSE round_even(least(conf, cover), 3) END AS score,
+ CASE WHEN degraded > 0 THEN CASE WHEN degraded / n_pages > 0.3 OR first_bad THEN 'failed' ELSE 'completed_with_warnings' END WHEN nothing THEN 'failed' WHEN cover < 0.6 OR rejected > 0 THEN 'completed_with_warnings' ELSE 'completed' END AS first_status FROM v)
+SELECT doc_id, CASE WHEN first_status <> 'failed' AND score < 0.8 THEN 'completed_with_warnings' ELSE first_status END AS status, CAST(score AS DOUBLE) AS confidence, CAST(cover AS DOUBLE) AS coverage, CAST(degraded AS BIGINT) AS n_degraded FROM w"""
 )
 def coverage_status(spark, sf_dir):
-    """Statuses of documents whose output lacks the running headers."""
-    blocks = _blocks(spark, sf_dir)
-    size = lambda b, n: b.groupBy("doc_id").agg(F.sum(F.length("text")).alias(f"{n}_chars"), F.count(F.lit(1)).alias(f"{n}_blocks"))
-    both = size(blocks, "in").join(size(assembly.strip_running(blocks), "out"), "doc_id", "left").na.fill(0)
+    """Status of each document: what is left without running headers, the confidence of its lines, pages to review; lines of over 400 characters count as rejected tables."""
+    blocks = _blocks(spark, sf_dir).withColumn("confidence", _confidence())
+    chars = F.coalesce(F.sum(F.length("text")), F.lit(0)).cast("double")
+    before = blocks.groupBy("doc_id").agg(chars.alias("in_chars"), F.avg("confidence").alias("conf"), F.max("page").alias("n_pages"), F.count_if(F.length("text") > 400).alias("rejected"))
+    after = assembly.strip_running(blocks).groupBy("doc_id").agg(chars.alias("out_chars"), F.count(F.lit(1)).alias("n_blocks"))
+    review = fidelity.pages_to_review(blocks).groupBy("doc_id").agg(F.count(F.lit(1)).alias("degraded"), F.min("page").alias("first_page"))
+    all_ = before.join(after, "doc_id", "left").join(review, "doc_id", "left").na.fill(0)
     cover = triage.coverage(F.col("out_chars"), F.col("in_chars"))
-    zero = F.lit(0)
-    status = triage.conversion_status(zero, F.lit(None).cast("double"), F.col("out_blocks"), F.col("out_chars"), F.lit(0.8), cover, zero, F.lit(1), F.lit(False))
-    return both.groupBy(status["status"].alias("status")).agg(F.count(F.lit(1)).alias("n"))
-
-
-def _sql_kind() -> str:
-    return "CASE " + " ".join(f"WHEN regexp_matches(trim(text), '{p.replace(chr(92) * 2, chr(92))}') THEN '{k}'" for k, p in structure.PATTERNS.items()) + " ELSE 'none' END"
-
-
-@query(f"{_LINES} SELECT {_sql_kind()} AS kind, count(*) AS n FROM l GROUP BY 1")
-def line_pattern_classes(spark, sf_dir):
-    lines = structure.with_pattern(_lines(spark, sf_dir))
-    return lines.groupBy(F.coalesce("kind", F.lit("none")).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+    status = triage.conversion_status(F.col("rejected"), F.lit(None).cast("double"), F.col("n_blocks"), F.col("out_chars"), F.col("conf"), cover, F.col("degraded"), F.col("n_pages"), F.col("first_page") == 1)
+    return all_.select("doc_id", status["status"].alias("status"), status["confidence"].alias("confidence"), cover.alias("coverage"), F.col("degraded").alias("n_degraded"))
 
 
 @query(
@@ -439,13 +439,6 @@ def cut_paragraphs(spark, sf_dir):
     return assembly.join_cut_paragraphs(blocks).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_blocks"), F.sum(F.length("text")).alias("chars"))
 
 
-@query()
-def hierarchy_numbering(spark, sf_dir):
-    """Kinds of lines after the numbering check, with the confidence they keep."""
-    lines = structure.with_pattern(_lines(spark, sf_dir)).withColumn("page", F.col("page").cast("int")).withColumn("kind", F.coalesce("kind", F.lit("paragraph")))
-    return structure.validated(lines).groupBy("final_kind", "demoted", "confidence").agg(F.count(F.lit(1)).alias("n"))
-
-
 @query(
     """WITH RECURSIVE c AS (SELECT conv_id, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role) - 1 AS i, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations),
 g AS (SELECT *, role = CASE i % 2 WHEN 0 THEN 'user' ELSE 'assistant' END AS here, role = CASE i % 2 WHEN 1 THEN 'user' ELSE 'assistant' END AS beside FROM c),

@@ -10,7 +10,8 @@ from ..functions import geometry, service, text
 from ..operators import assembly, fidelity, inline, registry, structure, triage, validation, zones
 from ..sources import blocks
 from ..sources.tables import table
-from .catalog import _COLLAPSED, _LINES, _lines
+from . import service_catalog
+from .catalog import _COLLAPSED, _LINES, PAGE_LINES, _lines
 from .page_catalog import ORACLES, QUERIES, query  # noqa: F401 (handed on with what is added here)
 from .runtime import shared_dir
 
@@ -108,6 +109,39 @@ def typography_blocks(spark, sf_dir):
     return out.select("doc_id", "line_no", "base", "kind", "b.type", "b.level", "b.align", inline.first_line_indent(F.col("b.type"), F.col("b.align")).alias("indent"))
 
 
+_BARE = _STRIP.format("text")
+_UNIT = "(" + service_catalog._KIND.replace("trim(text)", _BARE) + " <> 'paragraph' OR (centred AND length(text) < 60 AND (bold OR (text = upper(text) AND regexp_matches(text, '\\p{L}')))))"
+_WRAPPED = f"""{_LINES.replace("WITH ", "WITH RECURSIVE ", 1)}, a AS (SELECT doc_id, page, line_no, text, {_BARE} AS bare, line_no % {PAGE_LINES} * 12.0 AS y, line_no % {PAGE_LINES} * 12.0 + CASE WHEN length(text) % 4 = 0 THEN 4 ELSE 10 END AS y1,
+ length(text) * 5.0 AS x1, CAST(10 + length(text) % 7 * 0.5 AS DOUBLE) AS size, length(text) % 3 = 0 AS bold, line_no % 5 = 0 AS centred FROM l),
+u AS (SELECT *, {_UNIT.replace("length(text)", "length(bare)").replace("text = upper(text)", "bare = upper(bare)").replace("regexp_matches(text", "regexp_matches(bare")} AS unit FROM a),
+f AS (SELECT *, row_number() OVER w AS i, coalesce(lag(bare) OVER w <> '' AND NOT regexp_matches(lag(bare) OVER w, '[.:;!?"]$') AND y - lag(y1) OVER w < 1.6 * greatest(lag(y1) OVER w - lag(y) OVER w, 1.0)
+ AND lag(page) OVER w = page AND lag(centred) OVER w = centred AND NOT unit, false) AS follows FROM u WINDOW w AS (PARTITION BY doc_id ORDER BY page, line_no)),
+t(doc_id, i, part, most) AS (SELECT doc_id, i, CAST(1 AS BIGINT), size FROM f WHERE i = 1
+ UNION ALL SELECT doc_id, i, part + CASE WHEN stays THEN 0 ELSE 1 END, CASE WHEN stays THEN greatest(most, size) ELSE size END FROM (SELECT t.doc_id, f.i, part, most, size, follows AND abs(size - most) <= 1.5 AS stays FROM t JOIN f ON f.doc_id = t.doc_id AND f.i = t.i + 1)),
+m AS (SELECT doc_id, min(line_no) AS line_no, count(*) AS n_lines, arg_min(text, i) AS first, string_agg(bare, ' ' ORDER BY i) AS bares, arg_min(bare, i) AS first_bare, arg_min(centred, i) AS centred, bool_or(bold) AS bold, max(size) AS size FROM t JOIN f USING (doc_id, i) GROUP BY doc_id, part),
+v AS (SELECT *, CASE WHEN n_lines = 1 THEN first ELSE regexp_replace(first, '\\s+$', '') || ' ' || substr(bares, length(first_bare) + 2) END AS text FROM m),
+z AS (SELECT doc_id, coalesce(median(size) FILTER (WHERE length(trim(text)) >= 20), median(size), 14.0) AS base FROM a GROUP BY doc_id),
+k AS (SELECT v.*, base, CASE WHEN centred AND bold AND text = upper(text) AND regexp_matches(text, '\\p{{L}}') AND length(text) < 60 AND NOT regexp_matches(text, '[.:;,!?]$') THEN 'title' WHEN size > base AND bold THEN 'heading' ELSE 'paragraph' END AS kind FROM v JOIN z USING (doc_id))"""
+
+
+@query(
+    f"""{_WRAPPED} SELECT doc_id, line_no, n_lines, length(text) AS n_chars, size, base, kind, CASE WHEN kind = 'paragraph' THEN 'paragraph' ELSE 'heading' END AS type,
+ CASE kind WHEN 'title' THEN 'center' WHEN 'heading' THEN 'left' ELSE 'justify' END AS align, CASE WHEN kind = 'paragraph' THEN 36.0::DOUBLE END AS indent FROM k"""
+)
+def wrapped_blocks(spark, sf_dir):
+    """From lines to blocks: the usual size of a document, wrapped lines joined, kinds by typography, blocks and indents; sizes and places come from lengths and line numbers."""
+    n, t = F.length("text"), F.col("text")
+    y = F.col("line_no") % PAGE_LINES * 12.0
+    own = _lines(spark, sf_dir).select(
+        "doc_id", "page", F.col("line_no").cast("long").alias("line_no"), "text", y.alias("y"), (y + F.when(n % 4 == 0, F.lit(4)).otherwise(F.lit(10))).alias("y1"), F.lit(0.0).alias("x0"), (n * 5.0).alias("x1"),
+        (F.lit(10.0) + n % 7 * 0.5).alias("size"), (n % 3 == 0).alias("bold"), (F.col("line_no") % 5 == 0).alias("centered"),
+    )
+    base = own.groupBy("doc_id").agg(structure.baseline(F.col("size"), t).alias("base"))
+    kinds = structure.merge_wrapped(own).join(base, "doc_id").withColumn("kind", structure.typography_kind(t, F.col("centered"), F.col("bold"), F.col("size"), F.col("base")))
+    out = kinds.withColumn("b", structure.block_of(F.col("kind")))
+    return out.select("doc_id", "line_no", F.col("n_lines").cast("long").alias("n_lines"), n.cast("long").alias("n_chars"), "size", "base", "kind", "b.type", "b.align", inline.first_line_indent(F.col("b.type"), F.col("b.align")).alias("indent"))
+
+
 #: Orders as tables of three rows: an item's quantity gives the spans of its cell.
 _GRID = """WITH RECURSIVE i AS (SELECT l_orderkey AS table_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate) AS i, CAST(l_quantity AS INTEGER) AS q FROM lineitem),
 c AS (SELECT table_id, i, (i - 1) // 3 AS row_no, 1 + q % 3 AS wide, 1 + q // 3 % 3 AS high, CAST(q AS VARCHAR) AS text FROM i),

@@ -320,11 +320,22 @@ t(doc_id, line_no, state, article, clause, point, final_kind, demoted) AS (
  FROM t JOIN k ON k.doc_id = t.doc_id AND k.line_no = t.line_no + 1)"""
 
 
-ORACLES["hierarchy_numbering"] = (
-    _LINES.replace("WITH ", "WITH RECURSIVE ", 1)
-    + f""", kinds AS (SELECT doc_id, line_no, text, {_KIND} AS kind FROM l), {_TURNS}
-SELECT final_kind, demoted, CAST(CASE WHEN demoted THEN 0.6 WHEN kind <> 'paragraph' THEN 1.0 ELSE 0.8 END AS DOUBLE) AS confidence, count(*) AS n FROM t JOIN k USING (doc_id, line_no) GROUP BY 1, 2, 3"""
+@query(f"{_OPENED} SELECT doc_id, {_KIND} AS kind, count(*) AS n, min(line_no) AS first_line FROM o GROUP BY ALL")
+def line_pattern_classes(spark, sf_dir):
+    """How often each kind of line stands in a document, and where first."""
+    lines = structure.with_pattern(opened_lines(spark, sf_dir))
+    return lines.groupBy("doc_id", F.coalesce("kind", F.lit("paragraph")).alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.min("line_no").cast("long").alias("first_line"))
+
+
+@query(
+    _OPENED.replace("WITH ", "WITH RECURSIVE ", 1)
+    + f""", kinds AS (SELECT doc_id, line_no, text, {_KIND} AS kind FROM o), {_TURNS}
+SELECT t.doc_id, t.final_kind, t.demoted, CAST(CASE WHEN t.demoted THEN 0.6 WHEN k.kind <> 'paragraph' THEN 1.0 ELSE 0.8 END AS DOUBLE) AS confidence, count(*) AS n FROM t JOIN k USING (doc_id, line_no) GROUP BY ALL"""
 )
+def hierarchy_numbering(spark, sf_dir):
+    """Kinds of a document's lines after the numbering check, with the confidence they keep."""
+    lines = structure.with_pattern(opened_lines(spark, sf_dir)).withColumn("kind", F.coalesce("kind", F.lit("paragraph")))
+    return structure.validated(lines).groupBy("doc_id", "final_kind", "demoted", "confidence").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(
