@@ -12,7 +12,11 @@
    four. Suffixes equal at the pivot are a phrase, their numbers add up to its count, and
    only they go one word deeper. Partitions with fewer than LEAST occurrences are abandoned.
    Phrases of hot words only are spread over buckets, and their parts are added up.
-5. Parts, longer candidates and scores are joins of the frequent phrases.
+5. What lies inside longer candidates goes by a join of the frequent phrases.
+6. The words known to be common carry a level, a lower bound of their number. A phrase's
+   first and last word so bound its score from above. The best phrases by bound are scored
+   first; the TOP-th score among them is one that every other phrase of the language must
+   reach by its bound to be scored at all. No phrase of the result can be missed.
 
 Within a task words are told apart by 64-bit hashes, between tasks by themselves.
 
@@ -38,6 +42,10 @@ LEAST, TOP, DEPTH = 30, 2000, 4
 FLUSH = 4 << 20
 #: Bits of the map of frequent words; hot words at most; occurrences per partition of suffixes, and buckets in it.
 BITS, HOT, TASK_WORDS, BUCKETS = 1 << 24, 200_000, 4_000_000, 8
+#: Set beside the level of a word that is hot; levels are steps of half a power of two.
+HOT_MARK = 128
+#: Phrases scored first, as a multiple of TOP; any number gives the same result.
+SEEDS = 4
 #: What ends a piece, and what else separates words.
 ENDS = [*b".,;:!?", *range(0x0A, 0x0E)]
 WORD = B.class_table([0x20, 0x09, *ENDS])
@@ -138,8 +146,19 @@ def routes(h: np.ndarray, ids: np.ndarray, hot: np.ndarray) -> np.ndarray:
     return out
 
 
-def _suffixes(bitmap: np.ndarray, hot_words: np.ndarray, n_buckets: int):
-    """Rows (bucket, lang): words of the bucket with their hot marks, and its suffixes as numbers of words with counts."""
+def levels(n: np.ndarray) -> np.ndarray:
+    """A step for each number of occurrences from 1 on; see ``at_least``."""
+    return (np.floor(np.log2(n) * 2) + 1).astype(np.uint8)
+
+
+def at_least(marks: np.ndarray) -> np.ndarray:
+    """A number that no word of the mark falls short of; 0 for words without a level."""
+    level = (marks & (HOT_MARK - 1)).astype(np.int64)
+    return np.where(level > 0, np.floor(2.0 ** ((level - 1) / 2) * (1 - 1e-9)), 0).astype(np.int64)
+
+
+def _suffixes(bitmap: np.ndarray, common: np.ndarray, marks: np.ndarray, n_buckets: int):
+    """Rows (bucket, lang): words of the bucket with their marks (``common`` in order, with ``marks``), and its suffixes as numbers of words with counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for w, lang_of in gathered(batches, FLUSH):
@@ -165,7 +184,9 @@ def _suffixes(bitmap: np.ndarray, hot_words: np.ndarray, n_buckets: int):
             edge = np.flatnonzero(np.append(True, (high[1:] != high[:-1]) | (low[1:] != low[:-1])))
             count = np.diff(np.append(edge, len(order)))
             matrix = matrix[:, order[edge]]
-            hot = np.isin(h, hot_words)
+            place = np.minimum(np.searchsorted(common, h), max(len(common) - 1, 0))
+            mark = np.where(common[place] == h, marks[place], 0).astype(np.uint8) if len(common) else np.zeros(len(h), np.uint8)
+            hot = mark >= HOT_MARK
             bucket = ((routes(h, matrix, hot) >> B.U64(32)) * B.U64(n_buckets) >> B.U64(32)).astype(np.int64)
             lang = w.lang[first][matrix[0] - 1]
             order = np.lexsort((lang, bucket))
@@ -176,15 +197,15 @@ def _suffixes(bitmap: np.ndarray, hot_words: np.ndarray, n_buckets: int):
                 own, numbers = np.unique(matrix[:, a:b], return_inverse=True)
                 some = own[own > 0]
                 numbers = numbers.reshape(DEPTH, -1) + (own[0] > 0)
-                body = (bucket[a], lang_of[int(lang[a])], b" ".join(w.named(first[some - 1])), hot[some - 1].tobytes(), numbers.astype("<u2" if len(own) < 1 << 16 else "<i4").tobytes(), count[a:b].astype("<i4").tobytes())
+                body = (bucket[a], lang_of[int(lang[a])], b" ".join(w.named(first[some - 1])), mark[some - 1].tobytes(), numbers.astype("<u2" if len(own) < 1 << 16 else "<i4").tobytes(), count[a:b].astype("<i4").tobytes())
                 for c, v in zip(cells, body, strict=True):
                     c.append(v)
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(cells, (pa.int32(), pa.string(), *[pa.binary()] * 4), strict=True)], ["bucket", "lang", "words", "hot", "ids", "counts"])
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(cells, (pa.int32(), pa.string(), *[pa.binary()] * 4), strict=True)], ["bucket", "lang", "words", "marks", "ids", "counts"])
 
     return run
 
 
-PACKED = "bucket int, lang string, words binary, hot binary, ids binary, counts binary"
+PACKED = "bucket int, lang string, words binary, marks binary, ids binary, counts binary"
 
 
 def phrases(ids: np.ndarray, weight: np.ndarray, hot: np.ndarray, least: int = LEAST) -> Iterator[tuple[int, int, int, bool]]:
@@ -219,26 +240,29 @@ def phrases(ids: np.ndarray, weight: np.ndarray, hot: np.ndarray, least: int = L
 
 
 def _sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """lang, phrase, number of words, occurrences, in part; rows come ordered by bucket and language."""
+    """lang, phrase, number of words, occurrences, in part, bounds of first and last word; rows come ordered by bucket and language."""
 
     def settled(lang: str, bodies: list[tuple]) -> pa.RecordBatch:
         known: dict[bytes, int] = {}
-        marks, matrices, counts = [np.zeros(1, bool)], [], []
-        for words, hot, ids, count in bodies:
+        marks, matrices, counts = [np.zeros(1, np.uint8)], [], []
+        for words, own, ids, count in bodies:
             names = words.split(b" ")
             before = len(known)
             place = np.array([0, *(known.setdefault(w, len(known) + 1) for w in names)], np.int32)
-            marks.append(np.frombuffer(hot, bool)[place[1:] > before])
+            marks.append(np.frombuffer(own, np.uint8)[place[1:] > before])
             wide = len(ids) // len(count) == DEPTH  # as wide as a count
             matrices.append(place[np.frombuffer(ids, "<i4" if wide else "<u2").reshape(DEPTH, -1)])
             counts.append(np.frombuffer(count, "<i4"))
-        matrix, hot = np.concatenate(matrices, 1), np.concatenate(marks)
-        found = list(phrases(matrix, np.concatenate(counts).astype(np.int64), hot))
+        matrix, mark = np.concatenate(matrices, 1), np.concatenate(marks)
+        found = list(phrases(matrix, np.concatenate(counts).astype(np.int64), mark >= HOT_MARK))
+        at, depth = (np.array([f[i] for f in found], np.int64) for i in (0, 1))
+        known_least = at_least(mark)
         names = [b"", *known]
         text = [b" ".join(names[k] for k in matrix[:depth, at].tolist()).decode() for at, depth, _, _ in found]
         return pa.record_batch(
-            [pa.array([lang] * len(found), pa.string()), pa.array(text, pa.string()), pa.array([f[1] for f in found], pa.int32()), pa.array([f[2] for f in found], pa.int64()), pa.array([f[3] for f in found], pa.bool_())],
-            ["lang", "phrase", "words", "n", "in_part"],
+            [pa.array([lang] * len(found), pa.string()), pa.array(text, pa.string()), pa.array([f[1] for f in found], pa.int32()), pa.array([f[2] for f in found], pa.int64()), pa.array([f[3] for f in found], pa.bool_()),
+             pa.array(known_least[matrix[0, at]]), pa.array(known_least[matrix[depth - 1, at]])],
+            ["lang", "phrase", "words", "n", "in_part", "first", "last"],
         )
 
     now, held = None, []
@@ -254,7 +278,7 @@ def _sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def counted(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """lang, phrase, words, n of all phrases of up to four words with LEAST occurrences or more; lang, total of all words."""
+    """lang, phrase, words, n of all phrases of up to four words with LEAST occurrences or more, bounds of their first and last word; lang, total of all words."""
     spark = docs.sparkSession
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), "text")
     counts = texts.mapInArrow(_count_words, "lang string, word string, h long, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"), F.first("h").alias("h"))
@@ -268,12 +292,15 @@ def counted(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     bitmap[bits.column("at").to_numpy()] = bits.column("bits").to_numpy().view(B.U64)
     total = words.agg(F.sum("n")).first()[0] or 0
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // TASK_WORDS + 1)
-    hot = words.where(F.col("n") > max(total // (2 * n), total // HOT, 1)).select("h").toArrow()  # as shares of all words, HOT at most
-    hot = np.sort(hot.column("h").to_numpy().view(B.U64))
-    packed = texts.mapInArrow(_suffixes(bitmap, hot, BUCKETS * n), PACKED).repartition(n, "bucket").sortWithinPartitions("bucket", "lang")
-    found = materialize(packed.mapInArrow(_sorted, "lang string, phrase string, words int, n long, in_part boolean"), "phrase-counts")
-    added = found.where("in_part").groupBy("lang", "phrase", "words").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST)
-    one = often.select("lang", F.col("word").alias("phrase"), F.lit(1).alias("words"), "n")
+    share = max(total // HOT, 1)
+    common = words.where(F.col("n") > share).select("h", "n").toArrow()  # by shares of all words, HOT at most
+    h, count = common.column("h").to_numpy().view(B.U64), common.column("n").to_numpy()
+    marks = levels(count) | np.where(count > max(total // (2 * n), share), HOT_MARK, 0).astype(np.uint8)
+    order = np.argsort(h)
+    packed = texts.mapInArrow(_suffixes(bitmap, h[order], marks[order], BUCKETS * n), PACKED).repartition(n, "bucket").sortWithinPartitions("bucket", "lang")
+    found = materialize(packed.mapInArrow(_sorted, "lang string, phrase string, words int, n long, in_part boolean, first long, last long"), "phrase-counts")
+    added = found.where("in_part").groupBy("lang", "phrase", "words").agg(F.sum("n").alias("n"), F.max("first").alias("first"), F.max("last").alias("last")).where(F.col("n") >= LEAST)
+    one = often.select("lang", F.col("word").alias("phrase"), F.lit(1).alias("words"), "n", F.col("n").alias("first"), F.col("n").alias("last"))
     return materialize(one.unionByName(found.where("not in_part").drop("in_part")).unionByName(added), "phrases"), totals
 
 
@@ -281,6 +308,29 @@ def _within(first: Column, length: Column) -> Column:
     return F.array_join(F.slice(F.split("phrase", " "), first, length), " ")
 
 
+def scored(candidates: DataFrame, known: DataFrame) -> DataFrame:
+    """lang, phrase, a, l, r, score of candidates (lang, phrase, words, a) at their lowest cut."""
+    cuts = candidates.withColumn("k", F.explode(F.sequence(F.lit(1), F.col("words") - 1)))
+    cuts = cuts.select("lang", "phrase", "a", "k", _within(F.lit(1), F.col("k")).alias("head"), _within(F.col("k") + 1, F.col("words") - F.col("k")).alias("tail"))
+    part = lambda name, n: known.select("lang", F.col("phrase").alias(name), F.col("n").alias(n))
+    cuts = cuts.join(part("head", "l"), ["lang", "head"]).join(part("tail", "r"), ["lang", "tail"])
+    score = F.expr("2000000 * cast(a AS decimal(20,0)) div (cast(l AS decimal(20,0)) + r)")
+    best = cuts.groupBy("lang", "phrase", "a").agg(F.min(F.struct(score.alias("score"), "k", "l", "r")).alias("c"))
+    return best.select("lang", "phrase", "a", "c.l", "c.r", "c.score")
+
+
+def within_reach(left: DataFrame, known: DataFrame) -> DataFrame:
+    """Candidates whose bound reaches the TOP-th score of those with the highest bounds, by language."""
+    by_bound = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("bound"), F.desc("a"), "phrase"))
+    seeds = left.withColumn("place", by_bound).where(F.col("place") <= SEEDS * TOP)  # each task sends its own first ones only
+    by_score = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("score")))
+    reach = scored(seeds, known).withColumn("place", by_score).groupBy("lang").agg(F.coalesce(F.max(F.when(F.col("place") == TOP, F.col("score"))), F.lit(0)).alias("reach"))
+    salts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a language isn't one task
+    reach = reach.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    salted = left.withColumn("salt", F.pmod(F.xxhash64("phrase"), F.lit(salts)).cast("int"))
+    return salted.alias("c").join(reach.alias("t"), (F.col("c.lang") == F.col("t.lang")) & (F.col("c.salt") == F.col("t.salt")) & (F.col("bound") >= F.col("reach"))).select("c.*")
+
+
 def collocations(docs: DataFrame) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score of the best phrases of each language."""
     known, totals = counted(docs)
@@ -288,14 +338,12 @@ def collocations(docs: DataFrame) -> DataFrame:
     # what lies inside longer candidates: every shorter phrase of two words or more at every place
     places = F.flatten(F.transform(F.sequence(F.lit(2), F.col("words") - 1), lambda k: F.transform(F.sequence(F.lit(1), F.col("words") - k + 1), lambda i: F.struct(i.alias("i"), k.alias("k")))))
     inner = long_.where("words > 2").withColumn("z", F.explode(places)).groupBy("lang", _within(F.col("z.i"), F.col("z.k")).alias("phrase")).agg(F.max("n").alias("longer"))
-    left = long_.join(inner, ["lang", "phrase"], "left").where(F.col("longer").isNull() | (F.col("longer").cast("decimal(20,0)") * 100 < F.col("n").cast("decimal(20,0)") * 80)).select("lang", "phrase", "words", F.col("n").alias("a"))
-    cuts = left.withColumn("k", F.explode(F.sequence(F.lit(1), F.col("words") - 1)))
-    cuts = cuts.select("lang", "phrase", "a", "k", _within(F.lit(1), F.col("k")).alias("head"), _within(F.col("k") + 1, F.col("words") - F.col("k")).alias("tail"))
-    part = lambda name, n: known.select("lang", F.col("phrase").alias(name), F.col("n").alias(n))
-    cuts = cuts.join(part("head", "l"), ["lang", "head"]).join(part("tail", "r"), ["lang", "tail"])
-    score = F.expr("2000000 * cast(a AS decimal(20,0)) div (cast(l AS decimal(20,0)) + r)")
-    best = cuts.groupBy("lang", "phrase", "a").agg(F.min(F.struct(score.alias("score"), "k", "l", "r")).alias("c"))
-    best = best.select("lang", "phrase", "a", "c.l", "c.r", "c.score")
+    left = long_.join(inner, ["lang", "phrase"], "left").where(F.col("longer").isNull() | (F.col("longer").cast("decimal(20,0)") * 100 < F.col("n").cast("decimal(20,0)") * 80))
+    # the cut after the first word has l >= first, that before the last word r >= last; the other part is a or more
+    parts_ = F.expr("CASE WHEN words = 2 THEN cast(greatest(first, n) AS decimal(20,0)) + greatest(last, n) ELSE cast(greatest(first, last, n) AS decimal(20,0)) + n END")
+    left = left.withColumn("parts", parts_).select("lang", "phrase", "words", F.col("n").alias("a"), F.expr("2000000 * cast(n AS decimal(20,0)) div parts").alias("bound"))
+    left = materialize(left, "phrase-candidates")
+    best = scored(within_reach(left, known), known)
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase"))
     top = best.withColumn("rank", rank).where(F.col("rank") <= TOP)  # each task sends its own first ones only
     return top.join(totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", F.col("total").alias("n"), F.col("score").cast("long").alias("score"))

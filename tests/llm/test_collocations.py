@@ -67,6 +67,22 @@ def test_against_plain_counts(spark, monkeypatch, bits, hot_words, flush):
     assert got(spark.createDataFrame(rows, "lang string, text string").repartition(3)) == want and len(want) > 40
 
 
+@pytest.mark.parametrize("top,seeds", [(1, 1), (9, 1), (25, 2)])
+def test_scores_bounded_by_first_and_last_words(spark, monkeypatch, top, seeds):
+    monkeypatch.setattr(C, "TOP", top)
+    monkeypatch.setattr(C, "SEEDS", seeds)
+    rows = prose(5, 900)
+    frame = spark.createDataFrame(rows, "lang string, text string").repartition(3)
+    assert got(frame) == {r for r in brute(rows) if r[1] <= top}
+
+
+@given(st.lists(st.integers(1, 1 << 50), min_size=1), st.booleans())
+def test_levels_bound_from_below(n, hot):
+    n = np.array(n)
+    least = C.at_least(C.levels(n) | np.uint8(C.HOT_MARK * hot))
+    assert (least <= n).all() and (least * 1.5 + 2 >= n).all()
+
+
 def test_cases(spark, docs, rows, nothing):
     assert got(docs) == brute([(r[2], r[1]) for r in rows]) and got(nothing) == set()
     named = [(k, f"{k} is {k} is {k} is {k}, " * 20) for k in ("en", "de", "fr", "und", None)]  # words that are names of languages
