@@ -7,12 +7,15 @@ Law ``bytes``: shards hold nearly equal numbers of bytes (apart by about one doc
 2. A size-weighted key sample (bounded by ``sample_per_range * ranges`` expected rows)
    gives quantile splitters; records are range-partitioned by binary search over them.
 3. Exact bytes and counts per range follow from one aggregation of bounded size. Ranges
-   that hold more than twice their share are subdivided at further cut points.
+   that hold more than twice their share are subdivided at further cut points; where such
+   a range is a single key (rows of one text and one id) its rows are divided by their number.
 4. Inside a range a window orders records; the offset of the range plus the running sum
    places each record on the byte axis, which is cut into equal shards.
 
 The sample only decides how the work is spread: the placement itself depends on all
-records and on nothing random.
+records and on nothing random. Rows of one text and one id are alike, so their order is free;
+of other ids with a hot key's text only those whose hash meets its low bits may change places
+with them where the files are split in another way.
 
 Cases: null text counts as empty (size 1, crc 0). Repeated rows each get a slot of their
 own. A null id sorts first. An empty table gives an empty result. Extra columns are
@@ -38,6 +41,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
         (F.octet_length(text) + 1).cast("long").alias("size"),
         F.crc32(text.cast("binary")).cast("long").alias("text_crc32"),
         key.alias("range_key"),
+        F.monotonically_increasing_id().alias("row"),  # written with the keys, so it stays
     )
 
 
@@ -59,14 +63,17 @@ def _located(df: DataFrame, splitters: list[int]) -> DataFrame:
 def _splitters(keyed: DataFrame, total: int, ranges: int, sample_per_range: int) -> list[int]:
     wanted = ranges * sample_per_range
     chance = F.col("size") * F.lit(wanted / total)
-    draw = F.pmod(F.xxhash64("range_key", "doc_id", F.lit(2)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    draw = F.pmod(F.xxhash64("range_key", "row"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     # a record larger than one sample step stands for several steps
     sample = keyed.where(draw < chance).select("range_key", F.greatest(F.lit(1.0), chance).alias("w")).collect()
     sample.sort(key=lambda r: r.range_key)
     weight, cuts, seen = sum(r.w for r in sample), [], 0.0
     for r in sample:
-        if seen * ranges >= (len(cuts) + 1) * weight and (not cuts or r.range_key > cuts[-1]):
-            cuts.append(r.range_key)
+        if seen * ranges >= (len(cuts) + 1) * weight:
+            if not cuts or r.range_key > cuts[-1]:
+                cuts.append(r.range_key)
+            elif r.range_key == cuts[-1] < (1 << 63) - 1:  # a key of more than a range gets one of its own
+                cuts.append(r.range_key + 1)
         seen += r.w
     return cuts
 
@@ -78,6 +85,15 @@ def _per_range(located: DataFrame) -> list:
     )
 
 
+def _divided(located: DataFrame, parts: list[int]) -> DataFrame:
+    """Each range as so many ranges, its rows dealt by number."""
+    base = [0]
+    for p in parts[:-1]:
+        base.append(base[-1] + p)
+    own = F.pmod(F.xxhash64("row"), F.get(F.lit(parts), F.col("rng"))).cast("int")
+    return located.withColumn("rng", F.get(F.lit(base), F.col("rng")) + own)
+
+
 def shard(docs: DataFrame, n_shards: int = 16, ranges: int | None = None, sample_per_range: int = 8) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard; see the module's text."""
     keyed = materialize(_keyed(docs), "shard-keys")
@@ -96,7 +112,15 @@ def shard(docs: DataFrame, n_shards: int = 16, ranges: int | None = None, sample
     if more:
         cuts = sorted({*cuts, *more})
         stats = _per_range(_located(keyed, cuts))
-    at_bytes, at_rows, b, n = [0] * (len(cuts) + 1), [0] * (len(cuts) + 1), 0, 0
+    parts = [1] * (len(cuts) + 1)
+    for r in stats:
+        if r.hi == r.lo and r.bytes > 2 * share and r.n > 1:
+            parts[r.rng] = min(r.n, r.bytes // share)
+    located = _located(keyed, cuts)
+    if max(parts) > 1:
+        located = _divided(located, parts)
+        stats = _per_range(located)
+    at_bytes, at_rows, b, n = [0] * sum(parts), [0] * sum(parts), 0, 0
     for r in stats:
         at_bytes[r.rng], at_rows[r.rng] = b, n
         b, n = b + r.bytes, n + r.n
@@ -106,7 +130,7 @@ def shard(docs: DataFrame, n_shards: int = 16, ranges: int | None = None, sample
     # floor(before * n_shards / total), by the middle of the record so that a border record goes to the nearer side
     shard_no = F.least(F.lit(n_shards - 1), F.expr("0") if not total else ((before * 2 + F.col("size")) * n_shards / (2 * total)).cast("int"))
     placed = materialize(
-        _located(keyed, cuts).withColumn("place", place.cast("long")).withColumn("shard", shard_no.cast("int")).select("doc_id", "size", "text_crc32", "shard", "place"), "shard-placed"
+        located.withColumn("place", place.cast("long")).withColumn("shard", shard_no.cast("int")).select("doc_id", "size", "text_crc32", "shard", "place"), "shard-placed"
     )
     first = {r.shard: r.at for r in placed.groupBy("shard").agg(F.min("place").alias("at")).collect()}
     starts = F.lit([first.get(i, 0) for i in range(n_shards)])

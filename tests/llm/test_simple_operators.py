@@ -7,6 +7,7 @@ import zlib
 
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from folioframe.llm import bpe, decontaminate, licenses, rules, sharding
@@ -109,6 +110,22 @@ def test_sharding(docs, rows, nothing, n):
     assert sharding.shard(nothing, n).count() == 0
 
 
+@pytest.mark.parametrize("doc_id", [None, 7])
+def test_sharding_of_one_hot_key(spark, monkeypatch, doc_id):
+    hot = spark.range(20_000).select(F.lit(doc_id).cast("long").alias("doc_id"), F.lit("one and the same").alias("text"))
+    others = spark.range(100, 4100).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 4 == 0, F.lit("one and the same")).otherwise(F.concat(F.lit("text "), "id")).alias("text"))
+    seen, plain = [], sharding._per_range
+    monkeypatch.setattr(sharding, "_per_range", lambda located: seen.append(plain(located)) or seen[-1])
+    got = sharding.shard(hot.unionByName(others).repartition(5), 16).collect()
+    assert len(got) == 24_000 and max(r.n for r in seen[-1]) < 500  # no task gets the key
+    sizes = [sum(r["size"] for r in got if r.shard == k) for k in range(16)]
+    assert max(sizes) - min(sizes) <= 2 * 17
+    for k in range(16):
+        assert sorted(r.slot for r in got if r.shard == k) == list(range(sum(r.shard == k for r in got)))
+    ids = sorted(r.doc_id for r in got if r.doc_id is not None and r.doc_id >= 100)
+    assert ids == list(range(100, 4100))
+
+
 def plain_finds(text, templates, percent=80):
     """All windows within the bounds that match, best first, without those that share words with an earlier one."""
     words, out = licenses.normalised(text or ""), []
