@@ -89,6 +89,7 @@ def lines(spark, texts, **more):
         (["Điều 1. A", "1. x", "2. y", "Điều 2. B", "1. z"], ["article", "clause", "clause", "article", "clause"], 0),
         (["Điều 1. A", "1. x", "a) y", "b) z"], ["article", "clause", "point", "point"], 0),
         (["Điều 1. A", "1. x", "c) y"], ["article", "clause", "paragraph"], 1),
+        (["Điều 1. A", "1. x", "Chương II", "Điều 1. B", "2. q", "Chương III", "1. y"], ["article", "clause", "chapter", "article", "paragraph", "chapter", "paragraph"], 2),
         (["Căn cứ Luật", "1. x", "a) y", "Chương II", "Điều 1. A"], ["preamble_kw", "list_item", "list_item", "chapter", "article"], 0),
     ],
 )
@@ -99,6 +100,48 @@ def test_hierarchy(spark, texts, kinds, demoted):
     assert all((r.confidence == 0.6) == r.demoted for r in got)
 
 
+def numbered(rows):
+    """(final kind, demoted) of one document's (kind, number, letter), by a plain loop."""
+    state, article, clause, point, out = "FRONT_MATTER", 0, 0, "", []
+    for kind, number, letter in rows:
+        final, bad, in_body = kind, False, state == "BODY" and article > 0
+        if kind == "chapter":
+            state, article, clause, point = "BODY", 0, 0, ""
+        elif kind == "article":
+            state, bad = "BODY", number != article + 1
+            if not bad:
+                article, clause, point = number, 0, ""
+        elif kind == "clause":
+            if in_body and number == clause + 1:
+                clause, point = number, ""
+            elif not in_body and state == "PREAMBLE":
+                final = "list_item"
+            else:
+                bad = True
+        elif kind == "point":
+            if state != "BODY" or not clause:
+                final = "list_item"
+            elif letter == (chr(ord(point) + 1) if point else "a"):
+                point = letter
+            else:
+                bad = True
+        state = {"preamble_kw": "PREAMBLE", "closing_kw": "CLOSING", "title": "FRONT_MATTER"}.get(kind, state)
+        out.append(("paragraph" if bad else final, bad))
+    return out
+
+
+def test_hierarchy_of_many_chapters(spark):
+    r = random.Random(3)
+    kinds, weights = ["chapter", "article", "clause", "point", "paragraph", "title", "preamble_kw", "closing_kw", "heading"], [2, 8, 14, 14, 9, 1, 1, 1, 3]
+    docs = {d: [(r.choices(kinds, weights)[0], r.choice([1, 1, 2, 2, 3]), r.choice("aabbc")) for _ in range(r.choice([1, 5, 60, 300]))] for d in range(40)}
+    rows = [(d, n // 20, n, k, number, letter + ")") for d, found in docs.items() for n, (k, number, letter) in enumerate(found)]
+    frame = spark.createDataFrame(rows, "doc_id long, page int, line_no int, kind string, number int, marker string").repartition(4)
+    got = {d: [] for d in docs}
+    for x in structure.validated(frame).orderBy("doc_id", "page", "line_no").collect():
+        got[x.doc_id].append((x.final_kind, x.demoted))
+    assert got == {d: numbered(found) for d, found in docs.items()}
+
+
 def test_points_make_a_list(spark):
     found = structure.with_pattern(lines(spark, ["Điều 1. A", "1. x", "a) y", "b) z", "2. w"])).withColumn("kind", F.coalesce("kind", F.lit("paragraph")))
     out = structure.point_lists(structure.validated(found).withColumn("bbox", F.array(F.col("line_no"), F.lit(1), F.lit(9), F.lit(9)))).collect()
