@@ -238,4 +238,4 @@ SELECT pair_id, '{{"fidelity":' || {_FIGURE.format("greatest(0.0, 1 - cer)")} ||
 )
 def report_payloads(spark, sf_dir):
     """The report of each pair as JSON with figures of four decimals; its spans are word_divergence_topk's."""
-    return fidelity.report_payload(fidelity.ledger(_pairs(spark, sf_dir)))
+    return fidelity.report_payload(fidelity.ledger_of_bags(_pairs(spark, sf_dir, fidelity.char_bag)))
